@@ -16,6 +16,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm.superminhash import near_duplicates
+
+    return near_duplicates(rows_of(spark, sf_dir, "documents"))
+
+
 def op6_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoal.llm.shard_packing import shard_documents
 
@@ -34,5 +40,5 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(rows_of(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op6_shard_packing, op9_mixing, op10_sequence_packing)}
+QUERIES = {f.__name__: f for f in (op3_superminhash, op6_shard_packing, op9_mixing, op10_sequence_packing)}
 ORACLES: dict[str, str] = {}

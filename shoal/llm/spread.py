@@ -7,6 +7,7 @@ rows a key) give every slice its start.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,7 +33,11 @@ def settled(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             where = tempfile.mkdtemp(prefix="shoal-checkpoint-")
         context.setCheckpointDir(where)
-    return df.checkpoint()
+    done = df.checkpoint()
+    # Shuffle files of what is now computed go when their handles do, not some time later.
+    gc.collect()
+    context._jvm.System.gc()
+    return done
 
 
 def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
