@@ -22,6 +22,12 @@ def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(rows_of(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm.substring_dedup import deduplicated
+
+    return deduplicated(rows_of(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op6_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoal.llm.shard_packing import shard_documents
 
@@ -40,5 +46,5 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(rows_of(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op3_superminhash, op6_shard_packing, op9_mixing, op10_sequence_packing)}
+QUERIES = {f.__name__: f for f in (op3_superminhash, op4_substring_dedup, op6_shard_packing, op9_mixing, op10_sequence_packing)}
 ORACLES: dict[str, str] = {}
