@@ -34,6 +34,21 @@ def op6_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(rows_of(spark, sf_dir, "documents"), SHARD_COUNT)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm import language_id
+
+    model = language_id.fit(rows_of(spark, sf_dir, "documents"))
+    found = language_id.fused(language_id.page_records(rows_of(spark, sf_dir, "pages")), model)
+    return found.withColumnRenamed("id", "page_id")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shoal.llm import toxicity
+
+    docs = rows_of(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, rows_of(spark, sf_dir, "labels")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoal.llm.mixing import taken_words
 
@@ -46,5 +61,5 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(rows_of(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op3_superminhash, op4_substring_dedup, op6_shard_packing, op9_mixing, op10_sequence_packing)}
+QUERIES = {f.__name__: f for f in (op3_superminhash, op4_substring_dedup, op6_shard_packing, op7_language_id, op8_toxicity, op9_mixing, op10_sequence_packing)}
 ORACLES: dict[str, str] = {}
