@@ -24,14 +24,17 @@ from shoal.llm.spread import settled
 
 @dataclass(frozen=True)
 class ToxicityTraining:
-    """``rows`` bounds the sample of labelled rows, ``features`` what is kept of 2^bits buckets."""
+    """``rows`` bounds the sample of labelled rows, ``features`` what is kept of 2^bits buckets.
 
-    rows: int = 12_000
+    ``toxic_weight`` is what a toxic row counts for, since few rows are."""
+
+    rows: int = 30_000
     features: int = 4_000
-    sizes: tuple[int, ...] = (3, 4, 5)
+    sizes: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
     smoothing: float = 1.0
-    penalty: float = 1.0
+    penalty: float = 3.0
+    toxic_weight: float = 3.0
     rounds: int = 300
 
 
@@ -133,11 +136,13 @@ def _regression(parts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior
     """Logistic regression on presence times ratio, L2-regularised, by Adam over all rows."""
     row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     column = np.concatenate(parts).astype(np.int64)
+    cost = np.where(y == 1, how.toxic_weight, 1.0)
     w, bias = np.zeros(len(ratio)), prior
     mean, square = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for step in range(1, how.rounds + 1):
         z = bias + np.bincount(row, (w * ratio)[column], len(y))
         off = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
+        off *= cost
         gradient = np.bincount(column, off[row], len(ratio)) * ratio + how.penalty * w
         gradient = np.append(gradient, off.sum()) / len(y)
         mean = 0.9 * mean + 0.1 * gradient
