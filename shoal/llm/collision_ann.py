@@ -27,17 +27,18 @@ from shoal.llm.vectors import answers, best_each, nearest_copies, searched, usab
 class CollisionHashing:
     """``functions`` projections; collisions in ``threshold`` of them make a candidate.
 
-    Windows have half widths ``width`` * ``growth``^j times the mean length over
-    sqrt(dimension). A query stops once ``budget`` (a part of the block) or more of the block's
-    vectors are verified and the best ``top`` are at hand.
+    Windows have half widths ``width`` * ``growth``^j, for vectors scaled to length 1. A query
+    stops once ``budget`` (a part of the block) and ``floor`` times the answers asked for are
+    candidates.
     """
 
-    functions: int = 48
-    threshold: int = 30
-    width: float = 0.5
-    growth: float = 1.3
-    budget: float = 0.12
-    rounds: int = 24
+    functions: int = 96
+    threshold: int = 64
+    width: float = 0.25
+    growth: float = 1.2
+    budget: float = 0.15
+    floor: int = 16
+    rounds: int = 40
     seed: int = 11
 
 
@@ -60,33 +61,47 @@ def hashing_search(how: CollisionHashing, longest: float):
         base = np.hstack((scaled, lift[:, None])).astype(np.float32) @ lines
         norms = np.sqrt(((queries / np.abs(queries).max(axis=1, keepdims=True)) ** 2).sum(axis=1, keepdims=True)) * np.abs(queries).max(axis=1, keepdims=True)
         asked = (queries / norms).astype(np.float32) @ lines[:-1]
-        order = np.argsort(base, axis=0, kind="stable")
-        arrays = np.take_along_axis(base, order, axis=0)
-        arrays, order = np.ascontiguousarray(arrays.T), np.ascontiguousarray(order.T)
-        enough = min(len(ids), max(2 * top, int(how.budget * len(ids))))
-        out = []
+        # Sorted arrays, and each vector's place in each: a window is a run of places.
+        arrays = np.sort(base, axis=0).T.copy()
+        places = np.empty((how.functions, len(ids)), np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        for f in range(how.functions):
+            places[f, np.argsort(base[:, f], kind="stable")] = np.arange(len(ids), dtype=places.dtype)
+        half = how.width * how.growth ** np.arange(how.rounds)
+        enough = min(len(ids), max(how.floor * top, int(how.budget * len(ids))))
+        # The window bounds of all queries and radii, by binary search.
+        first = np.stack([np.searchsorted(a, (x[:, None] - half).ravel()) for a, x in zip(arrays, asked.T, strict=True)])
+        last = np.stack([np.searchsorted(a, (x[:, None] + half).ravel(), "right") for a, x in zip(arrays, asked.T, strict=True)])
+        first = first.reshape(how.functions, len(queries), how.rounds).astype(places.dtype)
+        wide = last.reshape(how.functions, len(queries), how.rounds).astype(places.dtype) - first
+        out, radius = [], 0
+
+        def collisions(q: int, j: int) -> np.ndarray:
+            count = np.zeros(len(ids), np.uint8)
+            for f in range(how.functions):
+                count += (places[f] - first[f, q, j]) < wide[f, q, j]
+            return count
+
         for q in range(len(queries)):
-            count = np.zeros(len(ids), np.int16)
-            low = np.array([np.searchsorted(arrays[f], asked[q, f]) for f in range(how.functions)])
-            high = low.copy()
-            half = how.width
-            for _ in range(how.rounds):
-                for f in range(how.functions):
-                    a = np.searchsorted(arrays[f], asked[q, f] - half)
-                    z = np.searchsorted(arrays[f], asked[q, f] + half, "right")
-                    # Only what the wider window adds is read.
-                    count[order[f, a : low[f]]] += 1
-                    count[order[f, high[f] : z]] += 1
-                    low[f], high[f] = min(a, low[f]), max(z, high[f])
-                if (count >= how.threshold).sum() >= enough:
-                    break
-                half *= how.growth
+            # The widening starts at the radius that the query before needed, or below it.
+            count = collisions(q, radius)
+            while radius and (count >= how.threshold).sum() >= 1.5 * enough:
+                radius -= 1
+                count = collisions(q, radius)
+            while radius < how.rounds - 1 and (count >= how.threshold).sum() < enough:
+                radius += 1
+                count = collisions(q, radius)
             found = np.flatnonzero(count >= how.threshold)
-            if len(found) < min(top, len(ids)):
-                found = np.argsort(-count, kind="stable")[: max(enough, top)]
-            score = _exact(np.broadcast_to(queries[q], (len(found), d)), vectors[found])
-            out.append((np.full(len(found), q), ids[found], score))
-            out[-1] = best_each(*out[-1], top)
+            if len(found) < enough:
+                found = np.argsort(-count.astype(np.int16), kind="stable")[:enough]
+            near = vectors[found]
+            about = near @ queries[q]
+            if len(found) > 2 * top:
+                # Rounding apart, only these can be among the best; their scores are exact.
+                edge = np.partition(about, -top)[-top]
+                close = np.flatnonzero(about >= edge - 1e-9 * max(1e-300, np.abs(about).max()))
+                found, near = found[close], near[close]
+            score = _exact(np.broadcast_to(queries[q], near.shape), near)
+            out.append(best_each(np.full(len(found), q), ids[found], score, top))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     return search
