@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.chartext import Characters, text_blocks
@@ -98,7 +98,8 @@ def fit(docs: DataFrame, how: LanguageTraining | None = None, id_col="doc_id", t
 
 
 def text_evidence(records: DataFrame, model: LanguageModel, fusion: Fusion, text_col: str = "text") -> DataFrame:
-    """Replaces the text by ``evidence`` (a log likelihood for each language) and ``letters``."""
+    """Replaces the text by ``evidence`` (a log likelihood for each language), ``soft`` (the
+    posterior from it alone; zeros without letters) and ``letters``."""
     shared = records.sparkSession.sparkContext.broadcast(model.table)
     sizes, bits, count = model.sizes, model.bits, len(model.languages)
     rest = [c for c in records.columns if c != text_col]
@@ -118,20 +119,43 @@ def text_evidence(records: DataFrame, model: LanguageModel, fusion: Fusion, text
                         total[:, i] += np.bincount(c.row[at], table[h[at], i], b.num_rows)
                 scale = np.minimum(1.0, fusion.effective / np.maximum(grams, 1)) * (c.letters > 0)
                 total = (total - total.max(axis=1, keepdims=True, initial=-np.inf)) * scale[:, None] if count else total
-                ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * np.int32(count))
-                evidence = pa.ListArray.from_arrays(ends, pa.array(total.ravel()))
+                soft = _normal(total) * (c.letters > 0)[:, None]
                 others = [b.column(i) for i in range(b.num_columns) if i != place]
-                yield pa.RecordBatch.from_arrays([*others, evidence, pa.array(c.letters.astype(np.int64))], names=[*rest, "evidence", "letters"])
+                arrays = [*others, _lists(total), _lists(soft), pa.array(c.letters.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "evidence", "soft", "letters"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema if f.name != text_col)
-    return records.mapInArrow(run, f"{schema}, evidence array<double>, letters long")
+    return records.mapInArrow(run, f"{schema}, evidence array<double>, soft array<double>, letters long")
 
 
-def _posterior(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    parts = [F.exp(x - top) for x in logs]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def _lists(rows: np.ndarray) -> pa.Array:
+    ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1]))
+    return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(rows, np.float64).ravel()))
+
+
+def _normal(logs: np.ndarray) -> np.ndarray:
+    parts = np.exp(logs - logs.max(axis=1, keepdims=True, initial=-np.inf))
+    return parts / parts.sum(axis=1, keepdims=True)
+
+
+def fuse(evidence, soft, host, domain, declared, suffix, total, fusion: Fusion) -> np.ndarray:
+    """Posteriors (records x languages) from log likelihoods, own soft counts and group sums.
+
+    ``host`` to ``suffix`` are the groups' sums, own counts included, or NaN where a record
+    has no such field; ``total`` is the sum over all records.
+    """
+    n = evidence.shape[1]
+    prior = np.broadcast_to((total + 1.0) / (total.sum() + n), evidence.shape)
+    for group in (domain, host):
+        others = np.maximum(np.where(np.isnan(group), 0.0, group - soft), 0.0)
+        prior = (others + fusion.host * prior) / (others.sum(axis=1, keepdims=True) + fusion.host)
+    logs = evidence + np.log(prior)
+    for group in (declared, suffix):
+        others = np.maximum(np.where(np.isnan(group), 0.0, group - soft), 0.0)
+        share = (others.sum(axis=1, keepdims=True) + 1.0) / (total.sum() + 2.0)
+        told = np.log((others + fusion.tag * share) / (np.maximum(total - soft, 0.0) + fusion.tag))
+        logs = logs + np.where(np.isnan(group), 0.0, told)
+    return _normal(logs)
 
 
 def fused(records: DataFrame, model: LanguageModel, fusion: Fusion | None = None) -> DataFrame:
@@ -147,58 +171,49 @@ def fused(records: DataFrame, model: LanguageModel, fusion: Fusion | None = None
     if not n:
         none = [F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("probability"), F.lit(UNDETERMINED).alias("text_lang"), F.lit(False).alias("accepted")]
         return records.select("id", *none, *fields[1:])
-    read = text_evidence(records.select("id", "declared", "suffix", "host", "domain", "text"), model, fusion)
-    logs = [F.col("evidence")[i] for i in range(n)]
-    soft = _posterior(logs)
-    weight = F.when(F.col("letters") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    base = settled(read.select(*fields, "letters", *[x.alias(f"e{i}") for i, x in enumerate(logs)], *[(x * weight).alias(f"p{i}") for i, x in enumerate(soft)]))
-    p = [f"p{i}" for i in range(n)]
-
-    def sums(keys: list[str], tag: str) -> DataFrame:
-        some = base.where(" and ".join(f"{k} is not null" for k in keys)) if keys else base
-        return some.groupBy(*keys).agg(*[F.sum(c).alias(f"{tag}{c}") for c in p])
-
-    whole = sums([], "all").first()
-    total = np.array([whole[f"all{c}"] or 0.0 for c in p])
-    general = (total + 1.0) / (total.sum() + n)
-    rows = base.join(sums(["host"], "h"), "host", "left").join(sums(["domain"], "d"), "domain", "left")
-    rows = rows.join(sums(["declared"], "t"), "declared", "left").join(sums(["suffix"], "s"), "suffix", "left")
-
-    def plus(columns: list[Column]) -> Column:
-        return sum(columns[1:], columns[0])
-
-    own = [F.col(c) for c in p]
-    mine = plus(own)
-    above = [F.lit(float(g)) for g in general]
-    for level in ("d", "h"):
-        others = [F.greatest(F.coalesce(F.col(f"{level}{c}"), F.lit(0.0)) - F.when(F.col(f"{level}{c}").isNotNull(), F.col(c)).otherwise(0.0), F.lit(0.0)) for c in p]
-        size = plus(others)
-        above = [(o + fusion.host * a) / (size + fusion.host) for o, a in zip(others, above, strict=True)]
-        rows = rows.select("*", *[a.alias(f"{level}prior{i}") for i, a in enumerate(above)])
-        above = [F.col(f"{level}prior{i}") for i in range(n)]
-    score = [F.col(f"e{i}") + F.log(a) for i, a in enumerate(above)]
-    for tag, key in (("t", "declared"), ("s", "suffix")):
-        counts = [F.greatest(F.col(f"{tag}{c}") - F.col(c), F.lit(0.0)) for c in p]
-        share = (plus(counts) + 1.0) / (float(total.sum()) + 2.0)
-        told = [F.log((k + fusion.tag * share) / (F.lit(float(total[i])) - F.col(c) + fusion.tag + 1e-9)) for i, (k, c) in enumerate(zip(counts, p, strict=True))]
-        score = [s + F.when(F.col(key).isNotNull(), t).otherwise(0.0) for s, t in zip(score, told, strict=True)]
-    rows = rows.select(*fields, "letters", *p, *[s.alias(f"z{i}") for i, s in enumerate(score)])
-    final = _posterior([F.col(f"z{i}") for i in range(n)])
-    rows = rows.select(*fields, "letters", *p, *[f.alias(f"f{i}") for i, f in enumerate(final)])
-    best = F.greatest(*[F.col(f"f{i}") for i in range(n)]) if n > 1 else F.col("f0")
-    first = F.greatest(*own) if n > 1 else own[0]
-
-    def named(values: list[Column], top: Column) -> Column:
-        out = F.lit(UNDETERMINED)
-        for v, lang in reversed(list(zip(values, model.languages, strict=True))):
-            out = F.when(v == top, F.lit(lang)).otherwise(out)
-        return out
-
-    rows = rows.withColumn("probability", best).withColumn("top", first)
-    accepted = (F.col("letters") > 0) & (F.col("probability") >= fusion.least)
-    chosen = F.when(accepted, named([F.col(f"f{i}") for i in range(n)], F.col("probability"))).otherwise(F.lit(UNDETERMINED))
-    read = F.when(F.col("letters") > 0, named(own, F.col("top"))).otherwise(F.lit(UNDETERMINED))
-    return rows.select("id", chosen.alias("lang"), "probability", read.alias("text_lang"), accepted.alias("accepted"), *fields[1:])
+    read = settled(text_evidence(records.select(*fields, "text"), model, fusion))
+
+    def sums(key: str | None) -> DataFrame:
+        some = read.where(F.col(key).isNotNull()).groupBy(key) if key else read.groupBy()
+        return some.agg(F.array(*[F.coalesce(F.sum(F.col("soft")[i]), F.lit(0.0)) for i in range(n)]).alias(f"{key}_sum"))
+
+    total = np.array(sums(None).first()[0])
+    rows = read
+    for key in ("host", "domain", "declared", "suffix"):
+        # A record without the field looks for a key of its own, which no group has.
+        alone = F.concat(F.lit("\0"), F.hash("id", "evidence").cast("string"))
+        found = sums(key).withColumnRenamed(key, "_group")
+        rows = rows.join(found, F.coalesce(F.col(key), alone) == F.col("_group"), "left").drop("_group")
+    groups = [f"{key}_sum" for key in ("host", "domain", "declared", "suffix")]
+    languages = np.array([*model.languages, UNDETERMINED], object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            letters = b.column(len(fields)).to_numpy()
+            evidence, soft, *given = (_rows(c, n) for c in b.columns[len(fields) + 1 :])
+            final = fuse(evidence, soft, *given, total, fusion)
+            top = final.max(axis=1)
+            ok = (letters > 0) & (top >= fusion.least)
+            lang = languages[np.where(ok, final.argmax(axis=1), n)]
+            read = languages[np.where(letters > 0, soft.argmax(axis=1), n)]
+            added = [pa.array(lang, pa.string()), pa.array(top), pa.array(read, pa.string()), pa.array(ok)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *added, *b.columns[1 : len(fields)]], names=names)
+
+    names = ["id", "lang", "probability", "text_lang", "accepted", *fields[1:]]
+    kind = records.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, lang string, probability double, text_lang string, accepted boolean, "
+    schema += "declared string, suffix string, host string, domain string"
+    return rows.select(*fields, "letters", "evidence", "soft", *groups).mapInArrow(run, schema)
+
+
+def _rows(lists: pa.Array, n: int) -> np.ndarray:
+    """A list column of ``n`` numbers a row as a matrix, NaN where a list is null."""
+    out = np.full((len(lists), n), np.nan)
+    there = lists.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = lists.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out
 
 
 _HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")

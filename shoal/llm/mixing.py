@@ -248,3 +248,59 @@ def taken_words(docs: DataFrame, mixture: Mixture | None = None, id_col="doc_id"
     full = full.select(*names, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     none = mixed.documents.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken"))
     return full.unionByName(none)
+
+
+def mixed_documents(docs: DataFrame, mixture: Mixture | None = None, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """The mix as documents, with the columns of ``docs``.
+
+    Each pass in which the mix takes words of a document gives one row whose text is those
+    words, from the first taken to the last of each run, with the white space between them;
+    a document taken whole keeps its text byte for byte. Rows alike in id, source and text
+    count as one document. ``n_chars``, where there is such a column, is counted anew.
+    """
+    names = docs.columns
+    rows = settled(word_sizes(docs, id_col, text_col, source_col).dropDuplicates(["doc_id", "source", "text_hash"]))
+    mixed = mix(rows, mixture or Mixture())
+    spans = mixed.parts.groupBy("src", "start", "turn").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_shoal_spans"))
+    keys = mixed.documents.where("size > 0").select("doc_id", "source", "text_hash", "src", "start")
+    taken = keys.join(spans, ["src", "start"]).select(
+        F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("_shoal_id"),
+        F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source")).alias("_shoal_source"),
+        F.col("text_hash").alias("_shoal_hash"),
+        "_shoal_spans",
+    )
+    keyed = docs.withColumns(
+        {
+            "_shoal_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")),
+            "_shoal_source": F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string"))),
+            "_shoal_hash": F.xxhash64(text_col),
+        }
+    )
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in vectext.blocks(batches, at):
+            data, offsets = vectext.utf8(batch.column(at))
+            starts, ends, bounds = vectext.word_spans(data, offsets)
+            texts = []
+            for i, spans in enumerate(batch.column(len(names)).to_pylist()):
+                runs: list[list[int]] = []
+                for s in spans:
+                    if runs and runs[-1][1] == s["low"]:
+                        runs[-1][1] = s["high"]
+                    else:
+                        runs.append([s["low"], s["high"]])
+                a, z = bounds[i], bounds[i + 1]
+                if runs == [[0, z - a]]:
+                    texts.append(batch.column(at)[i].as_py())
+                else:
+                    texts.append(" ".join(data[starts[a + x] : ends[a + y - 1]].tobytes().decode() for x, y in runs))
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    joined = keyed.join(taken, ["_shoal_id", "_shoal_source", "_shoal_hash"]).select(*names, "_shoal_spans")
+    out = joined.mapInArrow(run, docs.schema)
+    if "n_chars" in names and text_col != "n_chars":
+        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    return out.select(*names)

@@ -312,3 +312,41 @@ def _cut(raw: bytes, stay: np.ndarray) -> str:
     for i in np.flatnonzero(~stay).tolist():
         keep[edges[i] : edges[i + 1]] = False
     return data[keep].tobytes().decode()
+
+
+def without_repeats(docs: DataFrame, how: RepeatWindows | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated passages cut out of its texts, all other columns as they are.
+
+    Untouched texts stay byte for byte. A document that loses all its words goes; one that
+    had none stays. ``n_chars``, where there is such a column, is counted anew.
+    """
+    how = how or RepeatWindows()
+    names, key, text = docs.columns, "_shoal_k", "_shoal_text"
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST).cast("long")))
+    texts = keyed.select(F.col(key).alias("k"), F.col(text_col).cast("string").alias("text"))
+    found = repeated_windows(texts, how).withColumnsRenamed({"k": key, "found": "_shoal_found"})
+    joined = keyed.join(found, key, "left")
+    columns = [*names, "_shoal_found"]
+    at, flags = names.index(text_col), len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in vectext.blocks(batches, at):
+            texts = batch.column(at)
+            k = pa.array(np.zeros(batch.num_rows, np.int64))
+            b = _Block(pa.RecordBatch.from_arrays([k, texts], names=["k", "text"]), how)
+            gone = _covered(b, batch.column(flags), how.window)
+            sums = np.concatenate(([0], np.cumsum(gone)))
+            removed, n = sums[b.bounds[1:]] - sums[b.bounds[:-1]], np.diff(b.bounds)
+            kept = [
+                _cut((texts[i].as_py() or "").encode(), ~gone[b.bounds[i] : b.bounds[i + 1]]) if lost else texts[i].as_py()
+                for i, lost in enumerate(removed.tolist())
+            ]
+            columns = list(batch.columns[:flags])
+            columns[at] = pa.array(kept, pa.string())
+            out = pa.RecordBatch.from_arrays(columns, names=names)
+            yield out.filter(pa.array((removed == 0) | (removed < n)))
+
+    out = joined.select(*columns).mapInArrow(run, docs.schema)
+    if "n_chars" in names and text_col != "n_chars":
+        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    return out.select(*names)
