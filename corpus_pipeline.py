@@ -1,19 +1,61 @@
-"""From raw documents to packed training sequences; each stage calls one operator of shoal.llm."""
+"""From raw documents to packed training sequences; each stage calls one operator of shoal.llm.
+
+Every stage gets the documents its predecessor kept and returns the same columns, the last
+one packed pieces. Columns that a stage doesn't read pass through it unchanged.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shoal.llm import registry
-from shoal.llm.sequence_packing import pack_documents
+from shoal.llm import language_id, mixing, registry, sequence_packing, substring_dedup, superminhash
 from shoal.session import reachable
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told (no letters, or no language likely enough) go."""
+    reachable(spark)
+    model = language_id.fit(docs)
+    found = language_id.fused(language_id.document_records(docs), model)
+    rejected = found.where(~F.col("accepted")).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their shingles, directly or through others, the smallest id stays."""
+    reachable(spark)
+    found = superminhash.near_duplicates(docs)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that also start earlier are cut out; a document of which nothing is left goes."""
+    reachable(spark)
+    return substring_dedup.without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document gives the words that the mix takes; a second pass is a row of its own."""
+    reachable(spark)
+    return mixing.mixed_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, registry.tokenizer_file())
+    """Pieces of documents and their places in sequences."""
+    reachable(spark)
+    return sequence_packing.pack_documents(docs, registry.tokenizer_file())
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("mixing", mix_sources),
+    ("best_fit_packing", pack),
+]
+#: The stages' models, hashes and tokens are beyond SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 
