@@ -48,20 +48,32 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["u", "v"])
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All batches' edges at once to nodes and roots."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        nodes, roots = union_find(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "component"])
+
+
 def _star(edges: DataFrame, least: DataFrame) -> DataFrame:
     return edges.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, settled) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, settled, alone: int = 0) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` can reach.
 
     ``edges`` has two long columns; direction, repeats and self-loops don't matter, rows with
     a null end are left out. ``settled`` cuts lineage (a checkpoint in shared storage). An
-    empty edge list gives no rows.
+    empty edge list gives no rows. Up to ``alone`` edges, after the first contraction, are
+    finished by one task's union-find; the result is the same.
     """
     pairs = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).dropna()
     state = pairs.mapInArrow(_contracted, "u long, v long").distinct()
     loops = state = settled(state)
+    if alone and state.limit(alone + 1).count() <= alone:
+        one = state.coalesce(1).mapInArrow(_together, "node long, component long")
+        return one
     state = state.where("u <> v")
     seen = None
     for _ in range(MAX_ROUNDS):

@@ -1,11 +1,13 @@
-"""What a session needs so that its Python workers can import this package."""
+"""What the package needs of a session: a path for Python workers, a place for checkpoints."""
 
 from __future__ import annotations
 
+import gc
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -21,3 +23,25 @@ def reachable(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared checkpoint folder.
+
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, and only
+    on a local master, a temporary folder is set instead.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="shoal-checkpoint-")
+        context.setCheckpointDir(where)
+    done = df.checkpoint()
+    # Shuffle files of what is now computed go when their handles do, not some time later.
+    gc.collect()
+    context._jvm.System.gc()
+    return done
