@@ -1,4 +1,4 @@
-"""Positions and running sums inside keys of any size, and cut points of lineage.
+"""Positions and running sums inside keys of any size.
 
 A key may hold a third of all rows, so no window here is partitioned by the key alone: rows
 are dealt over ``spread`` hash slices of each key, and the slices' totals (at most ``spread``
@@ -7,37 +7,14 @@ rows a key) give every slice its start.
 
 from __future__ import annotations
 
-import gc
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shoal.session import reachable
-
-SPREAD = 128
-
+from shoal.session import reachable, settled
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder.
+__all__ = ["SPREAD", "ranked", "rows_of", "running_start", "settled"]
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, and only
-    on a local master, a temporary folder is set instead.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            if not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="shoal-checkpoint-")
-        context.setCheckpointDir(where)
-    done = df.checkpoint()
-    # Shuffle files of what is now computed go when their handles do, not some time later.
-    gc.collect()
-    context._jvm.System.gc()
-    return done
+SPREAD = 128
 
 
 def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
