@@ -13,7 +13,7 @@ def distance(a: Column, b: Column, dims: int) -> Column:
 
     Few dimensions are written out, which keeps them in generated code; many are folded.
     """
-    if dims <= 64:
+    if dims <= 16:
         terms = [(a[i] - b[i]) * (a[i] - b[i]) for i in range(dims)]
         return F.sqrt(sum(terms[1:], terms[0]))
     squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
