@@ -64,9 +64,9 @@ def fit(docs: DataFrame, how: LanguageTraining | None = None, id_col="doc_id", t
     how = how or LanguageTraining()
     ids = docs.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("string").alias("lang")).dropna()
     chosen = ids.orderBy(F.xxhash64("k", F.lit(23)), "k", "lang").limit(how.rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     # At most ``rows`` rows of an id and a label.
-    sample = texts.join(F.broadcast(chosen), "k").select("text", "lang")
+    sample = texts.join(F.broadcast(chosen.distinct()), ["k", "lang"]).select("text", "lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}

@@ -1,0 +1,433 @@
+"""Operators against brute force on small tables full of odd rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shoal.llm import chat_format, collision_ann, language_id, mixing, norm_topk, registry, sequence_packing, shard_packing, substring_dedup, superminhash, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, k string, node string, size string"
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def odd_texts():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgé", k=rng.randint(1, 5))) for _ in range(60)]
+    base = [" ".join(rng.choices(words, k=rng.randint(30, 90))) for _ in range(6)]
+    texts = [None, "", " \n\t ", "one", "one two  three", "\x85 no\xa0space here", "<|endoftext|> x<|endoftext|>"]
+    for b in base:
+        texts += [b, b, b.upper(), b + " tail", "head\n" + b]
+        w = b.split()
+        texts.append(" ".join(w[:10] + ["swap"] + w[11:]))
+    shared = " ".join(rng.choices(words, k=25))
+    texts += [f"a{i} {shared} z{i}" for i in range(12)] + ["same " * 70, " ".join(rng.choices(words, k=6000))]
+    return texts
+
+
+def documents(spark, texts=None):
+    texts = odd_texts() if texts is None else texts
+    rows = [(i * 3, t, "en", None if i % 7 == 0 else f"src{i % 3}", len(t or ""), "c", "c", "c") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def test_near_duplicates(spark):
+    texts = odd_texts()
+    sets = {}
+    for i, t in enumerate(texts):
+        w = WORD.findall(lowered(t))
+        sets[i * 3] = {tuple(w[j : j + 4]) for j in range(len(w) - 3)} or ({tuple(w)} if w else set())
+    root = {k: k for k in sets}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in superminhash.near_duplicates(documents(spark)).collect()}
+    assert found == {k: (len(s), top(k), top(k) == k) for k, s in sets.items()}
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """A family over several blocks, with members that link to few others."""
+    monkeypatch.setattr(superminhash, "FAMILY_BLOCK", 4)
+    monkeypatch.setattr(superminhash, "BLOCK_MEMBERS", 8)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(40):
+        w = list(base)
+        for j in rng.sample(range(120), 1 + i % 6):
+            w[j] = f"x{i}_{j}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    label = list(range(len(sets)))
+    for _ in range(len(sets)):
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    found = {r["doc_id"]: r["component_id"] for r in superminhash.near_duplicates(documents(spark, texts)).collect()}
+    assert found == {3 * i: 3 * x for i, x in enumerate(label)}
+
+
+def test_superminhash_estimates():
+    rng = np.random.default_rng(1)
+    for same, total in ((80, 100), (3, 10), (900, 1000)):
+        gaps = []
+        for _ in range(40):
+            x = rng.integers(1, 2**63, total, dtype=np.uint64)
+            a, b = x[: (total + same) // 2], np.concatenate((x[:same], x[(total + same) // 2 :]))
+            v = superminhash.signatures(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), 64)
+            assert (v >> np.uint64(40) < 64).all()
+            gaps.append((v[0] == v[1]).mean() - same / total)
+        assert abs(np.mean(gaps)) < 0.04
+
+
+def cut_by_hand(texts, window=20):
+    seen, out = set(), {}
+    for i, t in enumerate(texts):
+        w = WORD.findall(t or "")
+        gone = set()
+        for j in range(len(w) - window + 1):
+            s = tuple(w[j : j + window])
+            if s in seen:
+                gone.update(range(j, j + window))
+            seen.add(s)
+        kept = [x for j, x in enumerate(w) if j not in gone]
+        out[i * 3] = (len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("base", [10, 5])
+def test_substring_dedup(spark, base):
+    how = substring_dedup.RepeatWindows(20, base)
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.deduplicated(documents(spark), how).collect()}
+    assert found == cut_by_hand(odd_texts())
+
+
+def test_cut_documents_keep_columns_and_untouched_texts(spark):
+    docs = documents(spark)
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = substring_dedup.without_repeats(docs)
+    assert after.columns == docs.columns
+    truth = cut_by_hand(odd_texts())
+    rows = {r["doc_id"]: r for r in after.collect()}
+    assert set(rows) == {k for k, (n, gone, _) in truth.items() if not gone or gone < n}
+    for k, r in rows.items():
+        n, gone, digest = truth[k]
+        assert hashlib.sha256(" ".join(WORD.findall(r["text"] or "")).encode()).hexdigest() == digest
+        assert gone or r["text"] == before[k]
+
+
+def test_repeated_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id long, text string")
+    found = sorted((r["doc_id"] is None, r["doc_id"], r["n_removed"]) for r in substring_dedup.deduplicated(docs).collect())
+    assert found == [(False, 1, 0), (False, 1, 0), (False, 2, 0), (True, None, 30)]
+    linked = sorted((r["doc_id"] is None, r["doc_id"], r["component_id"]) for r in superminhash.near_duplicates(docs).collect())
+    assert linked == [(False, 1, 1), (False, 1, 1), (False, 2, 2), (True, None, 1)]
+    assert sequence_packing.pack_documents(docs, registry.tokenizer_file()).count() == 4
+    assert shard_packing.shard_documents(docs, 4).count() == 4
+    mixed = mixing.taken_words(docs.withColumn("source", F.lit("s"))).collect()
+    assert len(mixed) == 4 and sum(r["taken"] for r in mixed) == 135
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(registry.tokenizer_file())
+    texts = odd_texts()
+    ids = {i * 3: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], np.uint32) for i, t in enumerate(texts)}
+    rows = sequence_packing.pack_documents(documents(spark), registry.tokenizer_file(), seq_len=256).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        assert zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+        by_doc[r["doc_id"]].append((r["piece"], r["start"], r["length"]))
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(by_doc) == set(ids)
+    for k, pieces in by_doc.items():
+        pieces.sort()
+        assert [p for p, _, _ in pieces] == list(range(len(pieces))) and sum(n for _, _, n in pieces) == len(ids[k])
+        assert all(n == 256 for _, _, n in pieces[1:])
+    for places in by_sequence.values():
+        places.sort()
+        at = 0
+        for offset, n in places:
+            assert offset == at
+            at += n
+        assert at <= 256
+
+
+def test_plan_is_best_fit_decreasing():
+    rng = random.Random(3)
+    for _ in range(20):
+        lengths = [rng.randint(1, 50) for _ in range(rng.randint(1, 200))]
+        counts = {n: lengths.count(n) for n in set(lengths)}
+        rooms = []
+        for n in sorted(lengths, reverse=True):
+            fits = [r for r in rooms if r >= n]
+            if fits:
+                rooms.remove(min(fits))
+                rooms.append(min(fits) - n)
+            else:
+                rooms.append(50 - n)
+        runs, sequences = sequence_packing.plan_slots(counts, 50)
+        assert sequences == len(rooms)
+        assert {n: sum(r[2] - r[1] for r in runs if r[0] == n) for n in counts} == counts
+        bins, _ = shard_packing.best_fit_decreasing(list(counts.items()), 50)
+        assert len({r[3] for r in bins}) == len(rooms)
+
+
+@pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "a\n \nb", "x\t y", "it's  don't  wide", "数字 123 ½", "<|endoftext|>", "é\x1c z", "a \x85 b", "a \xa0b"])
+def test_token_ids(text):
+    from tokenizers import Tokenizer
+
+    from shoal.llm.byte_bpe import byte_bpe
+
+    want = Tokenizer.from_file(registry.tokenizer_file()).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(byte_bpe(registry.tokenizer_file()).encode(text), np.uint32).tolist() == want
+
+
+def test_shards(spark):
+    texts = [*odd_texts(), *[f"filler {i} " * (i % 9 + 1) for i in range(300)]]
+    rows = shard_packing.shard_documents(documents(spark, texts), 8).collect()
+    assert len(rows) == len(texts)
+    sizes, slots, homes = defaultdict(int), defaultdict(list), defaultdict(set)
+    for r in rows:
+        text = texts[r["doc_id"] // 3] or ""
+        assert r["size"] == len(text.encode()) + 16 and r["text_crc32"] == zlib.crc32(text.encode()) and r["law"] == "bytes" and r["grown_shard"] is None
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        homes[text].add(r["shard"])
+    assert set(sizes) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(h) == 1 for h in homes.values())
+    large = max(sizes, key=sizes.get)  # the very long text has a shard of its own
+    rest = [v for k, v in sizes.items() if k != large]
+    assert max(rest) - min(rest) < 0.05 * max(rest)
+
+
+def test_shards_of_a_capacity():
+    assert shard_packing.best_fit_decreasing([(5, 1)], 4) is None
+    runs, used = shard_packing.best_fit_decreasing([(6, 2), (4, 1), (3, 2), (1, 1)], 10)
+    assert used == 3 and sum(b - a for _, a, b, _ in runs) == 6
+
+
+def test_mixing(spark):
+    texts = odd_texts() + [f"word{i} and more words" for i in range(200)]
+    docs = documents(spark, texts)
+    rows = mixing.taken_words(docs).collect()
+    again = mixing.taken_words(docs.repartition(5)).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, again))
+    total, by = 0, defaultdict(lambda: [0, 0, 0.0])
+    for r in rows:
+        n = len(WORD.findall(texts[r["doc_id"] // 3] or ""))
+        assert r["size"] == n and 0 <= r["taken"] <= 2 * n
+        total += n
+        entry = by[r["source"]]
+        entry[0] += n
+        entry[1] += r["taken"]
+        entry[2] = r["target"]
+    assert math.isclose(sum(e[2] for e in by.values()), 1.5 * total)
+    for size, taken, target in by.values():
+        assert target <= 2 * size + 1e-9 and abs(taken - target) <= 0.5 + 1e-9
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    assert [by[s][2] for s in order] == pytest.approx(mixing.targets([by[s][0] for s in order], mixing.Mixture()))
+
+
+def test_mixed_documents_hold_the_words_taken(spark):
+    texts = odd_texts()
+    docs = documents(spark, texts).dropDuplicates(["text", "source"])
+    taken = {r["doc_id"]: r["taken"] for r in mixing.taken_words(docs, mixing.Mixture(block=16)).collect()}
+    out = defaultdict(int)
+    mixed = mixing.mixed_documents(docs, mixing.Mixture(block=16))
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
+        own, words = WORD.findall(texts[r["doc_id"] // 3]), WORD.findall(r["text"])
+        assert not set(words) - set(own)
+        out[r["doc_id"]] += len(words)
+    assert {k: v for k, v in taken.items() if v} == dict(out)
+
+
+def test_permutation():
+    for n in (1, 2, 7, 64, 1000):
+        at = np.arange(n)
+        for key in (0, 1, 99):
+            assert sorted(mixing.permuted(at, np.full(n, n), np.full(n, key, np.uint64)).tolist()) == at.tolist()
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, v string, q string"
+
+
+def vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
+    rows += [(400 + i, rows[7][1]) for i in range(30)] + [(500, None), (520, [0.0] * 8), (540, [math.nan] * 8), (560, [1.0] * 7 + [None]), (580, [math.inf] * 8), (600, [])]
+    rows += [(700, [-1.0] * 8), (720, [1.0, 2.0]), (21, rows[21][1])]
+    return rows, spark.createDataFrame([(*r, 1, "c", "c") for r in rows], VECTORS).repartition(3)
+
+
+def nearest_by_hand(rows, every, top, change, zero):
+    usable = {}
+    for i, v in rows:
+        if v and all(x is not None and math.isfinite(x) for x in v) and (zero or any(v)):
+            usable[i] = [change(float(np.float32(x))) for x in v]
+    out = {}
+    for q, a in usable.items():
+        if q % every == 0:
+            score = []
+            for i, b in usable.items():
+                if i != q and len(a) == len(b):
+                    total = 0
+                    for x, y in zip(a, b, strict=True):
+                        total += x * y
+                    score.append((-total, i))
+            out[q] = [(i, -s) for s, i in sorted(score)[:top]]
+    return out
+
+
+def test_exact_top(spark):
+    rows, df = vectors(spark)
+    want = nearest_by_hand(rows, 50, 5, lambda x: math.floor(256 * x), True)
+    found = defaultdict(list)
+    for r in norm_topk.top_products(df, 50, 5).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(found[r["query_id"]])
+    assert dict(found) == {q: x for q, x in want.items() if x}
+
+
+def test_exact_products_beyond_doubles():
+    big = np.array([[2**40, 3], [-(2**40), 1]])
+    assert norm_topk._products(big, big).tolist() == [[2**63 - 1, -(2**63)], [-(2**63), 2**63 - 1]]
+    some = np.array([[2**28, 1]])
+    assert norm_topk._products(some, some)[0, 0] == 2**56 + 1
+
+
+def test_approximate_top(spark):
+    rows, df = vectors(spark)
+    want = nearest_by_hand(rows, 20, 20, lambda x: x, False)
+    found = defaultdict(list)
+    for r in collision_ann.nearest(df, 20, 20).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in found.get(q, [])}) for q in want)
+    assert hits >= 0.95 * sum(map(len, want.values()))
+    assert {q: len(x) for q, x in found.items()} == {q: len(x) for q, x in want.items() if x}
+    exact = {(q, i): s for q, x in want.items() for i, s in x}
+    assert all(exact[q, i] == s for q, x in found.items() for i, s in x if (q, i) in exact)
+
+
+def test_chat_round_trip(spark):
+    texts = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "plain", None, "<", "|x|>", "a\nb", "<\\\\|<|"]
+    rows = [(1, i, "assistant" if i % 2 else "user", t, "c") for i, t in enumerate(texts)]
+    rows += [(2, 0, None, "x", "c"), (2, 0, None, "x", "c"), (None, None, "a\nb<|", "y", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string").repartition(3)
+    made = {r["conv_id"]: r for r in chat_format.formatted_conversations(df).collect()}
+    assert chat_format.parse(made[1]["formatted"]) == [(r[2], r[3] or "") for r in rows[: len(texts)]]
+    assert chat_format.parse(made[2]["formatted"]) == [("", "x")] * 2
+    assert chat_format.parse(made[None]["formatted"]) == [("a\nb<|", "y")]
+    masked = [chat_format.unescaped(made[1]["formatted"][s["start"] : s["end"]]) for s in made[1]["loss_spans"]]
+    assert masked == [t or "" for t in texts[1::2]]
+    assert chat_format.formatted_conversations(df.limit(0)).count() == 0
+
+
+def test_chat_parts():
+    parts = [{"type": "text", "text": "see <|image_0|>"}, {"type": "image", "ref": "a.png", "width": 57, "height": 28}, {"type": "audio", "ref": "b", "seconds": 1.01}, {"type": "document", "ref": "c", "pages": 2}]
+    made = chat_format.format_conversation([("user", parts), ("assistant", [{"type": "text", "text": "ok"}])], chat_format.Template())
+    assert [(a["placeholder"], a["ref"], a["tokens"]) for a in made.attachments] == [("<|image_0|>", "a.png", 4), ("<|audio_1|>", "b", 26), ("<|document_2|>", "c", 2048)]
+    assert made.text == "<|im_start|>user\nsee <\\|image_0|><|image_0|><|audio_1|><|document_2|><|im_end|>\n<|im_start|>assistant\nok<|im_end|>\n"
+    assert [made.text[a:b] for a, b in made.loss] == ["ok"]
+    with pytest.raises(ValueError, match="part type"):
+        chat_format.format_conversation([("user", [{"type": "video"}])], chat_format.Template())
+
+
+def test_language_fusion(spark):
+    rng = random.Random(1)
+    texts = {"en": ["the", "and", "with", "thing"], "fr": ["les", "été", "dans", "être"]}
+    docs = [(i, " ".join(rng.choices(texts[lang], k=30)), lang) for i in range(60) for lang in ("en", "fr")]
+    model = language_id.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert model.languages == ("en", "fr")
+    records = [(i, None if i % 5 == 0 else " ".join(rng.choices(texts["en" if i % 3 else "fr"], k=1 + i % 4)), "fr" if i % 3 == 0 else None, "com", f"h{i % 4}", "d") for i in range(40)]
+    records += [(100, "12 34", None, None, None, None), (100, "", "fr", "com", "h1", "d")]
+    df = spark.createDataFrame(records, "id long, text string, declared string, suffix string, host string, domain string")
+    evidence = {i: r for i, r in enumerate(language_id.text_evidence(df.coalesce(1), model, language_id.Fusion()).collect())}
+    sums = defaultdict(lambda: np.zeros(2))
+    for r in evidence.values():
+        for key in ("host", "domain", "declared", "suffix"):
+            sums[key, r[key]] += np.array(r["soft"])
+    total = sum(np.array(r["soft"]) for r in evidence.values())
+    found = language_id.fused(df, model).collect()
+    assert len(found) == len(records)
+    want = []
+    for r in evidence.values():
+        groups = [sums[key, r[key]] if r[key] is not None else np.full(2, np.nan) for key in ("host", "domain", "declared", "suffix")]
+        p = language_id.fuse(np.array([r["evidence"]]), np.array([r["soft"]]), *[g[None] for g in groups], total, language_id.Fusion())[0]
+        want.append((r["id"], r["letters"] > 0 and p.max() >= 0.5, round(p.max(), 6)))
+    assert sorted(want) == sorted((r["id"], r["accepted"], round(r["probability"], 6)) for r in found)
+    assert all((r["lang"] == "und") == (not r["accepted"]) for r in found)
+    right = [r["lang"] == ("en" if r["id"] % 3 else "fr") for r in found if r["accepted"]]
+    assert sum(right) > 0.9 * len(right)
+    empty = language_id.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert {r["lang"] for r in language_id.fused(df, empty).collect()} == {"und"}
+
+
+def test_page_records(spark):
+    page = '<html class="x" lang="fr-CA"><head><script>var t="<p>";</script><!-- no --></head><body>Bon &amp; jour</body></html>'
+    df = spark.createDataFrame([(1, "https://u@WWW.a.example.org:80/x", page, "c"), (2, None, None, "c")], "page_id long, url string, html string, id string")
+    one, two = language_id.page_records(df).orderBy("id").collect()
+    assert (one["declared"], one["suffix"], one["host"], one["domain"], one["text"].split()) == ("fr", "org", "www.a.example.org", "example.org", ["Bon", "&", "jour"])
+    assert (two["declared"], two["host"], two["text"]) == (None, None, "")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdehilnorst", k=rng.randint(2, 7))) for _ in range(200)]
+    docs, labels = [], []
+    for i in range(600):
+        bad = i % 6 == 0
+        w = rng.choices(words, k=rng.randint(5, 80))
+        if bad:
+            w[rng.randrange(len(w))] = rng.choice(["moronic", "scumbag"])
+        docs.append((i, " ".join(w), "c"))
+        labels.append((i, 1, int(bad)))
+    docs += [(1000, None, "c"), (1001, "", "c"), (None, "fine", "c")]
+    labels += [(5, None, None), (None, 1, 1)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    model = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    rows = toxicity.scored(d, model).collect()
+    assert len(rows) == len(docs)
+    truth = {i: x for i, _, x in labels if x is not None}
+    held = [r for r in rows if r["doc_id"] is not None and r["held_out"]]
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in held)
+    right = sum(r["predicted"] == truth[r["doc_id"]] for r in held if r["doc_id"] in truth)
+    assert right >= 0.95 * sum(r["doc_id"] in truth for r in held)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    bare = toxicity.fit(d, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert {r["predicted"] for r in toxicity.scored(d, bare).collect()} == {1}
+
+
+def test_empty_tables(spark):
+    docs = documents(spark).limit(0)
+    assert superminhash.near_duplicates(docs).count() == 0
+    assert substring_dedup.deduplicated(docs).count() == 0
+    assert sequence_packing.pack_documents(docs, registry.tokenizer_file()).count() == 0
+    assert shard_packing.shard_documents(docs, 4).count() == 0
+    assert mixing.taken_words(docs).count() == 0
+    assert mixing.mixed_documents(docs).count() == 0
+    none = vectors(spark)[1].limit(0)
+    assert norm_topk.top_products(none, 50, 5).count() == 0
+    assert collision_ann.nearest(none, 20, 20).count() == 0
