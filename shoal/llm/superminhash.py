@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 
 from shoal.llm import vectext
 from shoal.llm.spread import settled
-from shoal.operators.components import connected_components
+from shoal.operators.components import connected_components, union_find
 
 _STEP = 40  # bits of the fraction in a slot's value
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Members of a bucket that are compared with each other in one task, at most twice as many.
 BLOCK_MEMBERS = 1024
-#: Members verified against one centre in one task, about.
-MEMBERS_A_TASK = 256
+#: Members of a family whose full sets are compared in one task, at most twice as many.
+FAMILY_BLOCK = 256
+#: Shared elements that are laid out at a time in a comparison.
+SLICE = 8192
 
 
 @dataclass(frozen=True)
@@ -34,8 +36,8 @@ class NearDuplicates:
     """Words a shingle; 100 * intersection >= percent * union links; bands of rows slots each.
 
     A link at exactly the threshold t is missed in all bands with probability
-    (1 - t^rows)^bands: 3e-8 here at 0.8. Pairs whose estimate lies more than ``slack`` below
-    the threshold (over five standard deviations) are not verified.
+    (1 - t^rows)^bands: 3e-8 here at 0.8. Bucket mates whose estimate lies more than ``slack``
+    below the threshold (over five standard deviations) don't count as candidates.
     """
 
     shingle: int = 4
@@ -232,70 +234,67 @@ def _forest(how: NearDuplicates):
     return run
 
 
-def _across(how: NearDuplicates):
-    """All likely pairs of a bucket's strays (side 0) with its members of other components (side 1)."""
-    least = how.percent / 100 - how.slack
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``, exactly.
+
+    Sets become rows of 0 and 1 over their common elements, a slice of those at a time, and
+    the sizes are matrix products.
+    """
+    sizes = np.array([len(x) for x in [*a, *b]])
+    elements, at, count = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(elements), -1)
+    place[shared] = np.arange(len(shared))
+    column, row = place[at], np.repeat(np.arange(len(sizes)), sizes)
+    column, row = column[column >= 0], row[column >= 0]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, len(shared), SLICE):
+        x, z = np.searchsorted(column, (low, low + SLICE))
+        hot = np.zeros((len(sizes), min(SLICE, len(shared) - low)), np.float32)
+        hot[row[x:z], column[x:z] - low] = 1
+        out += hot[: len(a)] @ hot[len(a) :].T
+    return out.astype(np.int64)
+
+
+def _compared(how: NearDuplicates, inside: bool):
+    """Links of a group's side 1 with its side 0 (and, if ``inside``, with itself), as stars.
+
+    All pairs of the two blocks are decided on their full sets. Of the links, a star around
+    the smallest node of each component in the group is returned: at most one row a member.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 3):
-            side = t.column(3).to_numpy()
-            node, n, component = (t.column(i).to_numpy() for i in (4, 5, 6))
-            tags = _matrix(t.column(7))
-            s, m = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not len(s) or not len(m):
+            side, node, component = (t.column(i).to_numpy() for i in (3, 4, 5))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(6)]
+            left = np.arange(len(side)) if inside else np.flatnonzero(side == 0)
+            right = np.flatnonzero(side == 1)
+            if len(left) < 1 + inside or not len(right):
                 continue
-            x, y, _ = _estimates(tags[s], tags[m], least)
-            x, y = s[x], m[y]
-            ok = (component[x] != component[y]) & _alike(n[x], n[y], how.percent)
-            if ok.any():
-                yield _pair_batch(node[x[ok]], node[y[ok]])
+            n = np.array([len(x) for x in sets])
+            both = _intersections([sets[i] for i in left], [sets[i] for i in right])
+            linked = 100 * both >= how.percent * (n[left][:, None] + n[right][None, :] - both)
+            linked &= component[left][:, None] != component[right][None, :]
+            x, y = np.nonzero(linked)
+            if len(x):
+                nodes, roots = union_find(node[left[x]], node[right[y]])
+                yield _pair_batch(nodes[nodes != roots], roots[nodes != roots])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame:
-    """The pairs (a, c) whose full sets pass the threshold.
-
-    Pairs go to their c in tasks of about MEMBERS_A_TASK; each has the set of c once.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, whole = None, np.zeros(0, np.uint64)
-        for b in batches:
-            c, part, side, a = (b.column(i).to_pylist() for i in range(4))
-            linked = []
-            for i in range(b.num_rows):
-                own = np.frombuffer(b.column(4)[i].as_buffer(), np.uint64)
-                if side[i] == 0:
-                    key, whole = (c[i], part[i]), own
-                    continue
-                if key != (c[i], part[i]):
-                    raise RuntimeError("a centre's set is missing")
-                at = np.searchsorted(whole, own)
-                both = int((whole[np.minimum(at, len(whole) - 1)] == own).sum())
-                if 100 * both >= how.percent * (len(whole) + len(own) - both):
-                    linked.append((a[i], c[i]))
-            if linked:
-                x, y = np.array(linked, np.int64).T
-                yield _pair_batch(x, y)
-
-    parts = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_A_TASK).cast("long").alias("parts"))
-    dealt = pairs.join(parts, "c").select("c", F.pmod(F.xxhash64("a"), "parts").alias("part"), "a")
-    members = dealt.join(sets.withColumnRenamed("node", "a"), "a").select("c", "part", F.lit(1).alias("side"), "a", "elements")
-    centres = dealt.select("c", "part").distinct().join(sets.withColumnRenamed("node", "c"), "c")
-    centres = centres.select("c", "part", F.lit(0).alias("side"), F.col("c").alias("a"), "elements")
-    both = centres.union(members).repartition("c", "part").sortWithinPartitions("c", "part", "side")
-    return both.mapInArrow(run, _PAIRS)
-
-
 def near_duplicates(docs: DataFrame, how: NearDuplicates | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    Documents with equal sets are one node from the start. Buckets (equal band hashes) give
-    candidates in two steps: a spanning forest of each bucket's likeliest links, then, where
-    verified links leave a bucket in several components, all its likely pairs across them. So
-    what is verified beyond a few pairs a document are pairs that may still join components,
-    and none of them is left out.
+    Documents with equal sets are one node from the start. A spanning forest of each bucket's
+    likely pairs joins nodes to families: every candidate pair lies in one family. Families
+    are then settled on full sets in blocks, exactly. First each block by itself and against
+    the family's first block; then, where that leaves a family in several components, all
+    members outside its main component against all members. A family that holds together is
+    thus settled in work that grows with its size, and pairs are never written out as rows:
+    a block returns stars.
 
     A null or wordless text has the empty set, is linked with nothing and keeps its row. A
     null id counts as larger than any other and stays null; rows that repeat an id are
@@ -311,7 +310,7 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates | None = None, id_col:
     nodes = full.join(firsts, ["node", "k"]).dropDuplicates(["node"])
     slots = nodes.select("node", F.explode("bands").alias("band"))
     shared = slots.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
-    members = settled(slots.join(shared.where("low <> high"), "band").select("band", "size", "node"))
+    members = settled(slots.join(shared.where("low <> high"), "band").select("band", "size", "low", "node"))
     wanted = members.select("node").distinct()
     known = settled(nodes.join(wanted, "node").select("node", "k", "n", "tags"))
 
@@ -334,31 +333,47 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates | None = None, id_col:
     block = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("size") / BLOCK_MEMBERS).cast("long"))
     blocks = members.join(tagged, "node").select("band", block.alias("block"), "node", "n", "tags")
     blocks = blocks.repartition("band", "block").sortWithinPartitions("band", "block", "node")
-    likely = settled(blocks.mapInArrow(_forest(how), _PAIRS).distinct())
-    links = settled(_verified(likely, sets, how))
+    likely = blocks.mapInArrow(_forest(how), _PAIRS).distinct()
+    # A bucket of several blocks is one family throughout.
+    large = members.where(F.col("size") > BLOCK_MEMBERS).select(F.col("node").alias("a"), F.col("low").alias("c"))
+    families = connected_components(likely.union(large.distinct()), "a", "c", settled)
+    families = settled(families.withColumnRenamed("component", "family"))
+
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    lines = F.ceil(F.col("size") / FAMILY_BLOCK).cast("long")
+    spread = families.join(sizes.select("family", lines.alias("lines")), "family")
+    spread = spread.withColumn("line", F.pmod(F.xxhash64("node"), "lines"))
+    zero = F.lit(0).cast("long")
+    own = spread.select("family", "line", zero.alias("column"), F.lit(1).alias("side"), "node", F.col("node").alias("component"))
+    pivot = spread.where("line = 0 and lines > 1").withColumn("line", F.explode(F.expr("sequence(1L, lines - 1)")))
+    pivot = pivot.select("family", "line", zero.alias("column"), F.lit(0).alias("side"), "node", F.col("node").alias("component"))
+
+    def compared(rows: DataFrame, inside: bool) -> DataFrame:
+        rows = rows.join(sets, "node").select("family", "line", "column", "side", "node", "component", "elements")
+        rows = rows.repartition("family", "line", "column").sortWithinPartitions("family", "line", "column", "side")
+        return rows.mapInArrow(_compared(how, inside), _PAIRS)
+
+    links = settled(compared(own.union(pivot), True))
     labels = connected_components(links, "a", "c", settled)
-
-    where = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    where = settled(where.select("band", "node", "component"))
-    by = where.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
-    split = by.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("size"), F.max("m").alias("most"))
-    split = split.where("most < size").select(
-        "band",
+    where = families.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    where = settled(where.select("family", "node", "component"))
+    by = where.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
+    split = by.groupBy("family").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("size"), F.max("m").alias("most"))
+    # One block has met all of itself already.
+    split = split.where((F.col("most") < F.col("size")) & (F.col("size") > FAMILY_BLOCK)).select(
+        "family",
         "main",
-        F.ceil(F.col("size") / BLOCK_MEMBERS).cast("long").alias("columns"),
-        F.ceil((F.col("size") - F.col("most")) / BLOCK_MEMBERS).cast("long").alias("lines"),
+        F.ceil(F.col("size") / FAMILY_BLOCK).cast("long").alias("columns"),
+        F.ceil((F.col("size") - F.col("most")) / FAMILY_BLOCK).cast("long").alias("lines"),
     )
-    spread = where.join(split, "band").join(tagged, "node")
-    line, column = F.pmod(F.xxhash64("node", "band"), "lines"), F.pmod(F.xxhash64("node", "band"), "columns")
+    spread = where.join(split, "family")
+    line, column = F.pmod(F.xxhash64("node"), "lines"), F.pmod(F.xxhash64("node"), "columns")
     strays = spread.where("component <> main").withColumn("line", line).withColumn("column", F.explode(F.expr("sequence(0L, columns - 1)")))
     others = spread.withColumn("column", column).withColumn("line", F.explode(F.expr("sequence(0L, lines - 1)")))
-    names = ["node", "n", "component", "tags"]
-    meet = strays.select("band", "line", "column", F.lit(0).alias("side"), *names).union(
-        others.select("band", "line", "column", F.lit(1).alias("side"), *names)
+    meet = strays.select("family", "line", "column", F.lit(0).alias("side"), "node", "component").union(
+        others.select("family", "line", "column", F.lit(1).alias("side"), "node", "component")
     )
-    meet = meet.repartition("band", "line", "column").sortWithinPartitions("band", "line", "column")
-    rest = settled(meet.mapInArrow(_across(how), _PAIRS).distinct().join(likely, ["a", "c"], "left_anti"))
-    more = _verified(rest, sets, how)
+    more = compared(meet, False)
     final = connected_components(links.union(more), "a", "c", settled)
 
     smallest = firsts.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
