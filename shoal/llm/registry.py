@@ -32,9 +32,9 @@ def op2_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from shoal.llm.superminhash import near_duplicates
+    from shoal.llm.superminhash import NearDuplicates, near_duplicates
 
-    return near_duplicates(rows_of(spark, sf_dir, "documents"))
+    return near_duplicates(rows_of(spark, sf_dir, "documents"), NearDuplicates(shingle=4))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

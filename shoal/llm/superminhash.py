@@ -40,7 +40,7 @@ class NearDuplicates:
     below the threshold (over five standard deviations) don't count as candidates.
     """
 
-    shingle: int = 4
+    shingle: int = 5
     percent: int = 80
     bands: int = 32
     rows: int = 4

@@ -59,7 +59,7 @@ def test_near_duplicates(spark):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 x, y = sorted((top(a), top(b)))
                 root[y] = x
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in superminhash.near_duplicates(documents(spark)).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in superminhash.near_duplicates(documents(spark), superminhash.NearDuplicates(shingle=4)).collect()}
     assert found == {k: (len(s), top(k), top(k) == k) for k, s in sets.items()}
 
 
@@ -82,7 +82,7 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
             for b in range(a):
                 if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     label[a] = label[b] = min(label[a], label[b])
-    found = {r["doc_id"]: r["component_id"] for r in superminhash.near_duplicates(documents(spark, texts)).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in superminhash.near_duplicates(documents(spark, texts), superminhash.NearDuplicates(shingle=4)).collect()}
     assert found == {3 * i: 3 * x for i, x in enumerate(label)}
 
 
