@@ -73,11 +73,17 @@ def _labelled(places: DataFrame, dims: int, params: ClusterParams, grid: list[in
 def numbered(labelled: DataFrame) -> DataFrame:
     """(component, cluster_id): clusters numbered from 0 in the order of their smallest core id.
 
-    The numbers need one order over all clusters; only distinct components take part.
+    Components are dealt by range; each range counts its own, and the ranges' totals (a row a
+    partition) give it its start, so no task orders all clusters.
     """
     kinds = labelled.where("component is not null").select("component").distinct()
-    order = Window.orderBy("component")
-    return kinds.select("component", (F.row_number().over(order) - 1).cast("int").alias("cluster_id"))
+    dealt = settled(kinds.repartitionByRange("component").withColumn("slice", F.spark_partition_id()))
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.select("slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("slice").orderBy("component")) - 1
+    rows = dealt.withColumn("place", place).join(starts, "slice")
+    return rows.select("component", (F.col("start") + F.col("place")).cast("int").alias("cluster_id"))
 
 
 def cluster_points(points: DataFrame, params: ClusterParams, nan_as_noise: bool = False) -> DataFrame:
