@@ -41,7 +41,8 @@ def settled(df: DataFrame) -> DataFrame:
             where = tempfile.mkdtemp(prefix="shoal-checkpoint-")
         context.setCheckpointDir(where)
     done = df.checkpoint()
-    # Shuffle files of what is now computed go when their handles do, not some time later.
-    gc.collect()
-    context._jvm.System.gc()
+    if not context.master.startswith("local["):
+        # Shuffle files of what is now computed go when their handles do, not some time later.
+        gc.collect()
+        context._jvm.System.gc()
     return done
