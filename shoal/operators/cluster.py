@@ -6,17 +6,21 @@ smallest core id. A border point takes the lowest cluster among its core neighbo
 is -1. Nothing depends on row order or partitioning.
 
 Points at the same place are first collapsed into one with a weight, so a place that holds a
-third of all rows costs one row in the joins. The grid join runs twice: for the counts, and
-between all places and core places only; no list of all pairs is kept.
+third of all rows costs one row in the joins. The grid join runs three times: for the counts, between
+cores of different cells, and from the others to the cores. Each feeds an aggregation or a
+contraction at once; no list of pairs is kept.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoal.functions.geometry import distance
 from shoal.operators.components import connected_components
-from shoal.operators.neighbors import eps_pairs, grid_dims
+from shoal.operators.neighbors import GRID_DIMS, eps_pairs, grid_dims
 from shoal.params import ClusterParams
 from shoal.session import settled
 from shoal.sources.points import checked
@@ -56,16 +60,33 @@ def label_places(points: DataFrame, dims: int, params: ClusterParams) -> DataFra
     return _labelled(places, dims, params, grid)
 
 
+def _stand_ins(cores: DataFrame, dims: int, eps: float) -> DataFrame:
+    """``cores`` with stand: the smallest core id of a cell in which any two points are close.
+
+    Such cells (side eps over the root of the dimension) collapse crowded places for the
+    component search. A core whose distance to its stand-in isn't below eps, by rounding,
+    stands for itself; so do all where the cells would be too fine to matter.
+    """
+    if dims > GRID_DIMS:
+        return cores.withColumn("stand", F.col("id"))
+    keys = [f"_k{i}" for i in range(dims)]
+    side = F.lit(eps / math.sqrt(dims) * (1 - 1e-9))
+    placed = cores.select("id", "vec", *[F.floor(F.col("vec")[i] / side).cast("long").alias(k) for i, k in enumerate(keys)])
+    firsts = settled(placed.groupBy(*keys).agg(F.min(F.struct("id", "vec")).alias("first")))
+    close = distance(F.col("vec"), F.col("first.vec"), dims) < F.lit(float(eps))
+    stand = F.when(close, F.col("first.id")).otherwise(F.col("id"))
+    return placed.join(firsts, keys).select("id", "vec", stand.alias("stand"))
+
+
 def _labelled(places: DataFrame, dims: int, params: ClusterParams, grid: list[int]) -> DataFrame:
-    cores = places.where("core").select("id", "vec")
-    once = ~F.col("a_core") | (F.col("a_id") > F.col("b_id"))
-    met = eps_pairs(places.select("id", "vec", "core"), cores, dims, params.eps, grid, keep=once)
-    met = settled(met.select(F.col("a_id").alias("id"), F.col("a_core").alias("core"), F.col("b_id").alias("near")))
-    labels = connected_components(met.where("core").select("id", "near"), "id", "near", settled, ALONE)
-    own = cores.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    own = own.select("id", F.coalesce("component", "id").alias("component"))
-    near = met.where("not core").join(own.withColumnRenamed("id", "near"), "near")
-    border = near.groupBy("id").agg(F.min("component").alias("component"))
+    cores = settled(_stand_ins(places.where("core").select("id", "vec"), dims, params.eps))
+    apart = F.col("a_stand") > F.col("b_stand")
+    met = eps_pairs(cores, cores, dims, params.eps, grid, keep=apart).select("a_stand", "b_stand")
+    labels = connected_components(met, "a_stand", "b_stand", settled, ALONE).withColumnRenamed("node", "stand")
+    own = cores.join(labels, "stand", "left").select("id", "vec", F.coalesce("component", "stand").alias("component"))
+    own = settled(own)
+    border = eps_pairs(places.where("not core").select("id", "vec"), own, dims, params.eps, grid)
+    border = border.groupBy(F.col("a_id").alias("id")).agg(F.min("b_component").alias("component"))
     label = own.select("id", "component", F.lit(CORE).alias("tag")).union(border.select("id", "component", F.lit(BORDER).alias("tag")))
     return places.join(label, "id", "left").select("vec", "id", "neighbors", F.coalesce("tag", F.lit(NOISE)).alias("tag"), "component")
 
