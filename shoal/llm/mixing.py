@@ -229,8 +229,9 @@ def mix(sizes: DataFrame, mixture: Mixture) -> Mixed:
         .withColumn("low", F.greatest(F.col("start") - F.col("block") * block, F.lit(0)))
         .withColumn("high", F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block)))
     )
+    # Both sides grow with the corpus; the slots' estimated size is that of the shard table.
     parts = (
-        pieces.join(slots, ["src", "block"])
+        pieces.hint("merge").join(slots, ["src", "block"])
         .withColumn("high", F.least("high", "take"))
         .where("high > low")
         .withColumn("base", F.col("block") * block - F.col("start"))
