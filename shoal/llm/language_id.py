@@ -182,7 +182,8 @@ def fused(records: DataFrame, model: LanguageModel, fusion: Fusion | None = None
     for key in ("host", "domain", "declared", "suffix"):
         # A record without the field looks for a key of its own, which no group has.
         alone = F.concat(F.lit(" "), F.hash("id", "evidence").cast("string"))
-        found = sums(key).withColumnRenamed(key, "_group")
+        # Sums are computed by themselves, so that the join can be split where a group is large.
+        found = settled(sums(key).withColumnRenamed(key, "_group"))
         rows = rows.join(found, F.coalesce(F.col(key), alone) == F.col("_group"), "left").drop("_group")
     groups = [f"{key}_sum" for key in ("host", "domain", "declared", "suffix")]
     languages = np.array([*model.languages, UNDETERMINED], object)
