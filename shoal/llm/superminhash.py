@@ -378,7 +378,8 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates | None = None, id_col:
 
     smallest = firsts.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = settled(smallest)
-    lowest = smallest.groupBy("component").agg(F.min("k").alias("component_id"))
+    # Computed by itself, so that the join below can be split where a component is large.
+    lowest = settled(smallest.groupBy("component").agg(F.min("k").alias("component_id")))
     classes = smallest.join(lowest, "component").select("node", "component_id")
     linked = rows.where("n > 0").join(classes, "node").select("k", "n", "component_id")
     alone = rows.where("n = 0").select("k", "n", F.col("k").alias("component_id"))
