@@ -17,17 +17,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language can't be told (no letters, or no language likely enough) go."""
     reachable(spark)
     model = language_id.fit(docs)
-    found = language_id.fused(language_id.document_records(docs), model)
-    rejected = found.where(~F.col("accepted")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    # A row's id, source and text decide alone, so rows alike in them share a decision.
+    text_hash = F.xxhash64("text")
+    rows = docs.withColumn("_shoal_row", F.struct("doc_id", text_hash.alias("h")))
+    found = language_id.fused(language_id.document_records(rows, id_col="_shoal_row"), model)
+    rejected = found.where(~F.col("accepted")).select(F.col("id.doc_id").alias("_shoal_id"), F.col("id.h").alias("_shoal_h"), F.col("host").alias("_shoal_source")).distinct()
+    same = (docs["doc_id"].eqNullSafe(F.col("_shoal_id"))) & (F.xxhash64(docs["text"]) == F.col("_shoal_h")) & (docs["source"].cast("string").eqNullSafe(F.col("_shoal_source")))
+    return docs.join(rejected, same, "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their shingles, directly or through others, the smallest id stays."""
+    """Of documents linked by their shingles, directly or through others, one of the smallest id stays."""
     reachable(spark)
-    found = superminhash.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return superminhash.without_near_duplicates(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,12 +7,12 @@ rows a key) give every slice its start.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal.session import reachable, settled
 
-__all__ = ["SPREAD", "ranked", "rows_of", "running_start", "settled"]
+__all__ = ["SPREAD", "numbered", "one_of_each", "ranked", "row_hash", "rows_of", "running_start", "settled"]
 
 SPREAD = 128
 
@@ -57,3 +57,36 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, spread:
     """Adds ``name``: each row's place in its keys, gapless from 0, in an order as above."""
     one = df.withColumn("_one", F.lit(1).cast("long"))
     return running_start(one, keys, order, "_one", name, spread).drop("_one")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The distinct values of ``order`` (not null) with ``name``: their places in it, from 0.
+
+    They are dealt by range, and the ranges' totals (a row a partition) give each its start.
+    """
+    dealt = settled(rows.select(*order).distinct().repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_slice").orderBy(*order)) - 1
+    found = dealt.withColumn("_place", place).join(starts, "_slice")
+    return found.select(*order, (F.col("_start") + F.col("_place")).cast("long").alias(name))
+
+
+def row_hash(df: DataFrame, names: list[str]) -> Column:
+    """A hash of the columns ``names``, without those that hold maps (they have no hash)."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return F.xxhash64(*[F.col(c) for c in names if "map<" not in kinds[c] and "variant" not in kinds[c]])
+
+
+def one_of_each(df: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with one row of each of the ``keys`` in ``repeated`` and all other rows.
+
+    Which one depends on the rows alone: that with the least hash.
+    """
+    several = df.join(repeated.select(*keys), keys, "left_semi").select(*df.columns)
+    one = several.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(keys)]).agg(
+        F.min_by(F.struct(*df.columns), row_hash(df, df.columns)).alias("_row")
+    )
+    others = df.join(repeated.select(*keys), keys, "left_anti").select(*df.columns)
+    return others.union(one.select("_row.*"))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import vectext
+from shoal.llm.spread import numbered, one_of_each, settled
 
 LAST = 2**63 - 1
 
@@ -314,15 +315,42 @@ def _cut(raw: bytes, stay: np.ndarray) -> str:
     return data[keep].tobytes().decode()
 
 
+def _ordered(docs: DataFrame, how: RepeatWindows, id_col: str, text_col: str, key: str) -> DataFrame:
+    """``docs`` with ``key``: a number for each id and text, in the order of ids.
+
+    It is the id itself unless rows share one. Rows alike in id and text are left out but for
+    one where all their words would go; those too short for a window stay, and share a number.
+    """
+    by = [key, "_shoal_h"]
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST).cast("long")), by[1]: F.xxhash64(text)})
+    texts = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
+    shared = texts.groupBy(key).agg(F.count(F.lit(1)).alias("texts"), F.max("rows").alias("rows"))
+    shared = settled(shared.where("texts > 1 or rows > 1"))
+    if not shared.where("rows > 1").isEmpty():
+        words = F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+        several = keyed.join(shared.where("rows > 1").select(key), key, "left_semi").where(words >= how.window)
+        again = settled(several.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*by))
+        keyed = one_of_each(keyed, again, by)
+    if not shared.where("texts > 1").isEmpty():
+        number = settled(numbered(keyed, by, "_shoal_n"))
+        keyed = keyed.join(number, by).drop(key).withColumnRenamed("_shoal_n", key)
+    return keyed.select(*docs.columns, key)
+
+
 def without_repeats(docs: DataFrame, how: RepeatWindows | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut out of its texts, all other columns as they are.
 
     Untouched texts stay byte for byte. A document that loses all its words goes; one that
     had none stays. ``n_chars``, where there is such a column, is counted anew.
+
+    Every row is a document of its own. Earlier is what has the smaller id (null is the
+    largest); rows that share one come in the order of their texts' hashes, and of rows alike
+    in both any is the first, so that the others lose all, if they have a window at all.
     """
     how = how or RepeatWindows()
-    names, key, text = docs.columns, "_shoal_k", "_shoal_text"
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST).cast("long")))
+    names, key = docs.columns, "_shoal_k"
+    keyed = _ordered(docs, how, id_col, text_col, key)
     texts = keyed.select(F.col(key).alias("k"), F.col(text_col).cast("string").alias("text"))
     found = repeated_windows(texts, how).withColumnsRenamed({"k": key, "found": "_shoal_found"})
     joined = keyed.join(found, key, "left")

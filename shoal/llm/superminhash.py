@@ -14,13 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import vectext
-from shoal.llm.spread import settled
+from shoal.llm.spread import one_of_each, settled
 from shoal.operators.components import connected_components, union_find
 
+LAST = 2**63 - 1
 _STEP = 40  # bits of the fraction in a slot's value
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Members of a bucket that are compared with each other in one task, at most twice as many.
@@ -137,16 +138,16 @@ def _longs(rows: np.ndarray) -> pa.Array:
 
 
 def described(texts: DataFrame, how: NearDuplicates) -> DataFrame:
-    """(k, text) to (k, n, node, tags, bands); node is the set's fingerprint, 0 of an empty set."""
+    """(k, text, h) to (k, h, n, node, tags, bands); node is the set's fingerprint, 0 of an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in vectext.blocks(batches, 1):
             n, prints, tags, bands = _described(b.column(1), how)
             node = np.where(n > 0, prints.view(np.int64), 0)
-            arrays = [b.column(0), pa.array(n), pa.array(node), _binary(tags), _longs(bands)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["k", "n", "node", "tags", "bands"])
+            arrays = [b.column(0), b.column(2), pa.array(n), pa.array(node), _binary(tags), _longs(bands)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["k", "h", "n", "node", "tags", "bands"])
 
-    return texts.mapInArrow(run, "k long, n long, node long, tags binary, bands array<long>")
+    return texts.mapInArrow(run, "k long, h long, n long, node long, tags binary, bands array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -300,19 +301,55 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates | None = None, id_col:
     null id counts as larger than any other and stays null; rows that repeat an id are
     documents of their own that share it. An empty table gives no rows.
     """
-    how = how or NearDuplicates()
-    last = F.lit(2**63 - 1).cast("long")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("k"), F.col(text_col).cast("string").alias("text"))
+    shown = lambda c: F.when(F.col(c) < LAST, F.col(c))
+    return _classified(docs, how or NearDuplicates(), id_col, text_col).select(
+        shown("k").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        shown("component_id").alias("component_id"),
+        (F.col("k") == F.col("component_id")).alias("kept"),
+    )
+
+
+def without_near_duplicates(docs: DataFrame, how: NearDuplicates | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, columns as they are; rows without words stay.
+
+    The row with the smallest id stays (null is the largest), of several with that id the one
+    with the least hash of its text, of rows alike in both any one. Other rows are judged each
+    by itself, whatever ids they share.
+    """
+    names, key = docs.columns, ["_shoal_k", "_shoal_h"]
+    found = _classified(docs, how or NearDuplicates(), id_col, text_col).where("n > 0")
+    stays = (F.col("k") == F.col("component_id")) & (F.col("h") == F.col("component_h"))
+    # Rows alike in id and text are in the same component.
+    told = found.groupBy(F.col("k").alias(key[0]), F.col("h").alias(key[1])).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("m"))
+    told = settled(told.where("not stays or m > 1"))
+    keyed = docs.withColumns({key[0]: _order(id_col), key[1]: _text_hash(text_col)})
+    left = keyed.join(told.where("not stays").select(*key), key, "left_anti").select(*keyed.columns)
+    again = told.where("stays")
+    return (left if again.isEmpty() else one_of_each(left, again, key)).select(*names)
+
+
+def _order(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST).cast("long"))
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def _classified(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
+    """Per row of ``docs``: k (its id), h (its text's hash), n, and the component's least (k, h)."""
+    texts = docs.select(_order(id_col).alias("k"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("h"))
     rows = settled(described(texts, how))
 
     full = rows.where("n > 0")
-    firsts = full.groupBy("node").agg(F.min("k").alias("k"))
-    nodes = full.join(firsts, ["node", "k"]).dropDuplicates(["node"])
+    firsts = full.groupBy("node").agg(F.min(F.struct("k", "h")).alias("at")).select("node", "at.k", "at.h")
+    nodes = full.join(firsts, ["node", "k", "h"]).dropDuplicates(["node"])
     slots = nodes.select("node", F.explode("bands").alias("band"))
     shared = slots.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
     members = settled(slots.join(shared.where("low <> high"), "band").select("band", "size", "low", "node"))
     wanted = members.select("node").distinct()
-    known = settled(nodes.join(wanted, "node").select("node", "k", "n", "tags"))
+    known = settled(nodes.join(wanted, "node").select("node", "k", "h", "n", "tags"))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in vectext.blocks(batches, 1):
@@ -326,7 +363,7 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates | None = None, id_col:
             batch = pa.RecordBatch.from_arrays([b.column(0), blobs], names=["node", "elements"])
             yield batch.filter(pa.array(mine))
 
-    sets = texts.join(known.select("k", "node"), "k").select("node", "text").mapInArrow(gathered, "node long, elements binary")
+    sets = texts.join(known.select("k", "h", "node"), ["k", "h"]).select("node", "text").mapInArrow(gathered, "node long, elements binary")
     sets = settled(sets.dropDuplicates(["node"]))
 
     tagged = known.select("node", "n", "tags")
@@ -379,14 +416,7 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates | None = None, id_col:
     smallest = firsts.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = settled(smallest)
     # Computed by itself, so that the join below can be split where a component is large.
-    lowest = settled(smallest.groupBy("component").agg(F.min("k").alias("component_id")))
-    classes = smallest.join(lowest, "component").select("node", "component_id")
-    linked = rows.where("n > 0").join(classes, "node").select("k", "n", "component_id")
-    alone = rows.where("n = 0").select("k", "n", F.col("k").alias("component_id"))
-    shown = lambda c: F.when(F.col(c) < last, F.col(c))
-    return linked.union(alone).select(
-        shown("k").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        shown("component_id").alias("component_id"),
-        (F.col("k") == F.col("component_id")).alias("kept"),
-    )
+    lowest = settled(smallest.groupBy("component").agg(F.min(F.struct("k", "h")).alias("least")))
+    classes = smallest.join(lowest, "component").select("node", F.col("least.k").alias("component_id"), F.col("least.h").alias("component_h"))
+    linked = rows.where("n > 0").join(classes, "node").select("k", "h", "n", "component_id", "component_h")
+    return linked.union(rows.where("n = 0").select("k", "h", "n", "k", "h"))
