@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import vectext
-from shoal.llm.spread import running_start, settled
+from shoal.llm.spread import ranked, row_hash, running_start, settled
 
 BLOCK_WORDS = 256
 SHARDS = 64
@@ -251,24 +251,37 @@ def taken_words(docs: DataFrame, mixture: Mixture | None = None, id_col="doc_id"
     return full.unionByName(none)
 
 
+def _ties(rows: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """``rows`` (``names`` and the keys ``by``) with ``_shoal_tie``: their places in their keys, from 0.
+
+    Rows alike in all columns are one with a count until they have their places, so that they
+    can be dealt out by them, however many they are.
+    """
+    alike = rows.withColumn("_alike", row_hash(rows, names)).groupBy(*by, "_alike")
+    alike = settled(alike.agg(F.first(F.struct(*names)).alias("_row"), F.count(F.lit(1)).alias("_rows")))
+    placed = running_start(alike, by, ["_alike"], "_rows", "_first")
+    return placed.select("_row.*", *by, F.explode(F.expr("sequence(_first, _first + _rows - 1)")).alias("_shoal_tie"))
+
+
 def mixed_documents(docs: DataFrame, mixture: Mixture | None = None, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """The mix as documents, with the columns of ``docs``.
 
     Each pass in which the mix takes words of a document gives one row whose text is those
     words, from the first taken to the last of each run, with the white space between them;
-    a document taken whole keeps its text byte for byte. Rows alike in id, source and text
-    count as one document. ``n_chars``, where there is such a column, is counted anew.
+    a document taken whole keeps its text byte for byte. Each row is a document of its own;
+    of rows alike in id, source and text each has a number, by which it finds its own place
+    in the plan. ``n_chars``, where there is such a column, is counted anew.
     """
     names = docs.columns
-    rows = settled(word_sizes(docs, id_col, text_col, source_col).dropDuplicates(["doc_id", "source", "text_hash"]))
-    mixed = mix(rows, mixture or Mixture())
+    mixed = mix(settled(word_sizes(docs, id_col, text_col, source_col)), mixture or Mixture())
     spans = mixed.parts.groupBy("src", "start", "turn").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("_shoal_spans"))
-    keys = mixed.documents.where("size > 0").select("doc_id", "source", "text_hash", "src", "start")
-    taken = keys.join(spans, ["src", "start"]).select(
-        F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("_shoal_id"),
-        F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source")).alias("_shoal_source"),
-        F.col("text_hash").alias("_shoal_hash"),
-        "_shoal_spans",
+    by = ["_shoal_id", "_shoal_source", "_shoal_hash"]
+    keys = mixed.documents.where("size > 0").select(
+        F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias(by[0]),
+        F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source")).alias(by[1]),
+        F.col("text_hash").alias(by[2]),
+        "src",
+        "start",
     )
     keyed = docs.withColumns(
         {
@@ -277,6 +290,14 @@ def mixed_documents(docs: DataFrame, mixture: Mixture | None = None, id_col="doc
             "_shoal_hash": F.xxhash64(text_col),
         }
     )
+    again = settled(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*by))
+    if not again.isEmpty():
+        plan = ranked(keys.join(again, by, "left_semi"), by, ["start"], "_shoal_tie")
+        keys = keys.join(again, by, "left_anti").withColumn("_shoal_tie", F.lit(0).cast("long")).unionByName(plan)
+        alone = keyed.join(again, by, "left_anti").withColumn("_shoal_tie", F.lit(0).cast("long"))
+        keyed = alone.unionByName(_ties(keyed.join(again, by, "left_semi"), names, by))
+        by = [*by, "_shoal_tie"]
+    taken = keys.join(spans, ["src", "start"]).select(*by, "_shoal_spans")
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +321,7 @@ def mixed_documents(docs: DataFrame, mixture: Mixture | None = None, id_col="doc
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = keyed.join(taken, ["_shoal_id", "_shoal_source", "_shoal_hash"]).select(*names, "_shoal_spans")
+    joined = keyed.join(taken, by).select(*names, "_shoal_spans")
     out = joined.mapInArrow(run, docs.schema)
     if "n_chars" in names and text_col != "n_chars":
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from shoal.llm import mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -59,3 +60,22 @@ def test_a_passage_of_two_rows_with_the_same_id_stays_once(spark, words):
         p, a, b = words(30), words(40), words(40)
         found = after(spark, "substring_dedup", rows_of((k, f"{a} {p}"), (k, f"{b} {p}")))
         assert sorted(len(t.split()) for _, t in found) == [40, 70]
+
+
+def test_the_mix_of_repeated_rows_reaches_its_targets(spark, words):
+    rows = [(k, words(30), "en", f"s{k % 3}", 0) for k in range(40)]
+    one, none = words(25), words(25)
+    rows += [(7, one, "en" if i % 2 else "fr", "s1", i % 4) for i in range(60)] + [(None, none, "en", None, 0)] * 20
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for mixture in (mixing.Mixture(block=16), mixing.Mixture(block=16, share=0.4)):
+        sizes, taken = Counter(), Counter()
+        for r in rows:
+            sizes[r[3]] += len(r[1].split())
+        found = mixing.mixed_documents(docs, mixture).collect()
+        for r in found:
+            taken[r["source"]] += len(r["text"].split())
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        for source, target in zip(order, mixing.targets([sizes[s] for s in order], mixture), strict=True):
+            assert abs(taken[source] - target) <= 0.5 + 1e-9
+    whole = mixing.mixed_documents(docs, mixing.Mixture(weights=(1.0,), share=2.0)).collect()
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in whole) == Counter([r[:4] for r in rows] * 2)
