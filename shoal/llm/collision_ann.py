@@ -8,7 +8,9 @@ the windows step by step (the arrays stay as they are), until enough candidates
 that a still wider window could hardly change the answer.
 
 Largest inner products become nearest neighbours by one more component that lifts all
-vectors to the same length; queries have 0 there.
+vectors to the same length; queries have 0 there. Lest that component drown the others, a
+block is cut into parts of similar length, each lifted to its own greatest. A query meets the
+longest part first and is done once no vector of a part is long enough for a better answer.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from shoal.llm.vectors import answers, best_each, nearest_copies, searched, usab
 class CollisionHashing:
     """``functions`` projections; collisions in ``threshold`` of them make a candidate.
 
-    Windows have half widths ``width`` * ``growth``^j, for vectors scaled to length 1. A query
-    stops once ``budget`` (a part of the block) and ``floor`` times the answers asked for are
-    candidates.
+    Windows have half widths ``width`` * ``growth``^j, for vectors scaled to length 1. In each
+    part a query stops once ``budget`` (a share of the part) and ``floor`` times the answers
+    asked for are candidates. A part's lengths differ by a factor of ``spread`` at most, unless
+    it is so small that all of it are candidates.
     """
 
     functions: int = 96
@@ -39,6 +42,7 @@ class CollisionHashing:
     budget: float = 0.15
     floor: int = 16
     rounds: int = 40
+    spread: float = 1.15
     seed: int = 11
 
 
@@ -50,8 +54,42 @@ def _exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return total
 
 
-def hashing_search(how: CollisionHashing, longest: float):
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    largest = np.abs(vectors).max(axis=1, keepdims=True)
+    return (np.sqrt(((vectors / largest) ** 2).sum(axis=1, keepdims=True)) * largest)[:, 0]
+
+
+def _parts(lengths: np.ndarray, spread: float, least: int) -> list[slice]:
+    """Descending lengths cut where they fall by ``spread``; a part has ``least`` rows, the last maybe fewer."""
+    out, first = [], 0
+    while first < len(lengths):
+        end = int(np.searchsorted(-lengths, -lengths[first] / spread, "right"))
+        end = min(len(lengths), max(end, first + least))
+        out.append(slice(first, end))
+        first = end
+    return out
+
+
+def hashing_search(how: CollisionHashing):
     def search(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, bounds: np.ndarray, top: int):
+        lengths, norms = _lengths(vectors), _lengths(queries)
+        order = np.lexsort((ids, -lengths))
+        ids, vectors, lengths = ids[order], vectors[order], lengths[order]
+        best = np.full((len(queries), top), -np.inf)
+        out = []
+        for part in _parts(lengths, how.spread, how.floor * top):
+            # A hair above, since lengths are rounded; equal scores still count.
+            going = np.flatnonzero(norms * lengths[part.start] * (1 + 1e-9) >= best[:, 0])
+            if not len(going):
+                break
+            at, found, score = collided(ids[part], vectors[part], queries[going], float(lengths[part.start]), top)
+            out.append((going[at], found, score))
+            for q, start, n in zip(*np.unique(at, return_index=True, return_counts=True), strict=True):
+                best[going[q]] = np.sort(np.concatenate((best[going[q]], score[start : start + n])))[-top:]
+        return best_each(*(np.concatenate(x) for x in zip(*out, strict=True)), top)
+
+    def collided(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, longest: float, top: int):
+        """The best ``top`` of each query's candidates among vectors of about the same length."""
         d = vectors.shape[1]
         rng = np.random.default_rng([how.seed, d])
         lines = rng.standard_normal((d + 1, how.functions)).astype(np.float32)
@@ -59,8 +97,7 @@ def hashing_search(how: CollisionHashing, longest: float):
         scaled = vectors / longest
         lift = np.sqrt(np.maximum(0.0, 1 - (scaled**2).sum(axis=1)))
         base = np.hstack((scaled, lift[:, None])).astype(np.float32) @ lines
-        norms = np.sqrt(((queries / np.abs(queries).max(axis=1, keepdims=True)) ** 2).sum(axis=1, keepdims=True)) * np.abs(queries).max(axis=1, keepdims=True)
-        asked = (queries / norms).astype(np.float32) @ lines[:-1]
+        asked = (queries / _lengths(queries)[:, None]).astype(np.float32) @ lines[:-1]
         # Sorted arrays, and each vector's place in each: a window is a run of places.
         arrays = np.sort(base, axis=0).T.copy()
         places = np.empty((how.functions, len(ids)), np.uint16 if len(ids) < 1 << 16 else np.uint32)
@@ -81,7 +118,21 @@ def hashing_search(how: CollisionHashing, longest: float):
                 count += (places[f] - first[f, q, j]) < wide[f, q, j]
             return count
 
+        def verified(q: int, found: np.ndarray):
+            near = vectors[found]
+            about = near @ queries[q]
+            if len(found) > 2 * top:
+                # Rounding apart, only these can be among the best; their scores are exact.
+                edge = np.partition(about, -top)[-top]
+                close = np.flatnonzero(about >= edge - 1e-9 * max(1e-300, np.abs(about).max()))
+                found, near = found[close], near[close]
+            score = _exact(np.broadcast_to(queries[q], near.shape), near)
+            return best_each(np.full(len(found), q), ids[found], score, top)
+
         for q in range(len(queries)):
+            if enough == len(ids):
+                out.append(verified(q, np.arange(len(ids))))
+                continue
             # The widening starts at the radius that the query before needed, or below it.
             count = collisions(q, radius)
             while radius and (count >= how.threshold).sum() >= 1.5 * enough:
@@ -93,15 +144,7 @@ def hashing_search(how: CollisionHashing, longest: float):
             found = np.flatnonzero(count >= how.threshold)
             if len(found) < enough:
                 found = np.argsort(-count.astype(np.int16), kind="stable")[:enough]
-            near = vectors[found]
-            about = near @ queries[q]
-            if len(found) > 2 * top:
-                # Rounding apart, only these can be among the best; their scores are exact.
-                edge = np.partition(about, -top)[-top]
-                close = np.flatnonzero(about >= edge - 1e-9 * max(1e-300, np.abs(about).max()))
-                found, near = found[close], near[close]
-            score = _exact(np.broadcast_to(queries[q], near.shape), near)
-            out.append(best_each(np.full(len(found), q), ids[found], score, top))
+            out.append(verified(q, found))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     return search
@@ -123,8 +166,5 @@ def nearest(vectors: DataFrame, every: int, top: int, how: CollisionHashing | No
     base = nearest_copies(rows, top + 1)
     asked = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
     queries = asked.groupBy("v").agg(F.min("query_id").alias("q")).select("q", "v", F.lit(None).cast("double").alias("bound"))
-    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))
-    longest = base.agg(F.max(largest * F.sqrt(square))).first()[0] or 1.0
-    found = searched(base, queries, top + 1, hashing_search(how, float(longest)), pa.float64())
+    found = searched(base, queries, top + 1, hashing_search(how), pa.float64())
     return answers(found, queries, asked, top)
