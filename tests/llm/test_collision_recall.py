@@ -36,3 +36,14 @@ def test_parts_cover_all_rows_and_stay_narrow():
     assert [p.start for p in parts[1:]] == [p.stop for p in parts[:-1]] and (parts[0].start, parts[-1].stop) == (0, 5000)
     assert all(p.stop - p.start <= 50 or lengths[p.start] <= 1.15 * lengths[p.stop - 1] * (1 + 1e-12) for p in parts)
     assert collision_ann._parts(np.ones(5000), 1.15, 50) == [slice(0, 5000)]
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.2, 0.5])
+def test_recall_where_the_budget_rules(sigma):
+    """Without a floor a part's share alone decides what is verified."""
+    vectors = unit(6000, 7) * np.random.default_rng(6).lognormal(0, sigma, (6000, 1))
+    assert found_part(vectors, collision_ann.CollisionHashing(floor=1)) >= 0.92
+
+
+def test_a_smaller_budget_prunes_answers():
+    assert found_part(unit(6000, 7), collision_ann.CollisionHashing(floor=1, budget=0.005)) < 0.9
