@@ -48,8 +48,9 @@ class ByteBpe(dict):
         ranks = {
             bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special
         }
-        self.special = special
-        self.find_special = re.compile("|".join(map(re.escape, sorted(special)))) if special else None
+        self.special = {x: array.array("I", [i]).tobytes() for x, i in special.items()}
+        longest_first = sorted(special, key=lambda x: (-len(x), x))
+        self.find_special = re.compile("|".join(map(re.escape, longest_first))) if special else None
         self.quick = tiktoken.Encoding("bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _ids(self, text: str) -> bytes:
@@ -69,9 +70,17 @@ class ByteBpe(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids that ``Tokenizer.encode(text, add_special_tokens=False)`` gives."""
-        if self.find_special is not None and (found := self.find_special.search(text)):
-            whole = array.array("I", [self.special[found[0]]]).tobytes()
-            return self.encode(text[: found.start()]) + whole + self.encode(text[found.end() :])
+        if self.find_special is None or self.find_special.search(text) is None:
+            return self._between(text)
+        out, at = [], 0
+        for found in self.find_special.finditer(text):
+            out += [self._between(text[at : found.start()]), self.special[found[0]]]
+            at = found.end()
+        out.append(self._between(text[at:]))
+        return b"".join(out)
+
+    def _between(self, text: str) -> bytes:
+        """The ids of a text without special tokens."""
         if not text:
             return b""
         cuts = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
