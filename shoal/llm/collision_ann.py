@@ -4,18 +4,21 @@ Each hash function is one random projection, kept as a sorted array of all vecto
 A query's bucket is not a fixed cell but a window centred on its own value. Two vectors
 collide if one lies in the other's window; a vector that collides in at least a given number
 of functions becomes a candidate and is verified by its exact score. Virtual rehashing widens
-the windows step by step (the arrays stay as they are), until enough candidates are verified
-that a still wider window could hardly change the answer.
+the windows step by step: the arrays stay as they are, and only the entries that a step adds
+on both sides of a window are counted. It ends once the windows are so wide that a vector
+nearer than the answers so far would have collided often enough.
 
 Largest inner products become nearest neighbours by one more component that lifts all
-vectors to the same length; queries have 0 there. Lest that component drown the others, a
-block is cut into parts of similar length, each lifted to its own greatest. A query meets the
-longest part first and is done once no vector of a part is long enough for a better answer.
+vectors to the same length; queries have 0 there. Lest that component drown the others, blocks
+hold vectors of similar length (see ``vectors``) and are cut into parts of still more similar
+length, each lifted to its own greatest. A query meets the longest part first and is done once
+no vector of a part is long enough for a better answer.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -29,37 +32,47 @@ from shoal.llm.vectors import answers, best_each, nearest_copies, searched, usab
 class CollisionHashing:
     """``functions`` projections; collisions in ``threshold`` of them make a candidate.
 
-    Windows have half widths ``width`` * ``growth``^j, for vectors scaled to length 1. In each
-    part a query stops once ``budget`` (a share of the part) and ``floor`` times the answers
-    asked for are candidates. A part's lengths differ by a factor of ``spread`` at most, unless
-    it is so small that all of it are candidates.
+    Windows end at the half width at which a vector as near as the worst answer so far collides
+    with probability ``likely`` in each function. They start at ``start`` times the width that
+    the score known beforehand asks for and grow by ``growth`` a step, no further than the
+    answers so far ask for. A part's lengths differ
+    by a factor of ``spread`` at most, unless it has under ``floor`` times the answers asked
+    for: all of such a part are verified.
     """
 
     functions: int = 96
-    threshold: int = 64
-    width: float = 0.25
-    growth: float = 1.2
-    budget: float = 0.15
-    floor: int = 16
-    rounds: int = 40
+    threshold: int = 68
+    likely: float = 0.75
+    start: float = 0.5
+    growth: float = 1.25
+    floor: int = 8
     spread: float = 1.15
     seed: int = 11
 
+    def __post_init__(self):
+        if not 0 < self.threshold <= self.functions or not 0 < self.likely < 1 or not 0 < self.start <= 1 < self.growth:
+            raise ValueError("threshold, likely, start or growth out of range")
 
-def _exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products of paired rows, summed in component order."""
-    total = np.zeros(len(queries))
-    for i in range(queries.shape[1]):
-        total += queries[:, i] * vectors[:, i]
+    @property
+    def reach(self) -> float:
+        """Half width of a window in units of the distance that it is to cover."""
+        return NormalDist().inv_cdf((1 + self.likely) / 2)
+
+
+def _exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products, summed in component order."""
+    total = np.zeros(len(vectors))
+    for i, x in enumerate(query.tolist()):
+        total += x * vectors[:, i]
     return total
 
 
-def _lengths(vectors: np.ndarray) -> np.ndarray:
+def lengths_of(vectors: np.ndarray) -> np.ndarray:
     largest = np.abs(vectors).max(axis=1, keepdims=True)
     return (np.sqrt(((vectors / largest) ** 2).sum(axis=1, keepdims=True)) * largest)[:, 0]
 
 
-def _parts(lengths: np.ndarray, spread: float, least: int) -> list[slice]:
+def parts_of(lengths: np.ndarray, spread: float, least: int) -> list[slice]:
     """Descending lengths cut where they fall by ``spread``; a part has ``least`` rows, the last maybe fewer."""
     out, first = [], 0
     while first < len(lengths):
@@ -70,84 +83,129 @@ def _parts(lengths: np.ndarray, spread: float, least: int) -> list[slice]:
     return out
 
 
-def hashing_search(how: CollisionHashing):
-    def search(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, bounds: np.ndarray, top: int):
-        lengths, norms = _lengths(vectors), _lengths(queries)
+#: What sets the functions' sorted arrays apart in one long array; projections stay far below.
+_APART = 64.0
+
+
+class SortedProjections:
+    """The sorted arrays of one part, end to end, and what each entry's vector is."""
+
+    def __init__(self, vectors: np.ndarray, longest: float, how: CollisionHashing):
+        n, d = vectors.shape
+        lines = np.random.default_rng([how.seed, d]).standard_normal((d + 1, how.functions))
+        # Scaled, lest squares overflow.
+        scaled = vectors / longest
+        lift = np.sqrt(np.maximum(0.0, 1 - (scaled**2).sum(axis=1)))
+        values = np.hstack((scaled, lift[:, None])) @ lines
+        self.n, self.lines, self.offsets = n, lines[:-1], _APART * np.arange(how.functions)
+        order = np.argsort(values, axis=0, kind="stable").T
+        self.vector = order.ravel()
+        self.value = (np.take_along_axis(values, order.T, axis=0).T + self.offsets[:, None]).ravel()
+
+    def centre(self, unit: np.ndarray) -> np.ndarray:
+        return unit @ self.lines + self.offsets
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.value, values)
+
+
+class CollisionIndex:
+    """A block's vectors, indexed part by part. ``touched`` array entries were counted and
+    ``verified`` vectors scored so far, for ``asked`` (query, vector) pairs."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, seeds: np.ndarray, top: int, how: CollisionHashing):
+        lengths = lengths_of(vectors)
         order = np.lexsort((ids, -lengths))
-        ids, vectors, lengths = ids[order], vectors[order], lengths[order]
-        best = np.full((len(queries), top), -np.inf)
-        out = []
-        for part in _parts(lengths, how.spread, how.floor * top):
+        self.ids, self.vectors, self.lengths = ids[order], vectors[order], lengths[order]
+        self.seeds, self.top, self.how = seeds[order], top, how
+        self.parts = parts_of(self.lengths, how.spread, how.floor * top)
+        small = how.floor * top
+        self.index = [SortedProjections(self.vectors[p], self.lengths[p.start], how) if p.stop - p.start > small else None for p in self.parts]
+        self.touched = self.verified = self.asked = 0
+
+    def __call__(self, queries: np.ndarray, bounds: np.ndarray):
+        norms = lengths_of(queries)
+        out = [self._answer(q, norm, bound) for q, norm, bound in zip(queries, norms.tolist(), bounds.tolist(), strict=True)]
+        at = np.repeat(np.arange(len(out)), [len(found) for found, _ in out])
+        found = np.concatenate([found for found, _ in out])
+        return best_each(at, self.ids[found], np.concatenate([score for _, score in out]), self.top)
+
+    def _answer(self, query: np.ndarray, norm: float, bound: float):
+        """Places and exact scores of what is verified and may be among the best."""
+        self.asked += len(self.ids)
+        known = -np.inf if np.isnan(bound) else bound
+        best = Best(self.top, known)
+        unit = query / norm
+        for part, index in zip(self.parts, self.index, strict=True):
             # A hair above, since lengths are rounded; equal scores still count.
-            going = np.flatnonzero(norms * lengths[part.start] * (1 + 1e-9) >= best[:, 0])
-            if not len(going):
+            if norm * self.lengths[part.start] * (1 + 1e-9) < best.least:
                 break
-            at, found, score = collided(ids[part], vectors[part], queries[going], float(lengths[part.start]), top)
-            out.append((going[at], found, score))
-            for q, start, n in zip(*np.unique(at, return_index=True, return_counts=True), strict=True):
-                best[going[q]] = np.sort(np.concatenate((best[going[q]], score[start : start + n])))[-top:]
-        return best_each(*(np.concatenate(x) for x in zip(*out, strict=True)), top)
-
-    def collided(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, longest: float, top: int):
-        """The best ``top`` of each query's candidates among vectors of about the same length."""
-        d = vectors.shape[1]
-        rng = np.random.default_rng([how.seed, d])
-        lines = rng.standard_normal((d + 1, how.functions)).astype(np.float32)
-        # Scaled, lest squares overflow; scores come from the original vectors.
-        scaled = vectors / longest
-        lift = np.sqrt(np.maximum(0.0, 1 - (scaled**2).sum(axis=1)))
-        base = np.hstack((scaled, lift[:, None])).astype(np.float32) @ lines
-        asked = (queries / _lengths(queries)[:, None]).astype(np.float32) @ lines[:-1]
-        # Sorted arrays, and each vector's place in each: a window is a run of places.
-        arrays = np.sort(base, axis=0).T.copy()
-        places = np.empty((how.functions, len(ids)), np.uint16 if len(ids) < 1 << 16 else np.uint32)
-        for f in range(how.functions):
-            places[f, np.argsort(base[:, f], kind="stable")] = np.arange(len(ids), dtype=places.dtype)
-        half = how.width * how.growth ** np.arange(how.rounds)
-        enough = min(len(ids), max(how.floor * top, int(how.budget * len(ids))))
-        # The window bounds of all queries and radii, by binary search.
-        first = np.stack([np.searchsorted(a, (x[:, None] - half).ravel()) for a, x in zip(arrays, asked.T, strict=True)])
-        last = np.stack([np.searchsorted(a, (x[:, None] + half).ravel(), "right") for a, x in zip(arrays, asked.T, strict=True)])
-        first = first.reshape(how.functions, len(queries), how.rounds).astype(places.dtype)
-        wide = last.reshape(how.functions, len(queries), how.rounds).astype(places.dtype) - first
-        out, radius = [], 0
-
-        def collisions(q: int, j: int) -> np.ndarray:
-            count = np.zeros(len(ids), np.uint8)
-            for f in range(how.functions):
-                count += (places[f] - first[f, q, j]) < wide[f, q, j]
-            return count
-
-        def verified(q: int, found: np.ndarray):
-            near = vectors[found]
-            about = near @ queries[q]
-            if len(found) > 2 * top:
-                # Rounding apart, only these can be among the best; their scores are exact.
-                edge = np.partition(about, -top)[-top]
-                close = np.flatnonzero(about >= edge - 1e-9 * max(1e-300, np.abs(about).max()))
-                found, near = found[close], near[close]
-            score = _exact(np.broadcast_to(queries[q], near.shape), near)
-            return best_each(np.full(len(found), q), ids[found], score, top)
-
-        for q in range(len(queries)):
-            if enough == len(ids):
-                out.append(verified(q, np.arange(len(ids))))
-                continue
-            # The widening starts at the radius that the query before needed, or below it.
-            count = collisions(q, radius)
-            while radius and (count >= how.threshold).sum() >= 1.5 * enough:
-                radius -= 1
-                count = collisions(q, radius)
-            while radius < how.rounds - 1 and (count >= how.threshold).sum() < enough:
-                radius += 1
-                count = collisions(q, radius)
-            found = np.flatnonzero(count >= how.threshold)
-            if len(found) < enough:
-                found = np.argsort(-count.astype(np.int16), kind="stable")[:enough]
-            out.append(verified(q, found))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    return search
+            if index is None:
+                self._verify(query, np.arange(part.start, part.stop), best)
+            else:
+                self._widen(query, unit, norm * float(self.lengths[part.start]), part, index, best)
+        return best.places, _exact(query, self.vectors[best.places])
+
+    def _widen(self, query: np.ndarray, unit: np.ndarray, most: float, part: slice, index: SortedProjections, best: Best) -> None:
+        how = self.how
+        done = self.seeds[part].copy()
+        self._verify(query, part.start + np.flatnonzero(done), best)
+        counts = np.zeros(index.n, np.int64)
+        centre = index.centre(unit)
+        first = last = index.places(centre)
+        half = how.start * self._needed(best, most)
+        while True:
+            wider = index.places(np.concatenate((centre - half, centre + half)))
+            low, high = wider[: how.functions], wider[how.functions :]
+            entries = [index.vector[a:z] for a, z in zip(low.tolist(), first.tolist(), strict=True)]
+            entries += [index.vector[a:z] for a, z in zip(last.tolist(), high.tolist(), strict=True)]
+            added = np.concatenate(entries)
+            self.touched += len(added)
+            counts += np.bincount(added, minlength=index.n)
+            new = (counts >= how.threshold) & ~done
+            done |= new
+            self._verify(query, part.start + np.flatnonzero(new), best)
+            needed = self._needed(best, most)
+            if half >= needed:
+                return
+            first, last = low, high
+            half = min(half * how.growth, needed)
+
+    def _needed(self, best: Best, most: float) -> float:
+        """The half width at which a vector with the least score that counts is likely to collide."""
+        cosine = best.least / most if best.least > -np.inf else -1.0
+        return self.how.reach * float(np.sqrt(max(0.0, 2 - 2 * max(-1.0, cosine))))
+
+    def _verify(self, query: np.ndarray, places: np.ndarray, best: Best) -> None:
+        if len(places):
+            self.verified += len(places)
+            best.add(places, self.vectors[places] @ query)
+
+
+class Best:
+    """The best ``top`` scores so far, with all that rounding could put among them."""
+
+    def __init__(self, top: int, known: float):
+        self.top, self.least = top, known
+        self.places, self._scores = np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, places: np.ndarray, scores: np.ndarray) -> None:
+        near = scores >= self.least - self._slack(scores)
+        self.places = np.concatenate((self.places, places[near]))
+        self._scores = np.concatenate((self._scores, scores[near]))
+        if len(self._scores) >= self.top:
+            kth = float(np.partition(self._scores, -self.top)[-self.top])
+            self.least = max(self.least, kth - self._slack(self._scores))
+            keep = self._scores >= self.least - self._slack(self._scores)
+            self.places, self._scores = self.places[keep], self._scores[keep]
+
+    @staticmethod
+    def _slack(scores: np.ndarray) -> float:
+        return 1e-9 * max(1e-300, float(np.abs(scores).max(initial=0.0)))
+
+
+def indexed(top: int, how: CollisionHashing):
+    return lambda ids, vectors, seeds: CollisionIndex(ids, vectors, seeds, top, how)
 
 
 def nearest(vectors: DataFrame, every: int, top: int, how: CollisionHashing | None = None, id_col="vec_id", vector_col="embedding") -> DataFrame:
@@ -165,6 +223,6 @@ def nearest(vectors: DataFrame, every: int, top: int, how: CollisionHashing | No
     rows = good.select(F.col(id_col).cast("long").alias("vec_id"), doubles.alias("v")).distinct()
     base = nearest_copies(rows, top + 1)
     asked = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
-    queries = asked.groupBy("v").agg(F.min("query_id").alias("q")).select("q", "v", F.lit(None).cast("double").alias("bound"))
-    found = searched(base, queries, top + 1, hashing_search(how), pa.float64())
+    queries = asked.groupBy("v").agg(F.min("query_id").alias("q")).select("q", "v")
+    found = searched(base, queries, top + 1, lambda q, v: q @ v.T, indexed(top + 1, how), pa.float64(), slack=1e-9)
     return answers(found, queries, asked, top)

@@ -1,12 +1,12 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors of a block are sorted by length and cut into buckets. For a query with the score t
-of its k-th best so far, a bucket whose greatest length is l can only hold better vectors
-with a cosine of at least t / (|q| l): above 1, the bucket and all after it are done with.
-Otherwise the bucket's local threshold decides how to prune: by length when it is low (the
-vectors long enough to reach t at all), by coordinates when it is high (the range that a unit
-vector's largest query coordinates must lie in). What remains is verified by exact integer
-products.
+Vectors are grouped by length into blocks (see ``vectors``), and those of a block into buckets
+of descending length. For a query with the score t of its k-th best so far, a bucket whose
+greatest length is l can only hold better vectors with a cosine of at least t / (|q| l):
+above 1, the bucket and all after it are done with. Otherwise the bucket's local threshold
+decides how to prune: by length when it is low (the vectors long enough to reach t at all),
+by coordinates when it is high (the ranges that a unit vector must lie in along the query's
+largest coordinates). Only what remains is multiplied, in exact integers.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoal.llm.vectors import answers, best_each, nearest_copies, searched, usable
+from shoal.llm.vectors import answers, nearest_copies, searched, usable
 
-BUCKET = 512
+BUCKET = 1_024
 #: Local cosine threshold from which coordinates prune better than lengths.
 COORDINATE_FROM = 0.5
-FOCUS = 3
-#: Longest vectors that give every query a first threshold.
-SEED_VECTORS = 256
+FOCUS = 4
+#: Vectors in a block, about.
+BLOCK = 8_192
 _SAFE = float(1 << 53)
 
 
@@ -38,63 +38,84 @@ def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.clip(whole, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, bounds: np.ndarray, top: int):
-    """(query index, id, score) of each query's best ``top`` that reach its bound (NaN: none)."""
-    norms, lengths = (np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)) for x in (queries, vectors))
-    order = np.lexsort((ids, -lengths))
-    ids, vectors, lengths = ids[order], vectors[order], lengths[order]
-    unit = vectors / np.maximum(lengths, 1e-300)[:, None]
-    asked = queries / np.maximum(norms, 1e-300)[:, None]
-    focus = np.argsort(-np.abs(asked), axis=1)[:, :FOCUS]
-    best = np.full((len(queries), top), -np.inf)
-    threshold = np.where(np.isnan(bounds), -np.inf, bounds)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    going = np.arange(len(queries))
-    for first in range(0, len(ids), BUCKET):
-        part = slice(first, first + BUCKET)
-        longest = lengths[first]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            local = threshold[going] / (norms[going] * longest)
-        local = np.where(np.isnan(local), -np.inf, local)
-        # A hair below, since lengths are rounded; equal scores still count.
-        local = np.where(threshold[going] > 0, local * (1 - 1e-9), -np.inf)
-        going, local = going[local <= 1], local[local <= 1]
-        if not len(going):
-            break
-        by_length = local < COORDINATE_FROM
-        mask = np.ones((len(going), len(ids[part])), bool)
-        if by_length.any():
-            need = np.where(threshold[going] > 0, threshold[going] / np.maximum(norms[going], 1e-300) * (1 - 1e-9), -1.0)
-            mask[by_length] = lengths[part][None, :] >= need[by_length, None]
-        by_coordinate = np.flatnonzero(~by_length)
-        if len(by_coordinate):
-            cosine = local[by_coordinate]
-            slack = np.sqrt(np.maximum(0.0, 1 - cosine**2))
-            inside = np.ones((len(by_coordinate), len(ids[part])), bool)
-            for f in range(focus.shape[1]):
-                axis = focus[going[by_coordinate], f]
-                x = asked[going[by_coordinate], axis]
-                reach = slack * np.sqrt(np.maximum(0.0, 1 - x**2)) + 1e-9
-                values = unit[part][:, axis].T
-                inside &= (values >= (x * cosine - reach)[:, None]) | (x < 0)[:, None]
-                inside &= (values <= (x * cosine + reach)[:, None]) | (x > 0)[:, None]
-            mask[by_coordinate] = inside
-        score = _products(queries[going], vectors[part])
-        hit = mask & (score >= threshold[going][:, None])
-        at, place = np.nonzero(hit)
-        found = going[at], ids[part][place], score[at, place]
-        at, kept, value = best_each(*found, top)
-        out.append((at, kept, value))
-        if len(at):
-            # The k-th best score so far of the queries that gained any.
-            touched, start = np.unique(at, return_index=True)
-            for k, a, z in zip(touched.tolist(), start.tolist(), [*start[1:].tolist(), len(at)], strict=True):
-                merged = np.sort(np.concatenate((best[k], value[a:z])))[-top:]
-                best[k] = merged
-                threshold[k] = max(threshold[k], merged[0])
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return best_each(*(np.concatenate(x) for x in zip(*out, strict=True)), top)
+class NormBuckets:
+    """A block's vectors in buckets of descending length. ``computed`` of ``possible`` products
+    were made so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: int, bucket: int = BUCKET):
+        lengths = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
+        order = np.lexsort((ids, -lengths))
+        self.ids, self.vectors, self.lengths, self.top = ids[order], vectors[order], lengths[order], top
+        self.starts = range(0, len(ids), bucket)
+        self.bucket = bucket
+        # By coordinate, so that a coordinate's values are read in one run.
+        self.unit = (self.vectors / np.maximum(self.lengths, 1e-300)[:, None]).T.copy()
+        self.most = float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
+        self.real = self.vectors.astype(np.float64)
+        self.computed = self.possible = 0
+
+    def __call__(self, queries: np.ndarray, bounds: np.ndarray):
+        """(query index, id, score) of each query's best ``top`` that reach its bound (NaN: none)."""
+        out = [self._answer(q, bound) for q, bound in zip(queries, bounds.tolist(), strict=True)]
+        at = np.repeat(np.arange(len(out)), [len(ids) for ids, _ in out])
+        return at, np.concatenate([ids for ids, _ in out]), np.concatenate([score for _, score in out])
+
+    def _answer(self, query: np.ndarray, bound: float):
+        asked = query.astype(np.float64)
+        norm = float(np.sqrt((asked**2).sum()))
+        plain = self.most * float(np.abs(asked).max(initial=0)) < _SAFE
+        unit = asked / max(norm, 1e-300)
+        focus = np.argsort(-np.abs(unit), kind="stable")[:FOCUS]
+        ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        threshold = -np.inf if np.isnan(bound) else bound
+        self.possible += len(self.ids)
+        for first in self.starts:
+            rows: slice | np.ndarray = slice(first, first + self.bucket)
+            if threshold > 0:
+                # A hair below, since lengths are rounded; equal scores still count.
+                need = threshold / max(norm, 1e-300) * (1 - 1e-9)
+                if need > self.lengths[first]:
+                    break
+                long_enough = int(np.searchsorted(-self.lengths[rows], -need, "right"))
+                rows = slice(first, first + long_enough)
+                cosine = need / self.lengths[first]
+                if cosine >= COORDINATE_FROM:
+                    rows = first + np.flatnonzero(self._inside(rows, unit, focus, min(1.0, cosine)))
+            if plain:
+                found = (self.real[rows] @ asked).astype(np.int64)
+            else:
+                found = _products(query[None], self.vectors[rows])[0]
+            self.computed += len(found)
+            hit = np.flatnonzero(found >= threshold)
+            if len(hit):
+                ids, score = np.concatenate((ids, self.ids[rows][hit])), np.concatenate((score, found[hit]))
+                best = np.lexsort((ids, -score))[: self.top]
+                ids, score = ids[best], score[best]
+                if len(ids) == self.top:
+                    threshold = max(threshold, float(score[-1]))
+        return ids, score
+
+    def _inside(self, rows: slice, unit: np.ndarray, focus: np.ndarray, cosine: float) -> np.ndarray:
+        """Which unit vectors can have that cosine, by their largest-weighted coordinates.
+
+        At an angle up to arccos(cosine) from the query, coordinate f of a unit vector lies
+        between x * cosine -+ sin * sqrt(1 - x^2), x being the query's; the side that x itself
+        points to is open if the query's own axis is within that angle.
+        """
+        sine = np.sqrt(max(0.0, 1 - cosine * cosine))
+        inside = np.ones(rows.stop - rows.start, bool)
+        for f in focus.tolist():
+            x, values = float(unit[f]), self.unit[f, rows]
+            reach = sine * np.sqrt(max(0.0, 1 - x * x)) + 1e-9
+            if x > -cosine:
+                inside &= values >= x * cosine - reach
+            if x < cosine:
+                inside &= values <= x * cosine + reach
+        return inside
+
+
+def bucketed(top: int):
+    return lambda ids, vectors, seeds: NormBuckets(ids, vectors, top)
 
 
 def top_products(vectors: DataFrame, every: int, top: int, scale: float = 256.0, id_col="vec_id", vector_col="embedding") -> DataFrame:
@@ -112,23 +133,5 @@ def top_products(vectors: DataFrame, every: int, top: int, scale: float = 256.0,
     base = nearest_copies(rows, top + 1)
     asked = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
     queries = asked.groupBy("v").agg(F.min("query_id").alias("q"))
-    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    # The longest vectors, a fixed number, give each query a score that its answers must reach.
-    seed = base.orderBy(length.desc(), "vec_id").limit(SEED_VECTORS).collect()
-    held: dict[int, np.ndarray] = {}
-    for d in {len(r["v"]) for r in seed}:
-        held[d] = np.array([r["v"] for r in seed if len(r["v"]) == d], np.int64)
-    shared = vectors.sparkSession.sparkContext.broadcast(held)
-
-    def bounded(batches):
-        for b in batches:
-            bounds = []
-            for v in b.column(1).to_pylist():
-                known = shared.value.get(len(v))
-                enough = known is not None and len(known) > top
-                bounds.append(float(np.sort(_products(np.array([v]), known)[0])[-top - 1]) if enough else None)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bounds, pa.float64())], names=["q", "v", "bound"])
-
-    queries = queries.select("q", "v").mapInArrow(bounded, "q long, v array<long>, bound double")
-    found = searched(base, queries, top + 1, search, pa.int64())
+    found = searched(base, queries, top + 1, _products, bucketed(top + 1), pa.int64(), rows=BLOCK)
     return answers(found, queries, asked, top)

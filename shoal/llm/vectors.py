@@ -1,8 +1,17 @@
-"""What the two vector searches share: usable vectors, blocks of them, merging of answers."""
+"""What the two vector searches share: blocks by length, queries that meet only blocks they
+can gain from, merging of answers.
+
+Base vectors are grouped by length, in ranges whose lengths differ by SPREAD at most, and the
+ranges are cut into blocks. Each task holds one block and answers the queries sent to it as
+they stream by. A fixed number of seed vectors gives every query a score that its answers
+must reach; a query is sent to the blocks long enough for that score, which come first.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +20,23 @@ from pyspark.sql import functions as F
 
 from shoal.llm.spread import settled
 
-#: Vectors in a block, and queries in a block, about.
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
+#: Vectors in a block, about, and their bytes at most.
+BLOCK_ROWS, BLOCK_BYTES = 16_384, 1 << 24
+#: Queries that one task answers, about, where a block has more.
+STREAM = 65_536
+#: Queries a task is worth having for.
+WORTH = 256
+#: Lengths in a range differ by this factor at most. The lengths of doubles span 1490 in logs,
+#: so there are some 31,000 ranges at most.
+SPREAD = 1.05
+#: Vectors that every query meets first: the longest, others by hash, and their bytes at most.
+SEED_LONGEST, SEED_OTHERS, SEED_BYTES = 256, 1_024, 1 << 23
+_ZERO = -(1 << 20)
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: (ids, vectors, seed mask) of a block to a function of (query vectors, bounds), which gives
+#: (query index, id, score), some best ones of each query among those that reach its bound.
+Build = Callable[[np.ndarray, np.ndarray, np.ndarray], Callable[[np.ndarray, np.ndarray], Found]]
 
 
 def usable(vector: Column) -> Column:
@@ -31,71 +55,163 @@ def nearest_copies(vectors: DataFrame, keep: int) -> DataFrame:
     return vectors.withColumn("_copy", F.row_number().over(first)).where(F.col("_copy") <= keep).drop("_copy")
 
 
+def log_length(vector: Column) -> Column:
+    """The log of the length, null for a vector of zeros; no square overflows."""
+    most = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    scaled = F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x.cast("double") / most) * (x.cast("double") / most))
+    return F.when(most > 0, F.ln(most) + F.ln(scaled) / 2)
+
+
+def log_lengths(rows: np.ndarray) -> np.ndarray:
+    most = np.abs(rows).max(axis=1, keepdims=True).astype(np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        logs = np.log(most[:, 0]) + np.log(((rows / most) ** 2).sum(axis=1)) / 2
+    return np.where(most[:, 0] > 0, logs, -np.inf)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Length ranges in blocks: ``table`` has (range, first block, blocks); group g of ranges
+    has vectors up to the log length ``limits[g]`` (descending) and ends at block ``ends[g]``."""
+
+    table: list[tuple[int, int, int]]
+    limits: np.ndarray
+    ends: np.ndarray
+
+    def reach(self, need: np.ndarray) -> np.ndarray:
+        """How many blocks, from the first, may hold vectors of at least those log lengths."""
+        groups = np.searchsorted(-self.limits, -(need - 1e-9), "right")
+        return np.concatenate(([0], self.ends))[groups]
+
+
+def layout(counts: list[tuple[int, int, float]], rows: int) -> Layout:
+    """(range, vectors, greatest log length) to blocks of about ``rows``; small ranges share one."""
+    groups: list[list] = []
+    for r, n, longest in sorted(counts, reverse=True):
+        if not groups or groups[-1][0] + n > 2 * rows:
+            groups.append([0, longest, []])
+        groups[-1][0] += n
+        groups[-1][2].append(r)
+    table, ends, first = [], [], 0
+    for n, _, ranges in groups:
+        blocks = max(1, -(-n // rows))
+        table += [(r, first, blocks) for r in ranges]
+        first += blocks
+        ends.append(first)
+    return Layout(table, np.array([g[1] for g in groups], float), np.array(ends, np.int64))
+
+
+def _seeds(base: DataFrame, dimension: int) -> DataFrame:
+    """A fixed number of vectors: the longest, and those with the least hash of their id."""
+    most = max(16, SEED_BYTES // (8 * dimension))
+    longest = base.orderBy(F.desc("range"), F.desc("log"), "vec_id", "v").limit(min(SEED_LONGEST, most))
+    others = base.orderBy(F.xxhash64("vec_id", F.lit(31)), "vec_id", "v").limit(min(SEED_OTHERS, most))
+    return longest.select("vec_id", "v").union(others.select("vec_id", "v")).distinct()
+
+
 def searched(
     base: DataFrame,
     queries: DataFrame,
     top: int,
-    search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray]],
+    products: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    build: Build,
     score_type: pa.DataType,
+    slack: float = 0.0,
     rows: int = BLOCK_ROWS,
-    at_once: int = BLOCK_QUERIES,
-    extra: Callable[[DataFrame], DataFrame] = lambda q: q,
 ) -> DataFrame:
-    """Each query's best ``top`` of ``base``, from blocks of both.
+    """(q, vec_id, score): each query's best ``top`` of every block that it meets, or more.
 
-    ``base`` has (vec_id, v), ``queries`` (q, v, bound): distinct query vectors. Each task
-    holds one block of ``base`` and one of ``queries`` of the same dimension; ``search`` gets
-    (ids, vectors, query vectors, bounds, top) and returns (query index, id, score) with at
-    most ``top`` rows a query. Returns (q, vec_id, score) over all blocks: at most ``top``
-    rows for each query and block, from which the caller takes the best.
+    ``base`` has (vec_id, v), ``queries`` (q, v): distinct query vectors. Only vectors of the
+    same dimension meet. ``products`` gives a matrix of scores, of which ``slack`` (relative)
+    is rounding. On the driver are the length ranges and the seeds, both bounded.
     """
-    base, queries = settled(base), settled(queries)
-    dimension = F.size("v")
-    n, m = base.count(), queries.count()
-    lines, columns = max(1, -(-n // rows)), max(1, -(-m // at_once))
-    line = F.pmod(F.xxhash64("vec_id"), F.lit(lines)).cast("int").alias("line")
-    column = F.pmod(F.xxhash64("q"), F.lit(columns)).cast("int").alias("column")
-    blank = F.lit(None)
-    left = base.select(dimension.alias("d"), line, F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("column"), F.lit(0).alias("side"), F.col("vec_id").alias("i"), "v", blank.cast("double").alias("bound"))
-    right = queries.select(dimension.alias("d"), F.explode(F.sequence(F.lit(0), F.lit(lines - 1))).alias("line"), column, F.lit(1).alias("side"), F.col("q").alias("i"), "v", "bound")
-    kind = "double" if score_type == pa.float64() else "long"
+    spark = base.sparkSession
+    log = log_length(F.col("v"))
+    number = F.coalesce(F.ceil(log / math.log(SPREAD)).cast("int"), F.lit(_ZERO))
+    base, queries = settled(base.withColumn("log", log).withColumn("range", number)), settled(queries)
+    dimension = base.agg(F.max(F.size("v"))).first()[0] or 1
+    rows = max(16, min(rows, BLOCK_BYTES // (8 * dimension)))
+    by_range = base.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.max("log").alias("log")).collect()
+    plan = layout([(r["range"], r["n"], -math.inf if r["log"] is None else r["log"]) for r in by_range], rows)
+
+    seeds = _seeds(base, dimension)
+    sampled = seeds.collect()
+    held = {d: np.array([r["v"] for r in sampled if len(r["v"]) == d]) for d in {len(r["v"]) for r in sampled}}
+    shared = spark.sparkContext.broadcast((held, plan))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, plan = shared.value
+        for b in batches:
+            sizes = b.column(1).value_lengths().to_numpy()
+            bounds, reach = np.full(b.num_rows, np.nan), np.zeros(b.num_rows, np.int64)
+            for d in np.unique(sizes):
+                for at in np.array_split(np.flatnonzero(sizes == d), -(-(sizes == d).sum() // 256)):
+                    v = _matrix(b.column(1).take(pa.array(at)), d)
+                    known = held.get(int(d))
+                    if known is not None and len(known) >= top:
+                        score = products(v, known).astype(np.float64)
+                        kth = np.partition(score, -top, axis=1)[:, -top]
+                        kth = kth - slack * np.abs(score).max(axis=1)
+                        bounds[at] = np.where(np.isfinite(kth), kth, np.nan)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        need = np.where(bounds[at] > 0, np.log(bounds[at]) - log_lengths(v), -np.inf)
+                    reach[at] = plan.reach(np.where(np.isnan(need), -np.inf, need))
+            arrays = [b.column(0), b.column(1), pa.array(bounds, pa.float64(), from_pandas=True), pa.array(reach)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["q", "v", "bound", "reach"])
+
+    kind = "double" if pa.types.is_floating(score_type) else "long"
+    queries = queries.select("q", "v").mapInArrow(bounded, f"q long, v array<{kind}>, bound double, reach long")
+    blocks, asked = int(plan.ends[-1]) if len(plan.ends) else 0, queries.count()
+    wide = spark.sparkContext.defaultParallelism
+    columns = max(1, -(-asked // STREAM), min(-(-wide // max(1, blocks)), asked // WORTH))
+    table = F.broadcast(spark.createDataFrame(plan.table, "range int, first long, blocks long"))
+    is_seed = seeds.select("vec_id", "v", F.lit(True).alias("seed"))
+    placed = base.join(table, "range").join(F.broadcast(is_seed), ["vec_id", "v"], "left")
+    block = F.col("first") + F.pmod(F.xxhash64("vec_id"), "blocks")
+    every = F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))
+    size = F.size("v").alias("d")
+    left = placed.select(size, block.alias("block"), every.alias("column"), F.lit(0).alias("side"), F.col("vec_id").alias("i"), "v", F.when(F.col("seed"), 1.0).alias("bound"))
+    mine = F.pmod(F.xxhash64("q"), F.lit(columns)).cast("int").alias("column")
+    met = queries.where("reach > 0").withColumn("block", F.explode(F.expr("sequence(0L, reach - 1)")))
+    right = met.select(size, "block", mine, F.lit(1).alias("side"), F.col("q").alias("i"), "v", "bound")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in grouped(batches):
-            d = t.column(0)[0].as_py()
-            side = t.column(3).to_numpy()
-            ids = t.column(4).to_numpy()
-            v = t.column(5).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            bound = t.column(6).to_numpy()
-            b, q = side == 0, side == 1
-            if b.any() and q.any():
-                at, found, score = search(ids[b], v[b], v[q], bound[q], top)
-                names = ["q", "vec_id", "score"]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q][at]), pa.array(found), pa.array(score, score_type)], names=names)
-
-    both = left.union(right).repartition("d", "line", "column").sortWithinPartitions("d", "line", "column", "side", "i")
+        held, answer, last = [], None, None
+        for d, key, part in _runs(batches):
+            if key != last:
+                held, answer, last = [], None, key
+            side = part.column(3).to_numpy()
+            if (side == 0).any():
+                held.append(part.filter(pa.array(side == 0)))
+            asking = part.filter(pa.array(side == 1))
+            if not asking.num_rows or not (held or answer):
+                continue
+            if answer is None:
+                t = pa.Table.from_batches(held).combine_chunks()
+                seed = t.column(6).combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+                answer, held = build(t.column(4).to_numpy(), _matrix(t.column(5).combine_chunks(), d), seed), []
+            at, found, score = answer(_matrix(asking.column(5), d), asking.column(6).to_numpy(zero_copy_only=False))
+            arrays = [pa.array(asking.column(4).to_numpy()[at]), pa.array(found), pa.array(score, score_type)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["q", "vec_id", "score"])
+
+    both = left.union(right).repartition("d", "block", "column").sortWithinPartitions("d", "block", "column", "side", "i")
     return both.mapInArrow(run, f"q long, vec_id long, score {kind}")
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of rows with the same (d, line, column)."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def _matrix(lists: pa.Array, d: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, pa.RecordBatch]]:
+    """(dimension, key, rows) of runs of rows with the same (d, block, column)."""
     for b in batches:
         if not b.num_rows:
             continue
-        keys = np.stack([b.column(i).to_numpy() for i in range(3)])
+        keys = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)])
         cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         edges = [0, *cut.tolist(), b.num_rows]
         for a, z in zip(edges[:-1], edges[1:], strict=True):
-            key = tuple(keys[:, a])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(a, z - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
+            yield int(keys[0, a]), tuple(keys[:, a].tolist()), b.slice(a, z - a)
 
 
 def best_each(at: np.ndarray, ids: np.ndarray, score: np.ndarray, top: int):

@@ -194,7 +194,7 @@ def test_plan_is_best_fit_decreasing():
         assert len({r[3] for r in bins}) == len(rooms)
 
 
-@pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "a\n \nb", "x\t y", "it's  don't  wide", "数字 123 ½", "<|endoftext|>", "é\x1c z", "a \x85 b", "a \xa0b"])
+@pytest.mark.parametrize("text", ["a  b", " lead", "trail ", "a\n \nb", "x\t y", "it's  don't  wide", "数字 123 ½", "<|endoftext|>", "x<|endoftext|>" * 3000, "é\x1c z", "a \x85 b", "a \xa0b"])
 def test_token_ids(text):
     from tokenizers import Tokenizer
 
@@ -337,24 +337,15 @@ def test_chat_round_trip(spark):
     rows += [(2, 0, None, "x", "c"), (2, 0, None, "x", "c"), (None, None, "a\nb<|", "y", "c")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string").repartition(3)
     made = {r["conv_id"]: r for r in chat_format.formatted_conversations(df).collect()}
-    assert chat_format.parse(made[1]["formatted"]) == [(r[2], r[3] or "") for r in rows[: len(texts)]]
-    assert chat_format.parse(made[2]["formatted"]) == [("", "x")] * 2
-    assert chat_format.parse(made[None]["formatted"]) == [("a\nb<|", "y")]
+    read = lambda key: [(role, chat_format.said(content)) for role, content in chat_format.parse(made[key]["formatted"])]
+    assert read(1) == [(r[2], r[3] or "") for r in rows[: len(texts)]]
+    assert read(2) == [("", "x")] * 2
+    assert read(None) == [("a\nb<|", "y")]
     masked = [chat_format.unescaped(made[1]["formatted"][s["start"] : s["end"]]) for s in made[1]["loss_spans"]]
     assert masked == [t or "" for t in texts[1::2]]
     assert chat_format.formatted_conversations(df.limit(0)).count() == 0
 
 
-def test_chat_parts():
-    parts = [{"type": "text", "text": "see <|image_0|>"}, {"type": "image", "ref": "a.png", "width": 57, "height": 28}, {"type": "audio", "ref": "b", "seconds": 1.01}, {"type": "document", "ref": "c", "pages": 2}]
-    made = chat_format.format_conversation([("user", parts), ("assistant", [{"type": "text", "text": "ok"}])], chat_format.Template())
-    assert [(a["placeholder"], a["ref"], a["tokens"]) for a in made.attachments] == [("<|image_0|>", "a.png", 4), ("<|audio_1|>", "b", 26), ("<|document_2|>", "c", 2048)]
-    assert made.text == "<|im_start|>user\nsee <\\|image_0|><|image_0|><|audio_1|><|document_2|><|im_end|>\n<|im_start|>assistant\nok<|im_end|>\n"
-    assert [made.text[a:b] for a, b in made.loss] == ["ok"]
-    with pytest.raises(ValueError, match="part type"):
-        chat_format.format_conversation([("user", [{"type": "video"}])], chat_format.Template())
-
-
 def test_language_fusion(spark):
     rng = random.Random(1)
     texts = {"en": ["the", "and", "with", "thing"], "fr": ["les", "été", "dans", "être"]}
