@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoal.llm import language_id, mixing, registry, sequence_packing, substring_dedup, superminhash
+from shoal.llm.spread import text_key
 from shoal.session import reachable
 
 
@@ -18,11 +19,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     reachable(spark)
     model = language_id.fit(docs)
     # A row's id, source and text decide alone, so rows alike in them share a decision.
-    text_hash = F.xxhash64("text")
+    text_hash = text_key(F.col("text"))
     rows = docs.withColumn("_shoal_row", F.struct("doc_id", text_hash.alias("h")))
     found = language_id.fused(language_id.document_records(rows, id_col="_shoal_row"), model)
     rejected = found.where(~F.col("accepted")).select(F.col("id.doc_id").alias("_shoal_id"), F.col("id.h").alias("_shoal_h"), F.col("host").alias("_shoal_source")).distinct()
-    same = (docs["doc_id"].eqNullSafe(F.col("_shoal_id"))) & (F.xxhash64(docs["text"]) == F.col("_shoal_h")) & (docs["source"].cast("string").eqNullSafe(F.col("_shoal_source")))
+    same = (docs["doc_id"].eqNullSafe(F.col("_shoal_id"))) & (text_key(docs["text"]) == F.col("_shoal_h")) & (docs["source"].cast("string").eqNullSafe(F.col("_shoal_source")))
     return docs.join(rejected, same, "left_anti").select(*docs.columns)
 
 
