@@ -51,6 +51,6 @@ class Characters:
         return (h >> np.uint64(64 - bits)).astype(np.int64), inside
 
 
-def text_blocks(batch, column: int, size: int = vectext.BLOCK // 2):
+def text_blocks(batch, column: int, size: int = vectext.BLOCK):
     """Slices of a batch with about ``size`` bytes of text."""
     return vectext.blocks(iter([batch]), column, size)

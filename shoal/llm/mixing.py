@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import vectext
-from shoal.llm.spread import ranked, row_hash, running_start, settled
+from shoal.llm.spread import ranked, row_hash, running_start, settled, text_key
 
 BLOCK_WORDS = 256
 SHARDS = 64
@@ -161,9 +161,9 @@ def word_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.col(text_col).alias("text"),
-        F.xxhash64(text_col).alias("text_hash"),
+        text_key(F.col(text_col)).alias("text_hash"),
     )
-    return texts.mapInArrow(counted, "doc_id long, source string, size long, text_hash long")
+    return texts.mapInArrow(counted, "doc_id long, source string, size long, text_hash binary")
 
 
 @dataclass(frozen=True)
@@ -184,7 +184,7 @@ def mix(sizes: DataFrame, mixture: Mixture) -> Mixed:
     without words take no part but stay in ``documents``. An empty table gives empty results.
     """
     spark = sizes.sparkSession
-    found = sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    found = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     plan = source_plan([r["size"] for r in found], mixture)
     named = "key string, src long, source_size long, target double"
@@ -196,7 +196,7 @@ def mix(sizes: DataFrame, mixture: Mixture) -> Mixed:
     table = spark.createDataFrame(rows, named)
     table = F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
     known = sizes.withColumn("key", key).join(table, "key").drop("key")
-    documents = settled(running_start(known, ["src"], ["doc_id", "text_hash"], "size", "start"))
+    documents = settled(running_start(known, ["src"], ["doc_id", "text_hash"], "size", "start", sum(r["rows"] for r in found)))
 
     by_src = plan.set_index("src")
     shards = shard_table(plan, mixture)
@@ -287,7 +287,7 @@ def mixed_documents(docs: DataFrame, mixture: Mixture | None = None, id_col="doc
         {
             "_shoal_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")),
             "_shoal_source": F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string"))),
-            "_shoal_hash": F.xxhash64(text_col),
+            "_shoal_hash": text_key(F.col(text_col)),
         }
     )
     again = settled(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*by))

@@ -140,7 +140,7 @@ def best_fit(pieces: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
     runs, _ = plan_slots(counts, seq_len)
     schema = "length long, first_rank long, end_rank long, first_sequence long, each long, used long"
     plan = spark.createDataFrame(runs, schema)
-    places = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
+    places = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", sum(counts.values()))
     held = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
     nth = F.col("rank") - F.col("first_rank")
     return (

@@ -163,9 +163,9 @@ def packed_shards(items: DataFrame, bins: int, group_cols: list[str], capacity:
     """
     spark = items.sparkSession
     groups = items.groupBy(*group_cols).agg(F.sum("size").alias("group_size"))
-    groups = settled(groups.withColumn("size_class", size_class(F.col("group_size"))))
+    groups = settled(groups.withColumn("size_class", F.greatest(size_class(F.col("group_size")), F.lit(1))))
     found = groups.groupBy("size_class").agg(F.count(F.lit(1)).alias("n")).collect()
-    classes = [(max(1, r["size_class"]), r["n"]) for r in found]
+    classes = [(r["size_class"], r["n"]) for r in found]
     if capacity is None:
         plan = near_equal(classes, bins)
     elif (fitted := best_fit_decreasing(classes, capacity)) is None:
@@ -174,7 +174,7 @@ def packed_shards(items: DataFrame, bins: int, group_cols: list[str], capacity:
         plan = fitted[0]
     schema = "size_class long, first_rank long, end_rank long, shard int"
     runs = spark.createDataFrame([tuple(map(int, r)) for r in plan], schema)
-    placed = ranked(groups.withColumn("size_class", F.greatest("size_class", F.lit(1))), ["size_class"], group_cols, "rank")
+    placed = ranked(groups, ["size_class"], group_cols, "rank", sum(n for _, n in classes))
     placed = placed.join(runs, "size_class").where("rank >= first_rank and rank < end_rank")
     return items.join(placed.select(*group_cols, "shard"), group_cols)
 
@@ -192,8 +192,9 @@ def shard_documents(docs: DataFrame, bins: int, id_col: str = "doc_id", text_col
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
         F.md5(F.encode(text, "utf-8")).alias("text_md5"),
     )
-    packed = packed_shards(settled(rows), bins, ["text_md5"])
-    return ranked(packed, ["shard"], ["doc_id", "text_md5"], "slot").select(
+    rows = settled(rows)
+    packed = packed_shards(rows, bins, ["text_md5"])
+    return ranked(packed, ["shard"], ["doc_id", "text_md5"], "slot", rows.count()).select(
         "doc_id",
         "size",
         "text_crc32",

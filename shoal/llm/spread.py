@@ -1,8 +1,8 @@
-"""Positions and running sums inside keys of any size.
+"""Positions and running sums inside keys of any size; what tells rows apart.
 
 A key may hold a third of all rows, so no window here is partitioned by the key alone: rows
-are dealt over ``spread`` hash slices of each key, and the slices' totals (at most ``spread``
-rows a key) give every slice its start.
+are dealt over hash slices of each key, as many as the number of rows asks for, and the
+slices' totals (a row each) give every slice its start.
 """
 
 from __future__ import annotations
@@ -10,31 +10,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shoal.session import reachable, settled
+from shoal.session import reachable, settled, sweep
 
-__all__ = ["SPREAD", "numbered", "one_of_each", "ranked", "row_hash", "rows_of", "running_start", "settled"]
+__all__ = ["key_order", "numbered", "one_of_each", "ranked", "row_hash", "rows_of", "running_start", "settled", "sweep", "text_key"]
 
-SPREAD = 128
+#: Slices of a key at least, and rows in a slice at most, about, if one key has all.
+SLICES, SLICE_ROWS = 128, 1_000_000
 
 
 def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _sliced(df: DataFrame, order: list[str], spread: int) -> DataFrame:
-    return df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts apart; null has one byte of its own."""
+    text = text.cast("string")
+    return F.coalesce(F.unhex(F.md5(text)), F.unhex(F.lit("00")))
 
 
-def running_start(
-    df: DataFrame, keys: list[str], order: list[str], amount: str, name: str, spread: int = SPREAD
-) -> DataFrame:
+def key_order(id_col: str) -> tuple[Column, Column]:
+    """Two columns that are never null, in the order of ids: null is larger than any other."""
+    key = F.col(id_col).cast("long")
+    return key.isNull(), F.coalesce(key, F.lit(0).cast("long"))
+
+
+def slices(rows: int) -> int:
+    return max(SLICES, -(-rows // SLICE_ROWS))
+
+
+def running_start(df: DataFrame, keys: list[str], order: list[str], amount: str, name: str, rows: int | None = None) -> DataFrame:
     """Adds ``name``: the sum of ``amount`` over the rows of the same keys that come before.
 
     The order inside a key is (hash slice, ``order``): fixed by the rows themselves, the same
     in every run. Keys must not be null. ``order`` should tell rows apart; rows alike in all of
-    it take their places in any order.
+    it take their places in any order. ``rows`` is the number of rows, counted if not given.
     """
-    sliced = _sliced(df, order, spread)
+    count = slices(df.count() if rows is None else rows)
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(count)).cast("int"))
     within = Window.partitionBy(*keys, "_slice").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -53,10 +65,10 @@ def running_start(
     )
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, spread: int = SPREAD) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, rows: int | None = None) -> DataFrame:
     """Adds ``name``: each row's place in its keys, gapless from 0, in an order as above."""
     one = df.withColumn("_one", F.lit(1).cast("long"))
-    return running_start(one, keys, order, "_one", name, spread).drop("_one")
+    return running_start(one, keys, order, "_one", name, rows).drop("_one")
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:

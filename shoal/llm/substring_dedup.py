@@ -7,9 +7,11 @@ needs no window at every word: each full window is represented by the least-hash
 window inside it (equal windows pick the same one), about two in every ``window - base + 2``
 words.
 
-Each level is one exchange of (hash, document, position) rows. A block of documents first
-settles among themselves what repeats there and sends at most two rows for each window (one
-in the last level), so a passage that a third of all documents holds is sent once a block.
+Each level is one exchange of (hash, document, position) rows. A task first settles by itself
+what repeats among its own documents and sends two rows at most for each window that it
+remembers (in the last level, only places earlier than those sent before), so a passage that
+a third of all documents holds costs some rows a task. Levels before the last compare 64-bit
+hashes and only choose candidates; the last, which decides, compares 96 bits.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import vectext
-from shoal.llm.spread import numbered, one_of_each, settled
+from shoal.llm.spread import key_order, numbered, one_of_each, settled, sweep, text_key
 
 LAST = 2**63 - 1
+#: Windows that a task remembers having sent.
+REMEMBERED = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -75,17 +79,20 @@ class _Block:
         data, offsets = vectext.utf8(batch.column(1))
         starts, ends, self.bounds = vectext.word_spans(data, offsets)
         self.total = len(starts)
-        self.hashes = vectext.RunHash(vectext.word_hashes(data, starts, ends))
+        self._words = data, starts, ends
         self.row = np.repeat(np.arange(len(self.k)), np.diff(self.bounds))
         self.start = self.bounds[:-1][self.row]
         left = self.bounds[1:][self.row] - np.arange(self.total)
         self.windows = np.flatnonzero(left >= how.window)
 
-    def anchors(self) -> np.ndarray:
+    def hashes(self, table: int = 0) -> vectext.RunHash:
+        return vectext.RunHash(vectext.word_hashes(*self._words, table))
+
+    def anchors(self, hashes: vectext.RunHash) -> np.ndarray:
         """The base window that stands for each full window, by first word."""
         n = max(0, self.total - self.how.base + 1)
         first = np.arange(n)
-        at = sliding_argmin(self.hashes.runs(first, first + self.how.base), self.how.window - self.how.base + 1)
+        at = sliding_argmin(hashes.runs(first, first + self.how.base), self.how.window - self.how.base + 1)
         return at[self.windows] if len(self.windows) else self.windows
 
     def places(self, words: np.ndarray) -> np.ndarray:
@@ -104,86 +111,118 @@ class _Block:
         return mask[:-1]
 
 
-def _blobs(k: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Rows (h, kind 1, k, pos -1, found): all positions of each k of k-grouped input."""
+def _names(last: bool) -> list[str]:
+    return ["h", "g", "kind", "k", "pos", "found"] if last else ["h", "kind", "k", "pos", "found"]
+
+
+def _schema(last: bool) -> str:
+    kinds = {"h": "long", "g": "int", "kind": "byte", "k": "long", "pos": "int", "found": "binary"}
+    return ", ".join(f"{n} {kinds[n]}" for n in _names(last))
+
+
+def _blobs(k: np.ndarray, pos: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(k, blob of positions) of k-grouped input."""
     cut = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
     ends = pa.py_buffer((np.append(cut, len(k)) * 4).astype(np.int32))
     found = pa.Array.from_buffers(pa.binary(), len(cut), [None, ends, pa.py_buffer(pos.astype(np.int32).tobytes())])
-    key = k[cut]
-    h = vectext.mixed(key.view(np.uint64)).view(np.int64)
-    n = len(cut)
-    arrays = [pa.array(h), pa.array(np.ones(n, np.int8)), pa.array(key), pa.array(np.full(n, -1, np.int32)), found]
-    return pa.RecordBatch.from_arrays(arrays, names=_NAMES)
+    return pa.array(k[cut]), found
 
 
-def _sent(h: np.ndarray, k: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Rows (h, kind 0, k, pos, null)."""
-    n = len(h)
-    arrays = [pa.array(h.view(np.int64)), pa.array(np.zeros(n, np.int8)), pa.array(k), pa.array(pos.astype(np.int32))]
-    return pa.RecordBatch.from_arrays([*arrays, pa.nulls(n, pa.binary())], names=_NAMES)
+def _half(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
-_NAMES = ["h", "kind", "k", "pos", "found"]
-_ROWS = "h long, kind byte, k long, pos int, found binary"
+class _Sender:
+    """What a task knows of its windows by itself, and the rows to compare with other tasks'.
 
-
-def _settled_here(h: np.ndarray, k: np.ndarray, pos: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-    """What a block knows by itself, and the rows that it must compare with other blocks.
-
-    In the last level the first place (least k, then position) of each hash is sent and any
-    later one is known to repeat; before it, two places are sent and the others are known.
+    It remembers windows sent before in a table with one place for each hash's low bits; a
+    window that falls out of it is merely sent again. A place that is not sent is known to
+    repeat: two others of its window were sent (in the last level, an earlier one).
     """
-    order = np.lexsort((pos, k, h))
-    h, k, pos = h[order], k[order], pos[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)[group]
-    send = new if last else np.arange(len(h)) - first < 2
-    if last:
-        known = (k != k[first]) | (pos != pos[first])
-    else:
-        known = ~send
-    yield _sent(h[send], k[send], pos[send])
-    k, pos = k[known], pos[known]
-    order = np.lexsort((pos, k))
-    yield _blobs(k[order], pos[order])
+
+    def __init__(self, last: bool, remembered: int = REMEMBERED):
+        self.last, self.mask = last, np.uint64(remembered - 1)
+        self.h, self.g = np.zeros(remembered, np.uint64), np.zeros(remembered, np.uint32)
+        self.sent = np.zeros(remembered, np.int8)
+        self.k, self.pos = np.zeros(remembered, np.int64), np.zeros(remembered, np.int32)
+
+    def rows(self, h: np.ndarray, g: np.ndarray, k: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows (h, kind 0, k, pos, null) to send and (h, kind 1, k, -1, found): known positions."""
+        order = np.lexsort((pos, k, g, h))
+        h, g, k, pos = h[order], g[order], k[order], pos[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        size = np.diff(np.append(first, len(h)))
+        at = (h[first] & self.mask).astype(np.int64)
+        met = (self.sent[at] > 0) & (self.h[at] == h[first]) & (self.g[at] == g[first])
+        if self.last:
+            later = met & ((k[first] > self.k[at]) | ((k[first] == self.k[at]) & (pos[first] > self.pos[at])))
+            send = new & ~later[group]
+            fresh = ~later
+            count = np.ones(len(first), np.int8)
+        else:
+            before = np.where(met, self.sent[at], 0)
+            send = np.arange(len(h)) - first[group] < (2 - before)[group]
+            fresh = np.ones(len(first), bool)
+            count = np.minimum(2, before + size).astype(np.int8)
+        put, one = at[fresh], first[fresh]
+        self.h[put], self.g[put], self.sent[put], self.k[put], self.pos[put] = h[one], g[one], count[fresh], k[one], pos[one]
+        yield self._packed(h[send], g[send], k[send], pos[send], None)
+        k, pos = k[~send], pos[~send]
+        order = np.lexsort((pos, k))
+        key, found = _blobs(k[order], pos[order])
+        spread = vectext.mixed(key.to_numpy().view(np.uint64))
+        yield self._packed(spread, _half(spread), key.to_numpy(), np.full(len(key), -1, np.int32), found)
+
+    def _packed(self, h, g, k, pos, found: pa.Array | None) -> pa.RecordBatch:
+        n = len(h)
+        kind = np.full(n, 0 if found is None else 1, np.int8)
+        keys = [pa.array(h.view(np.int64)), pa.array(g.view(np.int32))][: 1 + self.last]
+        found = pa.nulls(n, pa.binary()) if found is None else found
+        return pa.RecordBatch.from_arrays([*keys, pa.array(kind), pa.array(k), pa.array(pos), found], names=_names(self.last))
 
 
 def _first_level(how: RepeatWindows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = _Sender(False)
         for batch in vectext.blocks(batches, 1):
             b = _Block(batch, how)
-            at = np.unique(b.anchors())
-            yield from _settled_here(b.hashes.runs(at, at + how.base), b.k[b.row[at]], b.places(at), False)
+            hashes = b.hashes()
+            at = np.unique(b.anchors(hashes))
+            h = hashes.runs(at, at + how.base)
+            yield from sender.rows(h, _half(h), b.k[b.row[at]], b.places(at))
 
     return run
 
 
 def _next_level(how: RepeatWindows, length: int):
     """Windows of ``length`` words whose halves survived; the first time, those whose anchor did."""
+    last = length == how.window
+
+    def candidates(b: _Block, hashes: vectext.RunHash, alive: np.ndarray) -> np.ndarray:
+        if length > 2 * how.base:
+            at = np.arange(max(0, b.total - length // 2))
+            at = at[alive[at] & alive[at + length // 2]]
+            return at[b.bounds[1:][b.row[at]] - at >= length]
+        hit = b.windows[alive[b.anchors(hashes)]]
+        if last:
+            return hit
+        near = np.zeros(b.total + 1, np.int64)
+        np.add.at(near, hit, 1)
+        np.add.at(near, np.minimum(hit + how.window - length + 1, b.total), -1)
+        return np.flatnonzero(np.cumsum(near[:-1]) > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = _Sender(last)
         for batch in vectext.blocks(batches, 1):
             b = _Block(batch, how)
-            alive = b.marked(batch.column(2))
-            if length == how.window:
-                if length == 2 * how.base:
-                    at = b.windows[alive[b.anchors()]]
-                else:
-                    at = b.windows[alive[b.windows] & alive[b.windows + length // 2]]
-            elif length == 2 * how.base:
-                near = np.zeros(b.total + 1, np.int64)
-                hit = b.windows[alive[b.anchors()]]
-                np.add.at(near, hit, 1)
-                np.add.at(near, np.minimum(hit + how.window - length + 1, b.total), -1)
-                at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            else:
-                at = np.arange(max(0, b.total - length // 2))
-                at = at[alive[at] & alive[at + length // 2]]
-                at = at[b.bounds[1:][b.row[at]] - at >= length]
-            last = length == how.window
-            yield from _settled_here(b.hashes.runs(at, at + length), b.k[b.row[at]], b.places(at), last)
+            hashes = b.hashes()
+            at = candidates(b, hashes, b.marked(batch.column(2)))
+            h = hashes.runs(at, at + length)
+            g = b.hashes(1).runs(at, at + length) if last and len(at) else h
+            yield from sender.rows(h, _half(g), b.k[b.row[at]], b.places(at))
 
     return run
 
@@ -194,26 +233,27 @@ def _compared(last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the rows of the last hash so far that may still turn out to repeat
         first = None  # the last hash and its first place
+        kinds = _names(last).index("kind")
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kind = batch.column(1).to_numpy()
+            kind = batch.column(kinds).to_numpy()
             whole = batch.filter(pa.array(kind == 1))
             if whole.num_rows:
-                yield pa.RecordBatch.from_arrays([whole.column(2), whole.column(4)], names=["k", "found"])
+                yield pa.RecordBatch.from_arrays([whole.column(kinds + 1), whole.column(kinds + 3)], names=["k", "found"])
             part = kind == 0
-            h, k, pos = (batch.column(i).to_numpy()[part] for i in (0, 2, 3))
+            h, g, k, pos = (batch.column(i).to_numpy()[part] for i in (0, kinds - 1, kinds + 1, kinds + 2))
             if last:
                 if not len(h):
                     continue
                 new = np.ones(len(h), bool)
-                new[1:] = h[1:] != h[:-1]
+                new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
                 at = np.flatnonzero(new)[np.cumsum(new) - 1]
                 fk, fp = k[at], pos[at]
-                if first is not None and first[0] == h[0]:
-                    same = h == h[0]
-                    fk[same], fp[same] = first[1], first[2]
-                first = h[-1], fk[-1], fp[-1]
+                if first is not None and first[:2] == (h[0], g[0]):
+                    same = (h == h[0]) & (g == g[0])
+                    fk[same], fp[same] = first[2], first[3]
+                first = h[-1], g[-1], fk[-1], fp[-1]
                 hit = (k != fk) | (pos != fp)
                 k, pos = k[hit], pos[hit]
             else:
@@ -228,34 +268,36 @@ def _compared(last: bool):
                 held = h[-1:], k[-1:], pos[-1:]
                 k, pos = k[hit], pos[hit]
             order = np.lexsort((pos, k))
-            rows = _blobs(k[order], pos[order])
-            yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(4)], names=["k", "found"])
+            yield pa.RecordBatch.from_arrays(list(_blobs(k[order], pos[order])), names=["k", "found"])
 
     return run
 
 
 def _by_document(rows: DataFrame, last: bool) -> DataFrame:
     """A level's outcome as (k, found): a list of position blobs for each document."""
-    dealt = rows.repartition("h").sortWithinPartitions("h", "kind", "k", "pos")
+    dealt = rows.repartition("h").sortWithinPartitions(*_names(last)[:-1])
     found = dealt.mapInArrow(_compared(last), "k long, found binary")
     return found.groupBy("k").agg(F.collect_list("found").alias("found"))
 
 
 def repeated_windows(texts: DataFrame, how: RepeatWindows) -> DataFrame:
-    """(k, found) for (k, text): the first words of windows that also start earlier."""
-    rows = texts.mapInArrow(_first_level(how), _ROWS)
-    found = _by_document(rows, False)
+    """(k, found) for (k, text), k unique: the first words of windows that also start earlier.
+
+    The levels end where nothing repeats any more.
+    """
+    found = settled(_by_document(texts.mapInArrow(_first_level(how), _schema(False)), False))
     for length in how.lengths:
+        # The exchange of the level before is done with.
+        sweep(texts.sparkSession)
+        if found.isEmpty():
+            break
+        last = length == how.window
         alive = texts.join(found, "k").select("k", "text", "found")
-        found = _by_document(alive.mapInArrow(_next_level(how, length), _ROWS), length == how.window)
+        found = _by_document(alive.mapInArrow(_next_level(how, length), _schema(last)), last)
+        found = found if last else settled(found)
     return found
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST).cast("long"))
-    return docs.select(key.alias("k"), F.col(text_col).cast("string").alias("text"))
-
-
 def _covered(b: _Block, found: pa.Array, window: int) -> np.ndarray:
     """Words under the windows found; a window doesn't reach beyond its document."""
     steps = np.zeros(b.total + window + 1, np.int64)
@@ -272,9 +314,12 @@ def deduplicated(docs: DataFrame, how: RepeatWindows | None = None, id_col: str
     A word goes if any window over it starts earlier too (smaller doc_id, or same document
     and earlier start), judged on the input. ``kept_text`` is the text without those words
     and the white space after each, untouched if none goes; ``kept_sha256`` is of the kept
-    words joined by one space. A null text has no words (``kept_text`` stays null). A null
-    doc_id counts as the largest. Rows that repeat a doc_id are one document in the order of
-    windows: none comes before the other, and what one loses at a place all lose there.
+    words joined by one space. A null text has no words (``kept_text`` stays null).
+
+    Every row is a document of its own. A null doc_id counts as larger than any other; rows
+    that share one come in the order of their texts' hashes, and of rows alike in both any is
+    the first, so that the others lose all their words, if they have a window at all. An empty
+    table gives no rows.
     """
     how = how or RepeatWindows()
 
@@ -296,13 +341,36 @@ def deduplicated(docs: DataFrame, how: RepeatWindows | None = None, id_col: str
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 kept.append(text)
             arrays = [batch.column(0), pa.array(np.diff(b.bounds)), pa.array(removed), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(kept, pa.string())], names=names)
-
-    names = ["k", "n_words", "n_removed", "kept_sha256", "kept_text"]
-    texts = _keyed(docs, id_col, text_col)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(kept, pa.string())], names=["k", *names])
+
+    names = ["n_words", "n_removed", "kept_sha256", "kept_text"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    by, again = _told_apart(rows, "doc_id", "text")
+    if again is not None:
+        one = rows.withColumns(by).join(again.drop("rows"), list(by), "left_semi").dropDuplicates(list(by))
+        rows = rows.withColumns(by).join(again, list(by), "left_anti").unionByName(one).select("doc_id", "text")
+    keyed = _numbered(rows.withColumns(by), by, "k")
+    texts = keyed.select("k", "text")
     joined = texts.join(repeated_windows(texts, how), "k", "left").select("k", "text", "found")
     out = joined.mapInArrow(run, "k long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.select(F.when(F.col("k") < LAST, F.col("k")).alias("doc_id"), *names[1:])
+    if len(by) == 1:
+        # The number is the id, but for a null one.
+        null = F.col("k") == (F.lit(LAST) if rows.where("doc_id is null").limit(1).count() else F.lit(None))
+        return out.select(F.when(~F.coalesce(null, F.lit(False)), F.col("k")).alias("doc_id"), *names)
+    named = keyed.select("k", "doc_id", *([text_key(F.col("text")).alias("_shoal_h")] if again is not None else []))
+    if again is None:
+        return out.join(named, "k").select("doc_id", *names)
+    same = named["doc_id"].eqNullSafe(F.when(~F.col("_shoal_absent"), F.col("_shoal_k"))) & (named["_shoal_h"] == again["_shoal_h"])
+    copies = named.join(again, same, "left").select("k", "doc_id", F.coalesce("rows", F.lit(1).cast("long")).alias("rows"))
+    out = out.join(copies, "k").withColumn("_copy", F.explode(F.expr("sequence(1L, rows)")))
+    whole = (F.col("_copy") > 1) & (F.col("n_words") >= how.window)
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.when(whole, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
+    )
 
 
 def _cut(raw: bytes, stay: np.ndarray) -> str:
@@ -315,27 +383,28 @@ def _cut(raw: bytes, stay: np.ndarray) -> str:
     return data[keep].tobytes().decode()
 
 
-def _ordered(docs: DataFrame, how: RepeatWindows, id_col: str, text_col: str, key: str) -> DataFrame:
-    """``docs`` with ``key``: a number for each id and text, in the order of ids.
+def _told_apart(rows: DataFrame, id_col: str, text_col: str) -> tuple[dict, DataFrame | None]:
+    """Columns that tell rows apart, in the order of documents: by id, then by the text's hash.
 
-    It is the id itself unless rows share one. Rows alike in id and text are left out but for
-    one where all their words would go; those too short for a window stay, and share a number.
+    One number if no two rows share an id. Also those of rows alike in id and text, with how
+    many they are ("rows"), if there are any.
     """
-    by = [key, "_shoal_h"]
-    text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(LAST).cast("long")), by[1]: F.xxhash64(text)})
-    texts = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
-    shared = texts.groupBy(key).agg(F.count(F.lit(1)).alias("texts"), F.max("rows").alias("rows"))
-    shared = settled(shared.where("texts > 1 or rows > 1"))
-    if not shared.where("rows > 1").isEmpty():
-        words = F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-        several = keyed.join(shared.where("rows > 1").select(key), key, "left_semi").where(words >= how.window)
-        again = settled(several.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(*by))
-        keyed = one_of_each(keyed, again, by)
-    if not shared.where("texts > 1").isEmpty():
-        number = settled(numbered(keyed, by, "_shoal_n"))
-        keyed = keyed.join(number, by).drop(key).withColumnRenamed("_shoal_n", key)
-    return keyed.select(*docs.columns, key)
+    absent, order = key_order(id_col)
+    by = {"_shoal_absent": absent, "_shoal_k": order, "_shoal_h": text_key(F.col(text_col))}
+    texts = rows.select(*[c.alias(n) for n, c in by.items()]).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
+    shared = texts.groupBy(*list(by)[:2]).agg(F.count(F.lit(1)).alias("texts"), F.max("rows").alias("rows"))
+    texts_of_id, alike, null, largest = shared.agg(F.max("texts"), F.max("rows"), F.max("_shoal_absent"), F.max("_shoal_k")).first()
+    if (texts_of_id or 0) <= 1 and (alike or 0) <= 1 and not (null and largest == LAST):
+        return {"_shoal_k": F.when(absent, F.lit(LAST).cast("long")).otherwise(order)}, None
+    return by, settled(texts.where("rows > 1")) if alike > 1 else None
+
+
+def _numbered(rows: DataFrame, by: dict, name: str) -> DataFrame:
+    """``rows`` with ``name``, a number for each value of the columns ``by``, in their order."""
+    if len(by) == 1:
+        return rows.withColumnsRenamed(dict.fromkeys(by, name))
+    number = settled(numbered(rows, list(by), "_shoal_n"))
+    return rows.join(number, list(by)).drop(*by).withColumnRenamed("_shoal_n", name)
 
 
 def without_repeats(docs: DataFrame, how: RepeatWindows | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,11 +418,18 @@ def without_repeats(docs: DataFrame, how: RepeatWindows | None = None, id_col: s
     in both any is the first, so that the others lose all, if they have a window at all.
     """
     how = how or RepeatWindows()
-    names, key = docs.columns, "_shoal_k"
-    keyed = _ordered(docs, how, id_col, text_col, key)
-    texts = keyed.select(F.col(key).alias("k"), F.col(text_col).cast("string").alias("text"))
-    found = repeated_windows(texts, how).withColumnsRenamed({"k": key, "found": "_shoal_found"})
-    joined = keyed.join(found, key, "left")
+    names = docs.columns
+    by, again = _told_apart(docs, id_col, text_col)
+    keyed = docs.withColumns(by)
+    if again is not None:
+        # Those too short for a window stay.
+        words = F.size(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+        long = settled(keyed.join(again.drop("rows"), list(by), "left_semi").where(words >= how.window).select(*by).distinct())
+        keyed = one_of_each(keyed, long, list(by))
+    keyed = _numbered(keyed, by, "_shoal_k")
+    texts = keyed.select(F.col("_shoal_k").alias("k"), F.col(text_col).cast("string").alias("text"))
+    found = repeated_windows(texts, how).withColumnsRenamed({"k": "_shoal_k", "found": "_shoal_found"})
+    joined = keyed.join(found, "_shoal_k", "left")
     columns = [*names, "_shoal_found"]
     at, flags = names.index(text_col), len(names)
 

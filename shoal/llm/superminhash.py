@@ -14,20 +14,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import vectext
-from shoal.llm.spread import one_of_each, settled
+from shoal.llm.spread import key_order, one_of_each, settled, text_key
 from shoal.operators.components import connected_components, union_find
 
-LAST = 2**63 - 1
 _STEP = 40  # bits of the fraction in a slot's value
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: Members of a bucket that are compared with each other in one task, at most twice as many.
-BLOCK_MEMBERS = 1024
-#: Members of a family whose full sets are compared in one task, at most twice as many.
-FAMILY_BLOCK = 256
+#: Members of a bucket whose signatures are compared with each other; a larger one is one family.
+BUCKET_MEMBERS = 512
+#: Members of a family whose full sets are compared in one task, at most about twice as many,
+#: and the sets' bytes.
+FAMILY_BLOCK, FAMILY_BYTES = 128, 1 << 23
+#: Component edges up to this number are finished by one task.
+ALONE = 1_000_000
 #: Shared elements that are laid out at a time in a comparison.
 SLICE = 8192
 
@@ -38,7 +40,8 @@ class NearDuplicates:
 
     A link at exactly the threshold t is missed in all bands with probability
     (1 - t^rows)^bands: 3e-8 here at 0.8. Bucket mates whose estimate lies more than ``slack``
-    below the threshold (over five standard deviations) don't count as candidates.
+    below the threshold (over five standard deviations) don't count as candidates. Sets are
+    told apart by two fingerprints, of which the first has ``print_bits`` bits.
     """
 
     shingle: int = 5
@@ -46,6 +49,7 @@ class NearDuplicates:
     bands: int = 32
     rows: int = 4
     slack: float = 0.18
+    print_bits: int = 64
 
     @property
     def slots(self) -> int:
@@ -110,18 +114,23 @@ def signatures(elements: np.ndarray, bounds: np.ndarray, slots: int) -> np.ndarr
     return values.reshape(rows, slots)
 
 
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
+    return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
 def _described(column: pa.Array, how: NearDuplicates):
-    """Set sizes, set fingerprints, one byte a slot, and band hashes of each text."""
+    """Set sizes, two set fingerprints, one byte a slot, and band hashes of each text."""
     elements, bounds = shingle_sets(column, how.shingle)
     n = np.diff(bounds)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(vectext.mixed(elements), dtype=np.uint64)))
-    prints = vectext.mixed(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64))
+    prints = vectext.mixed(_sums(vectext.mixed(elements), bounds) + n.astype(np.uint64)) >> np.uint64(64 - how.print_bits)
+    check = vectext.mixed(_sums(vectext.mixed(elements ^ _GOLD), bounds))
     values = signatures(elements, bounds, how.slots)
     tags = vectext.mixed(values).astype(np.uint8)
     weights = vectext.powers(how.rows + 1)[1:]
     bands = (values.reshape(len(n), how.bands, how.rows) * weights).sum(axis=2, dtype=np.uint64)
     bands = vectext.mixed(bands + np.arange(how.bands, dtype=np.uint64) * _GOLD)
-    return n, prints, tags, bands
+    return n, prints, check, tags, bands
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -138,16 +147,21 @@ def _longs(rows: np.ndarray) -> pa.Array:
 
 
 def described(texts: DataFrame, how: NearDuplicates) -> DataFrame:
-    """(k, text, h) to (k, h, n, node, tags, bands); node is the set's fingerprint, 0 of an empty set."""
+    """Replaces text, the last column, by n, node, check, tags and bands.
+
+    node and check are the set's fingerprints; node is 0 of an empty set.
+    """
+    rest = texts.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in vectext.blocks(batches, 1):
-            n, prints, tags, bands = _described(b.column(1), how)
+        for b in vectext.blocks(batches, len(rest)):
+            n, prints, check, tags, bands = _described(b.column(len(rest)), how)
             node = np.where(n > 0, prints.view(np.int64), 0)
-            arrays = [b.column(0), b.column(2), pa.array(n), pa.array(node), _binary(tags), _longs(bands)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["k", "h", "n", "node", "tags", "bands"])
+            arrays = [*b.columns[:-1], pa.array(n), pa.array(node), pa.array(check.view(np.int64)), _binary(tags), _longs(bands)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "n", "node", "check", "tags", "bands"])
 
-    return texts.mapInArrow(run, "k long, h long, n long, node long, tags binary, bands array<long>")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
+    return texts.mapInArrow(run, f"{kept}, n long, node long, check long, tags binary, bands array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -178,14 +192,13 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _estimates(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) of tag rows that agree in at least that part, and their agreements."""
+def _estimates(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of tag rows that agree in at least that part."""
     need = int(np.ceil(least * a.shape[1]))
     found = []
     for i in range(0, len(a), 32):
-        same = (a[i : i + 32, None, :] == b[None, :, :]).sum(axis=2, dtype=np.int16)
-        x, y = np.nonzero(same >= need)
-        found.append((x + i, y, same[x, y]))
+        x, y = np.nonzero((a[i : i + 32, None, :] == b[None, :, :]).sum(axis=2, dtype=np.int16) >= need)
+        found.append((x + i, y))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -201,36 +214,21 @@ def _pair_batch(a: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "c"])
 
 
-def _forest(how: NearDuplicates):
-    """Of each block of a bucket, a spanning forest of the likeliest links: at most one pair a member."""
+def _likely(how: NearDuplicates):
+    """Of each bucket, its members that are likely linked, as stars: at most one pair a member."""
     least = how.percent / 100 - how.slack
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, 2):
-            node, n = t.column(2).to_numpy(), t.column(3).to_numpy()
+        for t in _groups(batches, 1):
+            node, n = t.column(1).to_numpy(), t.column(2).to_numpy()
             if len(node) < 2:
                 continue
-            tags = _matrix(t.column(4))
-            x, y, same = _estimates(tags, tags, least)
+            tags = _matrix(t.column(3))
+            x, y = _estimates(tags, tags, least)
             ok = (x < y) & _alike(n[x], n[y], how.percent)
-            x, y = x[ok], y[ok]
-            order = np.argsort(-same[ok], kind="stable")
-            root = list(range(len(node)))
-            out = []
-            for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-                a, b = i, j
-                while root[a] != a:
-                    root[a] = a = root[root[a]]
-                while root[b] != b:
-                    root[b] = b = root[root[b]]
-                if a != b:
-                    root[a] = b
-                    out.append((i, j))
-                    if len(out) == len(node) - 1:
-                        break
-            if out:
-                i, j = np.array(out).T
-                yield _pair_batch(node[i], node[j])
+            if ok.any():
+                nodes, roots = union_find(node[x[ok]], node[y[ok]])
+                yield _pair_batch(nodes[nodes != roots], roots[nodes != roots])
 
     return run
 
@@ -250,13 +248,14 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     column, row = column[column >= 0], row[column >= 0]
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    out = np.zeros((len(a), len(b)), np.float32)
+    out = np.zeros((len(a), len(b)), np.int64)
     for low in range(0, len(shared), SLICE):
         x, z = np.searchsorted(column, (low, low + SLICE))
         hot = np.zeros((len(sizes), min(SLICE, len(shared) - low)), np.float32)
         hot[row[x:z], column[x:z] - low] = 1
-        out += hot[: len(a)] @ hot[len(a) :].T
-    return out.astype(np.int64)
+        # Sums of at most SLICE ones: exact in single precision.
+        out += (hot[: len(a)] @ hot[len(a) :].T).astype(np.int64)
+    return out
 
 
 def _compared(how: NearDuplicates, inside: bool):
@@ -289,96 +288,104 @@ def _compared(how: NearDuplicates, inside: bool):
 def near_duplicates(docs: DataFrame, how: NearDuplicates | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    Documents with equal sets are one node from the start. A spanning forest of each bucket's
-    likely pairs joins nodes to families: every candidate pair lies in one family. Families
+    Documents with equal sets are one node from the start. Each bucket's likely pairs join
+    nodes to families: every candidate pair lies in one family. Families
     are then settled on full sets in blocks, exactly. First each block by itself and against
     the family's first block; then, where that leaves a family in several components, all
     members outside its main component against all members. A family that holds together is
     thus settled in work that grows with its size, and pairs are never written out as rows:
     a block returns stars.
 
-    A null or wordless text has the empty set, is linked with nothing and keeps its row. A
-    null id counts as larger than any other and stays null; rows that repeat an id are
-    documents of their own that share it. An empty table gives no rows.
+    Every row is a document of its own, whatever ids rows share. component_id is the smallest
+    id of the component; a null id counts as larger than any other and stays null. Of each
+    component one row is kept: that with the smallest id, of several with that id the one with
+    the least hash of its text, of rows alike in both any one. A null or wordless text has the
+    empty set, is linked with nothing and kept. An empty table gives no rows.
     """
-    shown = lambda c: F.when(F.col(c) < LAST, F.col(c))
+    shown = lambda key, absent: F.when(~F.col(absent), F.col(key))
     return _classified(docs, how or NearDuplicates(), id_col, text_col).select(
-        shown("k").alias("doc_id"),
+        shown("k", "absent").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        shown("component_id").alias("component_id"),
-        (F.col("k") == F.col("component_id")).alias("kept"),
+        shown("least.k", "least.absent").alias("component_id"),
+        (F.col("r") == F.col("least.r")).alias("kept"),
     )
 
 
 def without_near_duplicates(docs: DataFrame, how: NearDuplicates | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, columns as they are; rows without words stay.
-
-    The row with the smallest id stays (null is the largest), of several with that id the one
-    with the least hash of its text, of rows alike in both any one. Other rows are judged each
-    by itself, whatever ids they share.
-    """
-    names, key = docs.columns, ["_shoal_k", "_shoal_h"]
+    """``docs`` with the kept row of each component, columns as they are."""
+    names, key = docs.columns, ["_shoal_absent", "_shoal_k", "_shoal_h"]
     found = _classified(docs, how or NearDuplicates(), id_col, text_col).where("n > 0")
-    stays = (F.col("k") == F.col("component_id")) & (F.col("h") == F.col("component_h"))
+    stays = F.col("r") == F.col("least.r")
     # Rows alike in id and text are in the same component.
-    told = found.groupBy(F.col("k").alias(key[0]), F.col("h").alias(key[1])).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("m"))
+    by = [F.col(c).alias(k) for c, k in zip(("absent", "k", "h"), key, strict=True)]
+    told = found.groupBy(*by).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("m"))
     told = settled(told.where("not stays or m > 1"))
-    keyed = docs.withColumns({key[0]: _order(id_col), key[1]: _text_hash(text_col)})
+    absent, order = key_order(id_col)
+    keyed = docs.withColumns({key[0]: absent, key[1]: order, key[2]: text_key(F.col(text_col))})
     left = keyed.join(told.where("not stays").select(*key), key, "left_anti").select(*keyed.columns)
     again = told.where("stays")
     return (left if again.isEmpty() else one_of_each(left, again, key)).select(*names)
 
 
-def _order(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST).cast("long"))
-
+def _distinct_nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with one node for each set, and each node's first row (node, at).
 
-def _text_hash(text_col: str) -> Column:
-    return F.xxhash64(F.col(text_col).cast("string"))
+    Where sets share a fingerprint but not the other, they get nodes of their own: equal sets
+    are thus told by 128 bits.
+    """
+    for _ in range(8):
+        least = F.min(F.struct("absent", "k", "h", "r")).alias("at")
+        by = rows.where("n > 0").groupBy("node").agg(least, F.min("check").alias("low"), F.max("check").alias("high"))
+        firsts = settled(by)
+        odd = firsts.where("low <> high")
+        if odd.isEmpty():
+            return rows, firsts.select("node", "at")
+        node = F.when(F.col("low").isNull() | (F.col("check") == F.col("low")), F.col("node")).otherwise(F.xxhash64("node", "check"))
+        rows = settled(rows.join(odd.select("node", "low"), "node", "left").withColumn("node", node).drop("low"))
+    raise RuntimeError("fingerprints did not settle")
 
 
 def _classified(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
-    """Per row of ``docs``: k (its id), h (its text's hash), n, and the component's least (k, h)."""
-    texts = docs.select(_order(id_col).alias("k"), F.col(text_col).cast("string").alias("text"), _text_hash(text_col).alias("h"))
-    rows = settled(described(texts, how))
+    """Per row of ``docs``: r (its number), absent and k (its id), h (its text's hash), n, and
+    ``least``, those of its component's first row."""
+    absent, order = key_order(id_col)
+    text = F.col(text_col).cast("string")
+    texts = docs.select(absent.alias("absent"), order.alias("k"), text_key(text).alias("h"), text.alias("text"))
+    # Settled at once: a row keeps its number.
+    rows = texts.select(F.monotonically_increasing_id().alias("r"), *texts.columns)
+    rows, firsts = _distinct_nodes(settled(described(rows, how)))
 
     full = rows.where("n > 0")
-    firsts = full.groupBy("node").agg(F.min(F.struct("k", "h")).alias("at")).select("node", "at.k", "at.h")
-    nodes = full.join(firsts, ["node", "k", "h"]).dropDuplicates(["node"])
+    nodes = full.join(firsts.select("node", "at.r"), ["node", "r"])
     slots = nodes.select("node", F.explode("bands").alias("band"))
     shared = slots.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
     members = settled(slots.join(shared.where("low <> high"), "band").select("band", "size", "low", "node"))
     wanted = members.select("node").distinct()
-    known = settled(nodes.join(wanted, "node").select("node", "k", "h", "n", "tags"))
+    known = settled(nodes.join(wanted, "node").select("node", "absent", "k", "h", "n", "tags"))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in vectext.blocks(batches, 1):
             elements, bounds = shingle_sets(b.column(1), how.shingle)
-            n = np.diff(bounds)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(vectext.mixed(elements), dtype=np.uint64)))
-            prints = vectext.mixed(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64)).view(np.int64)
             ends = pa.py_buffer((bounds * 8).astype(np.int32))
-            blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(elements.tobytes())])
-            mine = prints == b.column(0).to_numpy()
-            batch = pa.RecordBatch.from_arrays([b.column(0), blobs], names=["node", "elements"])
-            yield batch.filter(pa.array(mine))
+            blobs = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends, pa.py_buffer(elements.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), blobs], names=["node", "elements"])
 
-    sets = texts.join(known.select("k", "h", "node"), ["k", "h"]).select("node", "text").mapInArrow(gathered, "node long, elements binary")
+    # Rows alike in id and text have the same set; one is kept.
+    mine = ["absent", "k", "h"]
+    sets = texts.join(known.select(*mine, "node"), mine).select("node", "text").mapInArrow(gathered, "node long, elements binary")
     sets = settled(sets.dropDuplicates(["node"]))
 
     tagged = known.select("node", "n", "tags")
-    block = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("size") / BLOCK_MEMBERS).cast("long"))
-    blocks = members.join(tagged, "node").select("band", block.alias("block"), "node", "n", "tags")
-    blocks = blocks.repartition("band", "block").sortWithinPartitions("band", "block", "node")
-    likely = blocks.mapInArrow(_forest(how), _PAIRS).distinct()
-    # A bucket of several blocks is one family throughout.
-    large = members.where(F.col("size") > BLOCK_MEMBERS).select(F.col("node").alias("a"), F.col("low").alias("c"))
-    families = connected_components(likely.union(large.distinct()), "a", "c", settled)
-    families = settled(families.withColumnRenamed("component", "family"))
-
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    lines = F.ceil(F.col("size") / FAMILY_BLOCK).cast("long")
-    spread = families.join(sizes.select("family", lines.alias("lines")), "family")
+    buckets = members.where(F.col("size") <= BUCKET_MEMBERS).join(tagged, "node").select("band", "node", "n", "tags")
+    buckets = buckets.repartition("band").sortWithinPartitions("band", "node")
+    likely = buckets.mapInArrow(_likely(how), _PAIRS).distinct()
+    large = members.where(F.col("size") > BUCKET_MEMBERS).select(F.col("node").alias("a"), F.col("low").alias("c"))
+    families = connected_components(likely.union(large.distinct()), "a", "c", settled, ALONE)
+    families = settled(families.withColumnRenamed("component", "family").join(known.select("node", "n"), "node"))
+
+    blocks_of = lambda members, elements: F.ceil(F.greatest(members / FAMILY_BLOCK, elements * 8 / FAMILY_BYTES)).cast("long")
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")).where("size > 1")
+    spread = families.drop("n").join(sizes.select("family", blocks_of(F.col("size"), F.col("n")).alias("lines")), "family")
     spread = spread.withColumn("line", F.pmod(F.xxhash64("node"), "lines"))
     zero = F.lit(0).cast("long")
     own = spread.select("family", "line", zero.alias("column"), F.lit(1).alias("side"), "node", F.col("node").alias("component"))
@@ -391,19 +398,22 @@ def _classified(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str
         return rows.mapInArrow(_compared(how, inside), _PAIRS)
 
     links = settled(compared(own.union(pivot), True))
-    labels = connected_components(links, "a", "c", settled)
+    labels = connected_components(links, "a", "c", settled, ALONE)
     where = families.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    where = settled(where.select("family", "node", "component"))
-    by = where.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"))
-    split = by.groupBy("family").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.sum("m").alias("size"), F.max("m").alias("most"))
-    # One block has met all of itself already.
-    split = split.where((F.col("most") < F.col("size")) & (F.col("size") > FAMILY_BLOCK)).select(
+    where = settled(where.select("family", "node", "n", "component"))
+    by = where.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    split = by.groupBy("family").agg(
+        F.max_by(F.struct("component", "m", "n"), F.struct("m", "component")).alias("main"), F.sum("m").alias("m"), F.sum("n").alias("n")
+    )
+    split = split.select(
         "family",
-        "main",
-        F.ceil(F.col("size") / FAMILY_BLOCK).cast("long").alias("columns"),
-        F.ceil((F.col("size") - F.col("most")) / FAMILY_BLOCK).cast("long").alias("lines"),
+        F.col("main.component").alias("main"),
+        (F.col("main.m") < F.col("m")).alias("several"),
+        blocks_of(F.col("m"), F.col("n")).alias("columns"),
+        blocks_of(F.col("m") - F.col("main.m"), F.col("n") - F.col("main.n")).alias("lines"),
     )
-    spread = where.join(split, "family")
+    # One block has met all of itself already.
+    spread = where.drop("n").join(split.where("several and columns > 1"), "family")
     line, column = F.pmod(F.xxhash64("node"), "lines"), F.pmod(F.xxhash64("node"), "columns")
     strays = spread.where("component <> main").withColumn("line", line).withColumn("column", F.explode(F.expr("sequence(0L, columns - 1)")))
     others = spread.withColumn("column", column).withColumn("line", F.explode(F.expr("sequence(0L, lines - 1)")))
@@ -411,12 +421,13 @@ def _classified(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str
         others.select("family", "line", "column", F.lit(1).alias("side"), "node", "component")
     )
     more = compared(meet, False)
-    final = connected_components(links.union(more), "a", "c", settled)
+    final = connected_components(links.union(more), "a", "c", settled, ALONE)
 
-    smallest = firsts.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = settled(smallest)
+    smallest = settled(firsts.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")))
     # Computed by itself, so that the join below can be split where a component is large.
-    lowest = settled(smallest.groupBy("component").agg(F.min(F.struct("k", "h")).alias("least")))
-    classes = smallest.join(lowest, "component").select("node", F.col("least.k").alias("component_id"), F.col("least.h").alias("component_h"))
-    linked = rows.where("n > 0").join(classes, "node").select("k", "h", "n", "component_id", "component_h")
-    return linked.union(rows.where("n = 0").select("k", "h", "n", "k", "h"))
+    lowest = settled(smallest.groupBy("component").agg(F.min("at").alias("least")))
+    classes = smallest.join(lowest, "component").select("node", "least")
+    columns = ["r", "absent", "k", "h", "n"]
+    linked = full.join(classes, "node").select(*columns, "least")
+    alone = rows.where("n = 0").select(*columns, F.struct("absent", "k", "h", "r").alias("least"))
+    return linked.union(alone)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; temporary arrays take some twenty times as much.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -22,7 +22,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Two independent tables of byte values.
+_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -97,14 +98,14 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: int = 0) -> np.ndarray:
     """A 64-bit hash of each word, in slices so that a very long text needs no more memory."""
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, "right")))
         low = starts[at]
-        part = RunHash(_BYTES[data[low : ends[to - 1]]])
+        part = RunHash(_BYTES[table][data[low : ends[to - 1]]])
         out[at:to] = part.runs(starts[at:to] - low, ends[at:to] - low)
         at = to
     return out

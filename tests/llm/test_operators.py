@@ -66,7 +66,7 @@ def test_near_duplicates(spark):
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A family over several blocks, with members that link to few others."""
     monkeypatch.setattr(superminhash, "FAMILY_BLOCK", 4)
-    monkeypatch.setattr(superminhash, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(superminhash, "BUCKET_MEMBERS", 8)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -139,9 +139,9 @@ def test_repeated_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id long, text string")
     found = sorted((r["doc_id"] is None, r["doc_id"], r["n_removed"]) for r in substring_dedup.deduplicated(docs).collect())
-    assert found == [(False, 1, 0), (False, 1, 0), (False, 2, 0), (True, None, 30)]
-    linked = sorted((r["doc_id"] is None, r["doc_id"], r["component_id"]) for r in superminhash.near_duplicates(docs).collect())
-    assert linked == [(False, 1, 1), (False, 1, 1), (False, 2, 2), (True, None, 1)]
+    assert found == [(False, 1, 0), (False, 1, 30), (False, 2, 0), (True, None, 30)]
+    linked = sorted((r["doc_id"] is None, r["doc_id"], r["component_id"], r["kept"]) for r in superminhash.near_duplicates(docs).collect())
+    assert linked == [(False, 1, 1, False), (False, 1, 1, True), (False, 2, 2, True), (True, None, 1, False)]
     assert sequence_packing.pack_documents(docs, registry.tokenizer_file()).count() == 4
     assert shard_packing.shard_documents(docs, 4).count() == 4
     mixed = mixing.taken_words(docs.withColumn("source", F.lit("s"))).collect()
