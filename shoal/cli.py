@@ -1,9 +1,12 @@
-"""Command line: the whole clustering, or one of its stages, over text or Parquet points.
+"""Command line: the clustering in one go, or its nine stages, over text or Parquet points.
 
-    python -m shoal.cli --input points/ --output out/ --eps 3 --min-pts 8 [--stage all]
+    python -m shoal.cli --job-conf=job.xml [--stage=1-9|all]
+    python -m shoal.cli --input points/ --output out/ --eps 3 --min-pts 8 [--stage direct]
 
-Each stage can be run by itself: it recomputes what it needs from the points. The exit code is
-0, 1 for wrong usage and 2 for a failed stage.
+A stage (a number from 1 to 9, or its name) reads the saved outputs of earlier ones and saves
+its own; ``all`` runs the nine in order. ``direct`` finds the same clusters on a grid, without
+boxes and without outputs in between. Options override the job file's settings. The exit code
+is 0, 1 for wrong usage, 2 for a stage that doesn't exist, and N if stage N failed (9: direct).
 """
 
 from __future__ import annotations
@@ -13,78 +16,86 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoal.operators import assign, cluster, partitioned, stats
-from shoal.params import ClusterParams
-from shoal.plans.boxes import plan_partitions
+from shoal.operators import cluster
+from shoal.params import Job, read_job
 from shoal.session import reachable
-from shoal.sources.points import checked, points_from, read_points, write_result
+from shoal.sources.points import points_from, read_points, write_result
+from shoal.stages import NAMES, StageFailed, Stages
 
-STAGES = ["bounds", "histogram", "plan", "partition", "local", "merge", "refs", "partitioned", "all"]
 
-
-def run_stage(stage: str, points: DataFrame, params: ClusterParams) -> DataFrame:
-    """The result of a stage as a DataFrame."""
-    if stage == "all":
-        return cluster.cluster_points(points, params)
-    if stage == "partitioned":
-        return partitioned.cluster_by_partitions(points, params)
-    points, dims = checked(points)
-    if stage == "bounds":
-        return stats.bounds(points)
-    if stage == "histogram":
-        return stats.histogram(points, params.buckets)
-    plan = plan_partitions(points, params)
-    if stage == "plan":
-        return plan
-    assigned = assign.assign_partitions(points, plan, params.eps)
-    if stage == "partition":
-        return assigned
-    local = partitioned.local_clusters(assigned, max(1, dims), params)
-    return {"local": lambda x: x, "merge": partitioned.merge_edges, "refs": partitioned.cluster_refs}[stage](local)
-
-
-def main(args: list[str] | None = None) -> int:
+def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="shoal", description=__doc__.splitlines()[0])
-    parser.add_argument("--input", required=True)
-    parser.add_argument("--output", required=True)
-    parser.add_argument("--stage", choices=STAGES, default="all")
-    parser.add_argument("--eps", type=float, required=True)
-    parser.add_argument("--min-pts", type=int, required=True)
-    parser.add_argument("--buckets", type=int, default=128)
-    parser.add_argument("--max-partition-size", type=int, default=3000)
+    parser.add_argument("--job-conf", "--jobConf")
+    parser.add_argument("--stage")
+    parser.add_argument("--input")
+    parser.add_argument("--output", help="folder of stages without one of their own; of the result for direct")
+    parser.add_argument("--eps")
+    parser.add_argument("--min-pts")
+    parser.add_argument("--buckets")
+    parser.add_argument("--max-partition-size")
     parser.add_argument("--format", choices=["csv", "parquet"], default="csv")
-    parser.add_argument("--delimiter", default=" ")
-    parser.add_argument("--regex-delimiter", action="store_true")
-    parser.add_argument("--header", action="store_true")
-    parser.add_argument("--no-id", action="store_true")
+    parser.add_argument("--delimiter")
+    parser.add_argument("--literal-delimiter", action="store_true", help="the delimiter is no pattern")
+    parser.add_argument("--header", action="store_const", const="true")
+    parser.add_argument("--no-id", dest="with_id", action="store_const", const="false")
     parser.add_argument("--id-column", default="id")
     parser.add_argument("--feature-columns", default="vec", help="comma-separated columns, or one array column (Parquet)")
     parser.add_argument("--output-format", choices=["parquet", "tsv"], default="parquet")
+    return parser
+
+
+def stage_numbers(stage: str) -> list[int] | None:
+    """The stages to run: none for direct, and no list for a stage that doesn't exist."""
+    stage = stage.strip().lower()
+    if stage == "all":
+        return list(range(1, 10))
+    if stage == "direct":
+        return []
+    if stage in NAMES:
+        return [NAMES.index(stage) + 1]
+    return [int(stage)] if stage in {str(n) for n in range(1, 10)} else None
+
+
+def _points(spark: SparkSession, job: Job, given: argparse.Namespace) -> DataFrame:
+    if given.format == "csv":
+        return read_points(spark, job.input, job.delimiter, job.header, job.with_id, regex=not given.literal_delimiter)
+    features = given.feature_columns.split(",")
+    df = spark.read.parquet(job.input)
+    array = len(features) == 1 and df.schema[features[0]].dataType.typeName() == "array"
+    return points_from(df, given.id_column, features[0] if array else features)
+
+
+def main(args: list[str] | None = None) -> int:
     try:
-        given = parser.parse_args(args)
-        params = ClusterParams(given.eps, given.min_pts, given.buckets, given.max_partition_size)
+        given = _parser().parse_args(args)
     except SystemExit as e:
         return 0 if e.code == 0 else 1
-    except ValueError as e:
-        print(e, file=sys.stderr)
-        return 1
+    stage = given.stage or ("all" if given.job_conf else "direct")
+    if (numbers := stage_numbers(stage)) is None:
+        print(f"no such stage: {stage}", file=sys.stderr)
+        return 2
     spark = reachable(SparkSession.builder.appName("shoal").getOrCreate())
     try:
-        if given.format == "csv":
-            points = read_points(spark, given.input, given.delimiter, given.header, not given.no_id, given.regex_delimiter)
-        else:
-            features = given.feature_columns.split(",")
-            df = spark.read.parquet(given.input)
-            array = len(features) == 1 and df.schema[features[0]].dataType.typeName() == "array"
-            points = points_from(df, given.id_column, features[0] if array else features)
-        result = run_stage(given.stage, points, params)
-        if given.output_format == "tsv" and given.stage in ("all", "partitioned"):
-            write_result(result, given.output, "tsv")
-        else:
-            result.write.mode("overwrite").parquet(given.output)
+        settings = read_job(given.job_conf, spark) if given.job_conf else {}
+        names = ["input", "eps", "min_pts", "buckets", "max_partition_size", "delimiter", "header", "with_id"]
+        settings |= {n: getattr(given, n) for n in names if getattr(given, n) is not None}
+        job = Job.from_mapping(settings, given.output)
+    except (ValueError, OSError) as e:
+        print(f"{e}\n{_parser().format_usage()}", file=sys.stderr)
+        return 1
+    stages = Stages(spark, job, lambda: _points(spark, job, given), given.output_format)
+    try:
+        for number in numbers:
+            stages.run(number)
+        if not numbers:
+            result = cluster.cluster_points(_points(spark, job, given), job.params)
+            write_result(result, given.output or job.outputs[9], given.output_format)
+    except StageFailed as e:
+        print(e, file=sys.stderr)
+        return e.number
     except Exception as e:  # the message is what a caller of the command needs
-        print(f"{given.stage} failed: {e}", file=sys.stderr)
-        return 2
+        print(f"{stage} failed: {e}", file=sys.stderr)
+        return 9
     return 0
 
 

@@ -2,25 +2,27 @@
 
 Core points have at least ``min_pts`` neighbours (themselves aside) closer than eps;
 clusters are the components of core points over neighbour pairs, numbered from 0 by their
-smallest core id. A border point takes the lowest cluster among its core neighbours; noise
+smallest core id; a border point takes the lowest cluster among its core neighbours; noise
 is -1. Nothing depends on row order or partitioning.
 
 Points at the same place are first collapsed into one with a weight, so a place that holds a
-third of all rows costs one row in the joins. The grid join runs three times: for the counts, between
-cores of different cells, and from the others to the cores. Each feeds an aggregation or a
-contraction at once; no list of pairs is kept.
+third of all rows costs one row in the joins. In cells so small that any two of their points
+are neighbours, a crowd is core without any distance, and one of it stands for all in the
+component search. The grid join runs three times: for the counts, between cores of different
+small cells, and from the others to the cores. Each feeds an aggregation or a contraction at
+once; no list of pairs is kept.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoal.functions.geometry import distance
 from shoal.operators.components import connected_components
-from shoal.operators.neighbors import GRID_DIMS, eps_pairs, grid_dims
+from shoal.operators.neighbors import GRID_DIMS, Grid, eps_pairs, grid_of
 from shoal.params import ClusterParams
 from shoal.session import settled
 from shoal.sources.points import checked
@@ -35,13 +37,36 @@ def collapsed(points: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return points.groupBy(*by, "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
 
 
-def core_places(places: DataFrame, dims: int, params: ClusterParams, grid: list[int], by: tuple[str, ...] = ()) -> DataFrame:
-    """``places`` with neighbors (points closer than eps, of the own place all but one) and core."""
-    pairs = eps_pairs(places, places, dims, params.eps, grid, by)
+def _small_cells(vec: Column, dims: int, eps: float) -> dict[str, Column]:
+    """Cells in which any two points are closer than eps; null for NaN."""
+    side = F.lit(eps / math.sqrt(dims) * (1 - 1e-9))
+    return {f"_k{i}": F.when(~F.isnan(vec[i]), F.floor(vec[i] / side).cast("long")) for i in range(dims)}
+
+
+def neighbor_sums(places: DataFrame, others: DataFrame, dims: int, params: ClusterParams, grid: Grid, by: tuple[str, ...] = ()) -> DataFrame:
+    """``places`` with neighbors: points closer than eps among ``others``, of the own place all but one."""
     keys = [*by, "id"]
-    found = pairs.groupBy(*[F.col(f"a_{k}").alias(k) for k in keys]).agg(F.sum("b_weight").alias("others"))
-    counted = places.join(found, keys, "left").withColumn("neighbors", F.coalesce("others", F.lit(0)) + F.col("weight") - 1)
-    return counted.drop("others").withColumn("core", F.col("neighbors") >= params.min_pts)
+    found = eps_pairs(places, others, dims, params.eps, grid, by).groupBy(*[F.col(f"a_{k}").alias(k) for k in keys])
+    counted = places.join(found.agg(F.sum("b_weight").alias("_others")), keys, "left")
+    return counted.withColumn("neighbors", F.coalesce("_others", F.lit(0)) + F.col("weight") - 1).drop("_others")
+
+
+def core_places(places: DataFrame, dims: int, params: ClusterParams, grid: Grid) -> DataFrame:
+    """``places`` with core. A small cell with more than ``min_pts`` points is core throughout."""
+    if dims > GRID_DIMS:
+        counted = neighbor_sums(places, places, dims, params, grid)
+        return counted.withColumn("core", F.col("neighbors") >= params.min_pts).drop("neighbors")
+    cells = _small_cells(F.col("vec"), dims, params.eps)
+    placed = places.withColumns(cells)
+    crowds = placed.groupBy(*cells).agg(F.sum("weight").alias("_n")).where(F.col("_n") > params.min_pts)
+    for k in cells:
+        # Beyond that, rounding may put points of neighbouring cells into one.
+        crowds = crowds.where(F.abs(k) < 1 << 20)
+    crowds = settled(crowds.drop("_n"))
+    crowded = placed.join(crowds, list(cells), "left_semi").select(*places.columns, F.lit(True).alias("core"))
+    rest = placed.join(crowds, list(cells), "left_anti").select(*places.columns)
+    rest = neighbor_sums(rest, places, dims, params, grid).withColumn("core", F.col("neighbors") >= params.min_pts)
+    return crowded.unionByName(rest.drop("neighbors"))
 
 
 def classified(points: DataFrame, dims: int, params: ClusterParams) -> DataFrame:
@@ -49,46 +74,75 @@ def classified(points: DataFrame, dims: int, params: ClusterParams) -> DataFrame
 
     A border point's component is the smallest among its core neighbours'; noise has none.
     """
-    labelled = label_places(points, dims, params)
+    grid = grid_of(points, dims, params.eps)
+    places = collapsed(points)
+    counted = neighbor_sums(places, places, dims, params, grid)
+    places = settled(counted.withColumn("core", F.col("neighbors") >= params.min_pts))
+    labelled = places.select("id", "neighbors").join(labelled_places(places, dims, params, grid), "id")
     return points.join(labelled.select("vec", "neighbors", "tag", "component"), "vec").select("id", "neighbors", "tag", "component", "vec")
 
 
 def label_places(points: DataFrame, dims: int, params: ClusterParams) -> DataFrame:
-    """(vec, id, neighbors, tag, component) of the distinct places."""
-    grid = grid_dims(points, dims, params.eps)
-    places = settled(core_places(collapsed(points), dims, params, grid))
-    return _labelled(places, dims, params, grid)
+    """(vec, id, tag, component) of the distinct places."""
+    grid = grid_of(points, dims, params.eps)
+    return labelled_places(settled(core_places(collapsed(points), dims, params, grid)), dims, params, grid)
 
 
-def _stand_ins(cores: DataFrame, dims: int, eps: float) -> DataFrame:
-    """``cores`` with stand: the smallest core id of a cell in which any two points are close.
+def stand_ins(cores: DataFrame, dims: int, eps: float, by: tuple[str, ...] = (), node: str = "id") -> DataFrame:
+    """``cores`` with stand: the smallest core node of the small cell.
 
-    Such cells (side eps over the root of the dimension) collapse crowded places for the
-    component search. A core whose distance to its stand-in isn't below eps, by rounding,
-    stands for itself; so do all where the cells would be too fine to matter.
+    Such cells collapse crowded places for the component search. A core whose distance to its
+    stand-in isn't below eps, by rounding, stands for itself; so do all where the cells would
+    be too fine to matter.
     """
     if dims > GRID_DIMS:
-        return cores.withColumn("stand", F.col("id"))
-    keys = [f"_k{i}" for i in range(dims)]
-    side = F.lit(eps / math.sqrt(dims) * (1 - 1e-9))
-    placed = cores.select("id", "vec", *[F.floor(F.col("vec")[i] / side).cast("long").alias(k) for i, k in enumerate(keys)])
-    firsts = settled(placed.groupBy(*keys).agg(F.min(F.struct("id", "vec")).alias("first")))
-    close = distance(F.col("vec"), F.col("first.vec"), dims) < F.lit(float(eps))
-    stand = F.when(close, F.col("first.id")).otherwise(F.col("id"))
-    return placed.join(firsts, keys).select("id", "vec", stand.alias("stand"))
-
-
-def _labelled(places: DataFrame, dims: int, params: ClusterParams, grid: list[int]) -> DataFrame:
-    cores = settled(_stand_ins(places.where("core").select("id", "vec"), dims, params.eps))
-    apart = F.col("a_stand") > F.col("b_stand")
-    met = eps_pairs(cores, cores, dims, params.eps, grid, keep=apart).select("a_stand", "b_stand")
-    labels = connected_components(met, "a_stand", "b_stand", settled, ALONE).withColumnRenamed("node", "stand")
-    own = cores.join(labels, "stand", "left").select("id", "vec", F.coalesce("component", "stand").alias("component"))
-    own = settled(own)
-    border = eps_pairs(places.where("not core").select("id", "vec"), own, dims, params.eps, grid)
-    border = border.groupBy(F.col("a_id").alias("id")).agg(F.min("b_component").alias("component"))
-    label = own.select("id", "component", F.lit(CORE).alias("tag")).union(border.select("id", "component", F.lit(BORDER).alias("tag")))
-    return places.join(label, "id", "left").select("vec", "id", "neighbors", F.coalesce("tag", F.lit(NOISE)).alias("tag"), "component")
+        return cores.withColumn("stand", F.col(node))
+    cells = _small_cells(F.col("vec"), dims, eps)
+    keys = [*by, *cells]
+    placed = cores.withColumns(cells)
+    firsts = settled(placed.groupBy(*keys).agg(F.min(F.struct(F.col(node).alias("node"), "vec")).alias("_first")))
+    close = distance(F.col("vec"), F.col("_first.vec"), dims) < F.lit(float(eps))
+    stand = F.when(close, F.col("_first.node")).otherwise(F.col(node))
+    return placed.join(firsts, keys).select(*cores.columns, stand.alias("stand"))
+
+
+def core_components(
+    places: DataFrame, dims: int, params: ClusterParams, grid: Grid, by: tuple[str, ...] = (), node: str = "id"
+) -> DataFrame:
+    """(by..., id, vec, node, component) of core places; component is the smallest ``node`` of
+    the cluster, nodes being numbers of their own for each place."""
+    columns = list(dict.fromkeys([*by, "id", "vec", node]))
+    cores = settled(stand_ins(places.where("core").select(*columns), dims, params.eps, by, node))
+    met = eps_pairs(cores, cores, dims, params.eps, grid, by, keep=F.col("a_stand") > F.col("b_stand"))
+    labels = connected_components(met.select("a_stand", "b_stand"), "a_stand", "b_stand", settled, ALONE).withColumnRenamed("node", "_node")
+    own = cores.join(labels, F.col("stand") == F.col("_node"), "left")
+    return settled(own.select(*columns, F.coalesce("component", "stand").alias("component")))
+
+
+def least_beside(places: DataFrame, cores: DataFrame, value: str, dims: int, eps: float, grid: Grid, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., id, value): the least ``value`` among the cores beside each of the places that aren't."""
+    edge = places.where("not core").select(*by, "id", "vec")
+    met = eps_pairs(edge, cores.select(*by, "id", "vec", value), dims, eps, grid, by)
+    return met.groupBy(*[F.col(f"a_{k}").alias(k) for k in (*by, "id")]).agg(F.min(f"b_{value}").alias(value))
+
+
+def tagged_places(places: DataFrame, cores: DataFrame, border: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., vec, id, tag, value) of all places from those of cores and border places."""
+    keys = [*by, "id"]
+    known = cores.select(*keys, value, F.lit(CORE).alias("tag")).union(border.select(*keys, value, F.lit(BORDER).alias("tag")))
+    return places.select(*by, "vec", "id").join(known, keys, "left").select(*by, "vec", "id", F.coalesce("tag", F.lit(NOISE)).alias("tag"), value)
+
+
+def labelled_places(places: DataFrame, dims: int, params: ClusterParams, grid: Grid) -> DataFrame:
+    """(vec, id, tag, component) of places with core."""
+    cores = core_components(places, dims, params, grid)
+    return tagged_places(places, cores, least_beside(places, cores, "component", dims, params.eps, grid), "component")
+
+
+def mapped(cluster_id: Column, component: Column) -> Column:
+    """The cluster of a component; -1 without one. A component without a cluster is an error."""
+    missing = F.raise_error(F.concat(F.lit("no cluster for component "), component.cast("string")))
+    return F.when(component.isNull(), F.lit(-1)).otherwise(F.coalesce(cluster_id, missing.cast("int")))
 
 
 def numbered(labelled: DataFrame) -> DataFrame:
@@ -117,7 +171,7 @@ def cluster_points(points: DataFrame, params: ClusterParams, nan_as_noise: bool
         return points.select("id", F.lit(-1).alias("cluster_id"), "vec")
     labelled = settled(label_places(points, dims, params))
     ids = numbered(labelled)
-    named = labelled.join(ids, "component", "left").select("vec", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+    named = labelled.join(ids, "component", "left").select("vec", mapped(F.col("cluster_id"), F.col("component")).alias("cluster_id"))
     return points.join(named, "vec").select("id", "cluster_id", "vec")
 
 
@@ -132,6 +186,12 @@ def cluster_centroids(result: DataFrame) -> DataFrame:
     return values.groupBy("cluster_id", "dim").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("lower"), F.max("value").alias("upper"))
 
 
+def cluster_boxes(result: DataFrame) -> DataFrame:
+    """(cluster_id, n, dim, lower, upper): the clusters' bounding boxes, one row a dimension."""
+    values = result.where("cluster_id >= 0").select("cluster_id", F.posexplode("vec").alias("dim", "value"))
+    return values.groupBy("cluster_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lower"), F.max("value").alias("upper"))
+
+
 def noise_ratio(result: DataFrame) -> DataFrame:
     """One row: the share of noise points."""
     return result.agg(F.avg((F.col("cluster_id") == -1).cast("double")).alias("noise_ratio"))

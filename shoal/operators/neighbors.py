@@ -1,13 +1,18 @@
-"""The eps self-join as an equi-join on grid cells.
+"""The eps self-join as an equi-join on cells.
 
 A condition ``distance < eps`` alone would compare all pairs. Here one side looks into its
-cell's neighbourhood (three cells in each grid dimension), the join is on equal cells, and
-the distance is a residual condition. Catalyst picks the join; adaptive execution splits
-crowded cells.
+cell's neighbourhood (three cells for each key), the join is on equal cells, and the distance
+is a residual condition. Catalyst picks the join; adaptive execution splits crowded cells.
+
+Keys are coordinates where those spread over several eps, else distances to pivots: by the
+triangle inequality neighbours' distances to any point differ by less than eps. Data that
+neither spreads (narrow and of many dimensions) can't be pruned exactly; its pairs are dealt
+out over blocks, so that no task or broadcast grows with the data.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -15,55 +20,98 @@ from pyspark.sql import functions as F
 
 from shoal.functions.geometry import cell, distance
 
-#: Dimensions that the grid uses at most; each multiplies the copies of one side by three.
+#: Keys that a join uses at most; each multiplies the copies of one side by three.
 GRID_DIMS = 3
+#: Points in a block where nothing can be pruned, about.
+BLOCK_POINTS = 1_024
+
+
+@dataclass(frozen=True)
+class Grid:
+    """What cells are made of: dimensions and pivots; without either, blocks a side."""
+
+    dims: tuple[int, ...] = ()
+    pivots: tuple[tuple[float, ...], ...] = ()
+    blocks: int = 1
 
+    def cells(self, vec: Column, dims: int, eps: float) -> list[Column]:
+        far = [distance(vec, F.array(*map(F.lit, p)), dims) for p in self.pivots]
+        return [cell(x, eps) for x in [*(vec[i] for i in self.dims), *far]]
 
-def grid_dims(points: DataFrame, dims: int, eps: float) -> list[int]:
-    """The dimensions widest in eps, at most GRID_DIMS, and only those wider than one cell."""
+
+def grid_of(points: DataFrame, dims: int, eps: float) -> Grid:
+    """The dimensions widest in eps, at most GRID_DIMS, and only those wider than two cells
+    (the neighbourhood covers two); where they are fewer, pivots whose distances spread as far.
+
+    A pivot is the point farthest from the one before, the first from the mean: one pass of
+    aggregates each. NaN coordinates (points without neighbours) don't count.
+    """
     if dims <= GRID_DIMS:
-        return list(range(dims))
-    ends = points.agg(*[f(F.col("vec")[i]).alias(f"{n}{i}") for i in range(dims) for n, f in (("a", F.min), ("b", F.max))]).first()
-    spread = {i: (ends[f"b{i}"] - ends[f"a{i}"]) / eps if ends[f"a{i}"] is not None else 0 for i in range(dims)}
-    # Two cells or fewer prune nothing: the neighbourhood covers them.
-    return sorted(sorted((i for i in spread if spread[i] > 2), key=lambda i: -spread[i])[:GRID_DIMS])
+        return Grid(tuple(range(dims)))
+    some = points.where(~F.exists("vec", F.isnan)).select("vec")
+    columns = [f(F.col("vec")[i]).alias(f"{n}{i}") for i in range(dims) for n, f in (("a", F.min), ("b", F.max), ("m", F.avg))]
+    ends = some.agg(*columns, F.count(F.lit(1)).alias("n")).first()
+    if not ends["n"]:
+        return Grid()
+    spread = {i: (ends[f"b{i}"] - ends[f"a{i}"]) / eps for i in range(dims)}
+    wide = tuple(sorted(sorted((i for i in spread if spread[i] > 2), key=lambda i: -spread[i])[:GRID_DIMS]))
+    pivots: list[tuple[float, ...]] = []
+    place = tuple(ends[f"m{i}"] for i in range(dims))
+    for step in range(GRID_DIMS - len(wide) + 1):
+        far = distance(F.col("vec"), F.array(*map(F.lit, place)), dims)
+        found = some.select("vec", far.alias("far")).agg(F.min("far").alias("a"), F.max("far").alias("b"), F.max_by("vec", F.struct("far", "vec")).alias("vec")).first()
+        if step:
+            if (found["b"] - found["a"]) / eps <= 2:
+                break
+            pivots.append(place)
+        place = tuple(found["vec"])
+    return Grid(wide, tuple(pivots), 1 if wide or pivots else -(-ends["n"] // BLOCK_POINTS))
 
 
 def eps_pairs(
-    left: DataFrame, right: DataFrame, dims: int, eps: float, grid: list[int], by: tuple[str, ...] = (), keep: Column | None = None
+    left: DataFrame, right: DataFrame, dims: int, eps: float, grid: Grid, by: tuple[str, ...] = (), keep: Column | None = None
 ) -> DataFrame:
     """All (left row, right row) with different ids and distance < eps; columns a_*, b_*.
 
     ``by`` are columns that must also be equal (a box number); ``keep`` is one more residual
     condition on the a_ and b_ columns.
     """
-    keys = [f"_c{i}" for i in grid]
-    a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns], *[cell(F.col("vec")[i], eps).alias(k) for i, k in zip(grid, keys, strict=True)])
-    shifts = F.array(*[F.struct(*[F.lit(s).cast("long").alias(k) for s, k in zip(shift, keys, strict=True)]) for shift in product((-1, 0, 1), repeat=len(grid))]) if grid else None
+    a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns])
     b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
-    if grid:
-        b = b.withColumn("_s", F.explode(shifts))
-        b = b.select(*[c for c in b.columns if c != "_s"], *[(cell(F.col("b_vec")[i], eps) + F.col("_s")[k]).alias(k) for i, k in zip(grid, keys, strict=True)])
+    mine, theirs = grid.cells(F.col("a_vec"), dims, eps), grid.cells(F.col("b_vec"), dims, eps)
+    if mine:
+        keys = [f"_c{i}" for i in range(len(mine))]
+        a = a.withColumns(dict(zip(keys, mine, strict=True)))
+        # The place is computed before the rows are multiplied.
+        b = b.withColumns({f"_b{k}": c for k, c in zip(keys, theirs, strict=True)})
+        shift = [F.struct(*[F.lit(s).cast("long").alias(k) for s, k in zip(shifts, keys, strict=True)]) for shifts in product((-1, 0, 1), repeat=len(keys))]
+        b = b.withColumn("_s", F.explode(F.array(*shift)))
+        b = b.withColumns({f"_b{k}": F.col(f"_b{k}") + F.col("_s")[k] for k in keys}).drop("_s")
+    else:
+        keys = ["_i", "_j"]
+        every = F.explode(F.sequence(F.lit(0), F.lit(grid.blocks - 1)))
+        own = lambda c: F.pmod(F.xxhash64(c), F.lit(grid.blocks)).cast("int")
+        a = a.withColumn("_i", own("a_id")).withColumn("_j", every)
+        b = b.withColumn("_b_j", own("b_id")).withColumn("_b_i", every)
     condition = (F.col("a_id") != F.col("b_id")) & (distance(F.col("a_vec"), F.col("b_vec"), dims) < F.lit(float(eps)))
     for c in by:
         condition = condition & (F.col(f"a_{c}") == F.col(f"b_{c}"))
     if keep is not None:
         condition = condition & keep
-    b = b.withColumnsRenamed({k: f"b{k}" for k in keys})
     for k in keys:
-        condition = condition & (F.col(k) == F.col(f"b{k}"))
-    return a.join(b, condition).drop(*keys, *[f"b{k}" for k in keys])
+        condition = condition & (F.col(k) == F.col(f"_b{k}"))
+    return a.join(b, condition).drop(*keys, *[f"_b{k}" for k in keys])
 
 
 def eps_neighbors(points: DataFrame, dims: int, eps: float) -> DataFrame:
     """(id, neighbor): ordered pairs of different points closer than eps."""
-    pairs = eps_pairs(points, points, dims, eps, grid_dims(points, dims, eps))
+    pairs = eps_pairs(points, points, dims, eps, grid_of(points, dims, eps))
     return pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("neighbor"))
 
 
 def pair_distance(points: DataFrame, dims: int, eps: float) -> DataFrame:
     """(id, neighbor, distance) of pairs id < neighbor closer than eps."""
-    pairs = eps_pairs(points, points, dims, eps, grid_dims(points, dims, eps), keep=F.col("a_id") < F.col("b_id"))
+    pairs = eps_pairs(points, points, dims, eps, grid_of(points, dims, eps), keep=F.col("a_id") < F.col("b_id"))
     far = distance(F.col("a_vec"), F.col("b_vec"), dims)
     return pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("neighbor"), F.round(far, 9).alias("distance"))
 

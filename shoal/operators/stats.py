@@ -25,14 +25,14 @@ def bounds(points: DataFrame) -> DataFrame:
     return values.groupBy("dim").agg(F.min("value").alias("lower"), (F.max("value") + F.lit(OPEN)).alias("upper"))
 
 
-def histogram(points: DataFrame, buckets: int) -> DataFrame:
+def histogram(points: DataFrame, buckets: int, given: DataFrame | None = None) -> DataFrame:
     """(dim, bucket, n) for every bucket of every dimension, empty ones too.
 
-    Bounds come to the driver (two numbers a dimension) and enter as literals, so the counts
+    Bounds are computed unless given. They come to the driver (two numbers a dimension) and enter as literals, so the counts
     are one scan with a partial aggregation and no join.
     """
     spark = points.sparkSession
-    edges = {r["dim"]: (r["lower"], r["upper"]) for r in bounds(points).collect()}
+    edges = {r["dim"]: (r["lower"], r["upper"]) for r in (bounds(points) if given is None else given).collect()}
     if not edges:
         return spark.createDataFrame([], "dim int, bucket long, n long")
     counted = _bucketed(points, edges, buckets).groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n"))

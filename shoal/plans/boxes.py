@@ -27,8 +27,8 @@ class Leaf:
 
 def split_point(counts: list[int], start: int, end: int, total: int) -> int | None:
     """Where to cut [start, end): after its emptiest bucket if that lies in the middle third,
-    else at the bucket where half of ``total`` is reached, else in the middle. None if that
-    would leave one side empty."""
+    else at the bucket where half of ``total``, rounded down, is reached, else in the middle.
+    None if that would leave one side empty."""
     part = counts[start:end]
     low = start + part.index(min(part))
     third = (end - start) // 3
@@ -38,15 +38,19 @@ def split_point(counts: list[int], start: int, end: int, total: int) -> int | No
         cut, running = (start + end) // 2 + 1, 0
         for i in range(start, end):
             running += counts[i]
-            if running >= total / 2:
+            if running >= total // 2:
                 cut = i
                 break
     return cut if start < cut < end else None
 
 
-def plan_leaves(histograms: list[list[int]], total: int, max_size: int) -> list[Leaf]:
+def plan_leaves(histograms: list[list[int]], total: int, max_size: int, within: bool = False) -> list[Leaf]:
     """Recursive splits until the estimates fit ``max_size``; left before right.
 
+    A child's estimate is its part of the whole histogram times its parent's estimate; with
+    ``within`` it is its part of the parent's range, so that estimates add up to the counts in
+    one dimension.
+
     The dimension with the greatest variance of bucket counts in its range goes first, lower
     dimensions winning ties; where it can't be cut the next one is tried, and a range that no
     dimension can cut stays whole. Each cut shortens a range, so the splitting ends.
@@ -65,7 +69,8 @@ def plan_leaves(histograms: list[list[int]], total: int, max_size: int) -> list[
         if not cut:
             leaves.append(Leaf(ranges, count))
             continue
-        left = int(sum(histograms[d][start:cut]) / sums[d] * count)
+        whole = (sum(histograms[d][start:end]) or 1) if within else sums[d]
+        left = int(sum(histograms[d][start:cut]) / whole * count)
         todo.append(((*ranges[:d], (cut, end), *ranges[d + 1 :]), count - left))
         todo.append(((*ranges[:d], (start, cut), *ranges[d + 1 :]), left))
     return leaves
@@ -95,17 +100,24 @@ def boxes(leaves: list[Leaf], edges: list[tuple[float, float]], buckets: int) ->
     ]
 
 
-def plan_partitions(points: DataFrame, params: ClusterParams) -> DataFrame:
-    """(pid, bounds, estimate) for the points; an empty table gives no boxes."""
-    spark: SparkSession = points.sparkSession
-    edges = {r["dim"]: (r["lower"], r["upper"]) for r in bounds(points).collect()}
-    if not edges:
+def plan_from(edges: DataFrame, histogram: DataFrame, params: ClusterParams, within: bool = False) -> DataFrame:
+    """(pid, bounds, estimate) from (dim, lower, upper) and (dim, bucket, n): numbers whose
+    count is dimensions times buckets, whatever the number of points."""
+    spark: SparkSession = edges.sparkSession
+    ends = {r["dim"]: (r["lower"], r["upper"]) for r in edges.collect()}
+    if not ends:
         return spark.createDataFrame([], BOXES)
-    counts = [[0] * params.buckets for _ in edges]
-    for r in histogram(points, params.buckets).collect():
+    counts = [[0] * params.buckets for _ in ends]
+    for r in histogram.collect():
         counts[r["dim"]][r["bucket"]] = r["n"]
     totals = {sum(c) for c in counts}
     if len(totals) != 1:
         raise ValueError(f"dimensions have different counts: {sorted(totals)}")
-    leaves = plan_leaves(counts, totals.pop(), params.max_partition_size)
-    return spark.createDataFrame(boxes(leaves, [edges[d] for d in sorted(edges)], params.buckets), BOXES)
+    leaves = plan_leaves(counts, totals.pop(), params.max_partition_size, within)
+    return spark.createDataFrame(boxes(leaves, [ends[d] for d in sorted(ends)], params.buckets), BOXES)
+
+
+def plan_partitions(points: DataFrame, params: ClusterParams, within: bool = False) -> DataFrame:
+    """(pid, bounds, estimate) for the points; an empty table gives no boxes."""
+    edges = bounds(points)
+    return plan_from(edges, histogram(points, params.buckets, edges), params, within)

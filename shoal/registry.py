@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shoal.operators import assign, cluster, neighbors, partitioned, stats
 from shoal.params import ClusterParams
 from shoal.plans import boxes
+from shoal.session import settled
 from shoal.sources import points as source
 
 
@@ -137,6 +138,14 @@ def scan_points(spark, sf_dir):
     return _flat(C1.points(spark, sf_dir), 2, "id")
 
 
+@_query("scan_text_points", C1.sql("SELECT id, v0, v1 FROM pts", C1.pts))
+def scan_text_points(spark, sf_dir):
+    """Points written out as delimited lines and parsed again."""
+    points = C1.points(spark, sf_dir)
+    line = F.concat_ws("|", F.col("id").cast("string"), *[F.col("vec")[i].cast("string") for i in range(2)])
+    return _flat(source.points_of_lines(points.select(F.concat(F.lit("  "), line, F.lit(" ")).alias("value")), "|"), 2, "id")
+
+
 _LONG = "long AS (SELECT id, 0 AS dim, v0 AS value FROM pts UNION ALL SELECT id, 1 AS dim, v1 AS value FROM pts)"
 
 
@@ -244,11 +253,55 @@ def point_copies(spark, sf_dir):
     return assign.point_copies(_assigned(spark, sf_dir))
 
 
-@_query("plan_partitions")
-def plan_partitions(spark, sf_dir):
-    plan = boxes.plan_partitions(C1.points(spark, sf_dir), C1.params)
-    sides = [F.col("bounds")[i][side].alias(f"{side}{i}") for i in range(2) for side in ("lower", "upper")]
-    return plan.select("pid", "estimate", *sides)
+def _plan_sql(within: bool) -> str:
+    """The plan by recursion: a path of left (0) and right (1) for each box, C1 in two dimensions."""
+
+    def cut(d: int) -> str:
+        valley = f"f{d} + list_position(s{d}, list_min(s{d}))"
+        third = f"(t{d} - f{d}) // 3"
+        half = f"list_filter(range(f{d}, t{d}), lambda i: list_sum(list_slice(h{d}, f{d} + 1, i + 1)) >= n // 2)[1]"
+        found = (
+            f"CASE WHEN {valley} - 1 >= f{d} + {third} AND {valley} - 1 < t{d} - {third} THEN {valley} "
+            f"ELSE coalesce({half}, (f{d} + t{d}) // 2 + 1) END"
+        )
+        return f"CASE WHEN t{d} - f{d} > 1 AND f{d} < {found} AND {found} < t{d} THEN {found} END AS c{d}"
+
+    def spread(d: int) -> str:
+        return f"list_sum(list_transform(s{d}, lambda x: (x - list_avg(s{d})) * (x - list_avg(s{d})))) / len(s{d}) AS v{d}"
+
+    sizes = C1.params
+    whole = "list_sum(CASE d WHEN 0 THEN s0 ELSE s1 END)" if within else "list_sum(CASE d WHEN 0 THEN h0 ELSE h1 END)"
+    part = "list_sum(CASE d WHEN 0 THEN list_slice(h0, f0 + 1, c) ELSE list_slice(h1, f1 + 1, c) END)"
+    left = f"CAST(trunc(CAST({part} AS DOUBLE) / greatest(CAST({whole} AS DOUBLE), 1) * n) AS BIGINT)"
+    node = f"SELECT *, list_slice(h0, f0 + 1, t0) AS s0, list_slice(h1, f1 + 1, t1) AS s1 FROM tree, hist WHERE n > {sizes.max_partition_size}"
+    cuts = f"SELECT *, {cut(0)}, {cut(1)}, {spread(0)}, {spread(1)} FROM ({node})"
+    choice = f"SELECT *, CASE WHEN c0 IS NOT NULL AND (v0 >= v1 OR c1 IS NULL) THEN 0 WHEN c1 IS NOT NULL THEN 1 END AS d FROM ({cuts})"
+    split = f"SELECT *, CASE d WHEN 0 THEN c0 ELSE c1 END AS c FROM ({choice}) WHERE d IS NOT NULL"
+    ranges = ", ".join(
+        f"CASE WHEN d = {d} AND side = '1' THEN c ELSE f{d} END, CASE WHEN d = {d} AND side = '0' THEN c ELSE t{d} END" for d in range(2)
+    )
+    tree = (
+        f"tree(path, f0, t0, f1, t1, n) AS (SELECT '', 0::BIGINT, {sizes.buckets}::BIGINT, 0::BIGINT, {sizes.buckets}::BIGINT, (SELECT count(*) FROM pts) "
+        f"UNION ALL SELECT path || side, {ranges}, CASE side WHEN '0' THEN l ELSE n - l END "
+        f"FROM (SELECT *, {left} AS l FROM ({split})), (VALUES ('0'), ('1')) AS sides(side))"
+    )
+    edge = lambda d, k: f"e{d}.lower + (e{d}.upper - e{d}.lower) * {k}{d} / {sizes.buckets}"
+    bounds = ", ".join(f"{edge(d, 'f')} AS lower{d}, {edge(d, 't')} AS upper{d}" for d in range(2))
+    select = (
+        f"SELECT CAST(row_number() OVER (ORDER BY path) - 1 AS INTEGER) AS pid, n AS estimate, {bounds} FROM tree t "
+        "JOIN edges e0 ON e0.dim = 0 JOIN edges e1 ON e1.dim = 1 WHERE NOT EXISTS (SELECT 1 FROM tree u WHERE u.path = t.path || '0')"
+    )
+    hist = "hist AS (SELECT list(n ORDER BY bucket) FILTER (dim = 0) AS h0, list(n ORDER BY bucket) FILTER (dim = 1) AS h1 FROM counts)"
+    return C1.sql(select, C1.pts, _LONG, _EDGES, _COUNTS, hist, tree)
+
+
+for _name, _within in (("plan_partitions", False), ("plan_partitions_within", True)):
+
+    @_query(_name, _plan_sql(_within))
+    def plan_partitions(spark, sf_dir, within=_within):
+        plan = boxes.plan_partitions(C1.points(spark, sf_dir), C1.params, within)
+        sides = [F.col("bounds")[i][side].alias(f"{side}{i}") for i in range(2) for side in ("lower", "upper")]
+        return plan.select("pid", "estimate", *sides)
 
 
 # --- neighbours and clusters
@@ -340,29 +393,68 @@ for _suffix, _w in (("", C4), ("_c6", C6)):
 
 # --- box by box
 
-_LOCAL = (
-    f"lnear AS (SELECT a.pid, a.id, b.id AS nb FROM assigned a JOIN assigned b ON a.pid = b.pid AND a.id <> b.id "
-    f"WHERE sqrt((a.v0 - b.v0) * (a.v0 - b.v0) + (a.v1 - b.v1) * (a.v1 - b.v1)) < {C1.eps}), "
-    f"lcores AS (SELECT pid, id FROM lnear GROUP BY pid, id HAVING count(*) >= {C1.min_pts}), "
-    "llinks AS (SELECT n.pid, n.id, n.nb FROM lnear n JOIN lcores a ON a.pid = n.pid AND a.id = n.id JOIN lcores b ON b.pid = n.pid AND b.id = n.nb), "
-    "lreach(pid, id, label) AS (SELECT pid, id, id FROM lcores UNION SELECT r.pid, l.nb, r.label FROM lreach r JOIN llinks l ON l.pid = r.pid AND l.id = r.id WHERE r.label < l.nb), "
-    "lcomp AS (SELECT pid, id, min(label) AS component FROM lreach GROUP BY pid, id), "
-    "lnamed AS (SELECT pid, id, CAST(dense_rank() OVER (PARTITION BY pid ORDER BY component) - 1 AS INTEGER) AS local_id FROM lcomp), "
-    "ledge AS (SELECT n.pid, n.id, min(c.local_id) AS local_id FROM lnear n JOIN lnamed c ON c.pid = n.pid AND c.id = n.nb "
-    "LEFT JOIN lcores k ON k.pid = n.pid AND k.id = n.id WHERE k.id IS NULL GROUP BY n.pid, n.id), "
-    "local AS (SELECT a.pid, a.id, CASE WHEN c.id IS NOT NULL THEN 'CORE' WHEN e.id IS NOT NULL THEN 'BORDER' ELSE 'NOISE' END AS tag, "
-    "coalesce(c.local_id, e.local_id, -1) AS local_id FROM assigned a LEFT JOIN lnamed c ON c.pid = a.pid AND c.id = a.id LEFT JOIN ledge e ON e.pid = a.pid AND e.id = a.id)"
+_OWN_VIEW = f"SELECT pid, id FROM lnear GROUP BY pid, id HAVING count(*) >= {C1.min_pts}"
+_HOME_VIEW = "SELECT a.pid, a.id FROM assigned a JOIN cores c ON c.id = a.id"
+
+
+def _local_sql(cores: str) -> str:
+    return (
+        f"lnear AS (SELECT a.pid, a.id, b.id AS nb FROM assigned a JOIN assigned b ON a.pid = b.pid AND a.id <> b.id "
+        f"WHERE sqrt((a.v0 - b.v0) * (a.v0 - b.v0) + (a.v1 - b.v1) * (a.v1 - b.v1)) < {C1.eps}), "
+        f"lcores AS ({cores}), "
+        "llinks AS (SELECT n.pid, n.id, n.nb FROM lnear n JOIN lcores a ON a.pid = n.pid AND a.id = n.id JOIN lcores b ON b.pid = n.pid AND b.id = n.nb), "
+        "lreach(pid, id, label) AS (SELECT pid, id, id FROM lcores UNION SELECT r.pid, l.nb, r.label FROM lreach r JOIN llinks l ON l.pid = r.pid AND l.id = r.id WHERE r.label < l.nb), "
+        "lcomp AS (SELECT pid, id, min(label) AS component FROM lreach GROUP BY pid, id), "
+        "lnamed AS (SELECT pid, id, CAST(dense_rank() OVER (PARTITION BY pid ORDER BY component) - 1 AS INTEGER) AS local_id FROM lcomp), "
+        "ledge AS (SELECT n.pid, n.id, min(c.local_id) AS local_id FROM lnear n JOIN lnamed c ON c.pid = n.pid AND c.id = n.nb "
+        "LEFT JOIN lcores k ON k.pid = n.pid AND k.id = n.id WHERE k.id IS NULL GROUP BY n.pid, n.id), "
+        "local AS (SELECT a.pid, a.id, CASE WHEN c.id IS NOT NULL THEN 'CORE' WHEN e.id IS NOT NULL THEN 'BORDER' ELSE 'NOISE' END AS tag, "
+        "coalesce(c.local_id, e.local_id, -1) AS local_id FROM assigned a LEFT JOIN lnamed c ON c.pid = a.pid AND c.id = a.id LEFT JOIN ledge e ON e.pid = a.pid AND e.id = a.id)"
+    )
+
+
+_BOXED = (C1.pts, _BOX_SQL, _ASSIGNED, _local_sql(_OWN_VIEW))
+_EXACT = (C1.pts, C1.near, C1.cores, _BOX_SQL, _ASSIGNED, _local_sql(_HOME_VIEW))
+_SHARED = "a.id = b.id AND {} WHERE a.tag <> 'NOISE' AND b.tag <> 'NOISE' AND (a.tag = 'CORE' OR b.tag = 'CORE')"
+_MERGED = (
+    "refs AS (SELECT pid, local_id, min(id) AS first FROM local WHERE tag = 'CORE' GROUP BY pid, local_id), "
+    f"ways AS (SELECT DISTINCT a.pid AS pid_a, a.local_id AS local_a, b.pid AS pid_b, b.local_id AS local_b FROM local a JOIN local b ON {_SHARED.format('a.pid <> b.pid')}), "
+    "mreach(pid, local_id, label) AS (SELECT pid, local_id, first FROM refs UNION SELECT w.pid_b, w.local_b, r.label FROM mreach r "
+    "JOIN ways w ON w.pid_a = r.pid AND w.local_a = r.local_id), "
+    "merged AS (SELECT pid, local_id, min(label) AS component FROM mreach GROUP BY pid, local_id), "
+    "named AS (SELECT pid, local_id, CAST(dense_rank() OVER (ORDER BY component) - 1 AS INTEGER) AS cluster_id FROM merged)"
 )
-_BOXED = (C1.pts, _BOX_SQL, _ASSIGNED, _LOCAL)
 
 
-def _local(spark, sf_dir):
-    return partitioned.local_clusters(_assigned(spark, sf_dir), C1.dims, C1.params)
+def _local(spark, sf_dir, exact=False):
+    return partitioned.local_clusters(_assigned(spark, sf_dir), C1.dims, C1.params, exact)
+
+
+for _suffix, _parts in (("", _BOXED), ("_exact", _EXACT)):
+
+    @_query(f"local_clusters{_suffix}", C1.sql("SELECT pid, id, tag, local_id FROM local", *_parts))
+    def local_clusters(spark, sf_dir, exact=bool(_suffix)):
+        return _local(spark, sf_dir, exact)
 
 
-@_query("local_clusters", C1.sql("SELECT pid, id, tag, local_id FROM local", *_BOXED))
-def local_clusters(spark, sf_dir):
-    return _local(spark, sf_dir)
+@_query("copy_pairs", C1.sql(f"SELECT a.id, a.pid AS pid_a, a.local_id AS local_a, b.pid AS pid_b, b.local_id AS local_b FROM local a JOIN local b ON {_SHARED.format('a.pid < b.pid')}", *_EXACT))
+def copy_pairs(spark, sf_dir):
+    return partitioned.copy_pairs(_local(spark, sf_dir, True))
+
+
+def _map(local):
+    return partitioned.cluster_map(local, partitioned.merge_edges(local))
+
+
+@_query("cluster_map", C1.sql("SELECT pid, local_id, cluster_id FROM named", *_EXACT, _MERGED))
+def cluster_map(spark, sf_dir):
+    return _map(settled(_local(spark, sf_dir, True)))
+
+
+@_query("relabel_points", C1.sql("SELECT l.id, coalesce(min(n.cluster_id), -1) AS cluster_id FROM local l LEFT JOIN named n ON n.pid = l.pid AND n.local_id = l.local_id GROUP BY l.id", *_EXACT, _MERGED))
+def relabel_points(spark, sf_dir):
+    local = settled(_local(spark, sf_dir, True))
+    return partitioned.relabelled(local, _map(local))
 
 
 @_query("cluster_refs", C1.sql("SELECT DISTINCT pid, local_id FROM local WHERE local_id >= 0", *_BOXED))
@@ -414,6 +506,23 @@ def cluster_centroids(spark, sf_dir):
     return cluster.cluster_centroids(_result(spark, sf_dir))
 
 
+@_query(
+    "cluster_boxes",
+    C1.sql(
+        "SELECT cluster_id, CAST(dim AS INTEGER) AS dim, count(*) AS n, min(value) AS lower, max(value) AS upper FROM "
+        "(SELECT cluster_id, 0 AS dim, v0 AS value FROM result UNION ALL SELECT cluster_id, 1, v1 FROM result) WHERE cluster_id >= 0 GROUP BY cluster_id, dim",
+        *_FULL,
+    ),
+)
+def cluster_boxes(spark, sf_dir):
+    return cluster.cluster_boxes(_result(spark, sf_dir))
+
+
+@_query("result_lines", C1.sql("SELECT id || chr(9) || cluster_id || chr(9) || '[' || v0 || ', ' || v1 || ']' AS value FROM result", *_FULL))
+def result_lines(spark, sf_dir):
+    return source.result_lines(_result(spark, sf_dir))
+
+
 @_query("noise_ratio", C1.sql("SELECT avg(CASE WHEN cluster_id = -1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS noise_ratio FROM result", *_FULL))
 def noise_ratio(spark, sf_dir):
     return cluster.noise_ratio(_result(spark, sf_dir))

@@ -29,20 +29,30 @@ def read_points(
 ) -> DataFrame:
     """Points of the ``*.csv`` files (any case) under ``path``: optional id, then numbers.
 
+    ``path`` may also be a single such file.
+
     Lines are trimmed; blank ones don't count. ``header`` drops each file's first line. Lines
     with no feature are skipped, yet keep their number. Without an id column the id is the
     line's number over all files in path order, from 0. The delimiter is literal unless
     ``regex``. A token that isn't a number fails the query that reads it.
     """
-    spec = delimiter if regex else re.escape(delimiter)
     need_order = header or not with_id
     lines = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").option("recursiveFileLookup", "true").text(path)
     if need_order:
         lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("seq"))
-    lines = lines.withColumn("value", F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))).where(F.length("value") > 0)
-    if need_order:
-        lines = _numbered(lines, header)
-    tokens = lines.withColumn("tokens", F.split("value", spec, -1))
+        lines = _numbered(_cleaned(lines), header)
+    return points_of_lines(lines, delimiter, with_id, regex)
+
+
+def _cleaned(lines: DataFrame) -> DataFrame:
+    """Trimmed lines, without blank ones."""
+    return lines.withColumn("value", F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))).where(F.length("value") > 0)
+
+
+def points_of_lines(lines: DataFrame, delimiter: str = " ", with_id: bool = True, regex: bool = False) -> DataFrame:
+    """Points of lines (``value``; ``number`` where there is no id column), as in ``read_points``."""
+    spec = delimiter if regex else re.escape(delimiter)
+    tokens = _cleaned(lines).withColumn("tokens", F.split("value", spec, -1))
     first = 1 if with_id else 0
     kept = tokens.where(F.size("tokens") > first)
     bad = lambda x, kind: F.when(F.trim(x).try_cast(kind).isNull(), F.raise_error(F.concat(F.lit("not a number: "), x)))
@@ -108,13 +118,17 @@ def duplicate_ids(points: DataFrame) -> DataFrame:
     return points.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def result_lines(result: DataFrame) -> DataFrame:
+    """(value): lines of id, cluster and [v1, v2, ...] with tabs between."""
+    vec = F.concat(F.lit("["), F.array_join(F.transform("vec", lambda x: x.cast("string")), ", "), F.lit("]"))
+    return result.select(F.concat_ws("\t", F.col("id").cast("string"), F.col("cluster_id").cast("string"), vec).alias("value"))
+
+
 def write_result(result: DataFrame, path: str, form: str = "parquet") -> None:
-    """(id, cluster_id, vec) to Parquet, or to lines of id, cluster and [v1, v2, ...] with tabs."""
+    """(id, cluster_id, vec) to Parquet, or to lines of text (``tsv``), over any older output."""
     if form == "parquet":
         result.write.mode("overwrite").parquet(path)
     elif form == "tsv":
-        vec = F.concat(F.lit("["), F.array_join(F.transform("vec", lambda x: x.cast("string")), ", "), F.lit("]"))
-        line = F.concat_ws("\t", F.col("id").cast("string"), F.col("cluster_id").cast("string"), vec)
-        result.select(line.alias("value")).write.mode("overwrite").text(path)
+        result_lines(result).write.mode("overwrite").text(path)
     else:
         raise ValueError(f"no such form: {form}")

@@ -1,6 +1,7 @@
 """Clustering against fixtures with known answers and against brute force."""
 
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -135,10 +136,69 @@ def test_many_dimensions(spark):
     assert labels(cluster.cluster_points(frame(spark, vectors), ClusterParams(0.9, 2))) == brute(vectors, 0.9, 2)
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def narrow(n=60, d=32, far=0):
+    """Points of many dimensions, none of them wide; some in a crowd far away."""
+    rng = random.Random(n)
+    rows = [[rng.gauss(0, 1) for _ in range(d)] for _ in range(n)]
+    rows = [[x / math.sqrt(sum(y * y for y in r)) for x in r] for r in rows]
+    return [tuple(x + (0.9 if far and i % 2 else 0) for x in r) for i, r in enumerate(rows)]
+
+
 def test_neighbour_join_is_an_equi_join(spark):
-    points = frame(spark, F1)
-    plan = neighbors.eps_neighbors(points, 2, 1.0)._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    for vectors, dims in ((F1, 2), (narrow(), 32), (narrow(far=1), 32)):
+        points = frame(spark, vectors)
+        for plan in (planned(neighbors.eps_neighbors(points, dims, 1.0)), planned(neighbors.pair_distance(points, dims, 1.0))):
+            assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join" in plan
+
+
+def test_pivots_prune_where_no_dimension_is_wide(spark):
+    points = frame(spark, narrow(far=1))
+    grid = neighbors.grid_of(points, 32, 1.2)
+    assert not grid.dims and grid.pivots and grid.blocks == 1
+    assert neighbors.grid_of(frame(spark, narrow()), 32, 1.2).pivots == ()
+
+
+@pytest.mark.parametrize("far", [0, 1])
+def test_narrow_points_of_many_dimensions(spark, monkeypatch, far):
+    monkeypatch.setattr(neighbors, "BLOCK_POINTS", 16)
+    vectors = narrow(far=far)
+    points = frame(spark, vectors)
+    assert neighbors.grid_of(points, 32, 1.25).blocks == (1 if far else 4)
+    assert labels(cluster.cluster_points(points, ClusterParams(1.25, 3))) == brute(vectors, 1.25, 3)
+    found = {(r["id"], r["neighbor"]) for r in neighbors.eps_neighbors(points, 32, 1.25).collect()}
+    assert found == {(i, j) for i, a in enumerate(vectors) for j, b in enumerate(vectors) if i != j and math.dist(a, b) < 1.25}
+
+
+def test_crowds_are_core_without_distances(spark):
+    rng = random.Random(1)
+    vectors = [(rng.gauss(0, 0.05), rng.gauss(0, 0.05)) for _ in range(80)] + [(rng.uniform(-3, 3), rng.uniform(-3, 3)) for _ in range(80)]
+    # Far out cells say nothing, and places may be met by rounding alone.
+    vectors += [(2.0**60 + 1024 * i, 0.0) for i in range(12)] + [(5.0, 5.0)] * 9
+    for min_pts in (1, 4, 8):
+        assert labels(cluster.cluster_points(frame(spark, vectors), ClusterParams(0.4, min_pts))) == brute(vectors, 0.4, min_pts)
+
+
+def test_a_missing_cluster_is_an_error(spark):
+    local = spark.createDataFrame([(0, 1, "CORE", 0), (1, 1, "CORE", 0)], "pid int, id long, tag string, local_id int")
+    clusters = spark.createDataFrame([(0, 0, 0)], "pid int, local_id int, cluster_id int")
+    with pytest.raises(Exception, match="no cluster for local cluster 1_0"):
+        partitioned.relabelled(local, clusters).collect()
+    df = spark.createDataFrame([(7, None)], "component long, cluster_id int")
+    with pytest.raises(Exception, match="no cluster for component 7"):
+        df.select(cluster.mapped(F.col("cluster_id"), F.col("component"))).collect()
+
+
+def test_merging_the_boxes_clusters(spark):
+    """Local clusters by exact flags, merged and relabelled, are those of the whole."""
+    points, params = frame(spark, F2), ClusterParams(1.0, 3)
+    assigned = settled(assign.assign_partitions(points, given_boxes(spark, (-5.0, 0.0), (0.0, 5.0)), 1.0))
+    local = settled(partitioned.local_clusters(assigned, 1, params, exact=True))
+    found = partitioned.relabelled(local, partitioned.cluster_map(local, partitioned.merge_edges(local)))
+    assert labels(found) == labels(cluster.cluster_points(points, params))
 
 
 def test_many_boxes_are_met_by_slices(spark, monkeypatch):

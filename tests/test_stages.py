@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shoal.functions.geometry import role
 from shoal.operators import stats
 from shoal.params import ClusterParams
-from shoal.plans.boxes import plan_leaves, plan_partitions
+from shoal.plans.boxes import plan_leaves, plan_partitions, split_point
 from shoal.sources.points import POINT, points_from, read_points, write_result
 
 NONE, OUT, MARGIN, IN = None, "OUTER_MARGIN", "INNER_MARGIN", "INNER_REGION"
@@ -32,6 +32,19 @@ def test_planner(histograms, total, size, expected):
     assert [(list(x.ranges), x.estimate) for x in plan_leaves(histograms, total, size)] == expected
 
 
+def test_half_of_an_odd_count_is_rounded_down():
+    assert split_point([1] * 7, 0, 7, 5) == 1
+    assert split_point([3, 1, 1, 1, 3, 3], 0, 6, 7) == 2
+
+
+def test_estimates_within_the_range_add_up():
+    counts = [7, 9, 1, 4, 30, 2, 2, 9]
+    leaves = plan_leaves([counts], sum(counts), 20, within=True)
+    assert [x.estimate for x in leaves] == [sum(counts[slice(*x.ranges[0])]) for x in leaves]
+    # Of the whole histogram a nested range's part is too small.
+    assert [x.estimate for x in plan_leaves([counts], sum(counts), 20)] != [x.estimate for x in leaves]
+
+
 @pytest.mark.parametrize(("counts", "size"), [([9, 5, 3, 1, 4, 8], 16), ([100, 0, 0, 0], 10), ([80, 0, 0, 3, 3, 4, 5, 5], 10)])
 def test_planner_always_ends_and_tiles(counts, size):
     leaves = sorted(x.ranges[0] for x in plan_leaves([counts], sum(counts), size))
