@@ -111,13 +111,11 @@ class _Block:
         return mask[:-1]
 
 
-def _names(last: bool) -> list[str]:
-    return ["h", "g", "kind", "k", "pos", "found"] if last else ["h", "kind", "k", "pos", "found"]
-
-
-def _schema(last: bool) -> str:
-    kinds = {"h": "long", "g": "int", "kind": "byte", "k": "long", "pos": "int", "found": "binary"}
-    return ", ".join(f"{n} {kinds[n]}" for n in _names(last))
+#: A row to compare has a window's hash h, x (more of its hash above 32 bits of position) and the
+#: document k; one of known positions has them in found instead, and a hash of k.
+_NAMES = ["h", "x", "k", "found"]
+_ROWS = "h long, x long, k long, found binary"
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _blobs(k: np.ndarray, pos: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -147,8 +145,8 @@ class _Sender:
         self.k, self.pos = np.zeros(remembered, np.int64), np.zeros(remembered, np.int32)
 
     def rows(self, h: np.ndarray, g: np.ndarray, k: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows (h, kind 0, k, pos, null) to send and (h, kind 1, k, -1, found): known positions."""
-        order = np.lexsort((pos, k, g, h))
+        """Rows to send, and rows of known positions. The places of a document come together, in order."""
+        order = _by_window(h, g, k, pos)
         h, g, k, pos = h[order], g[order], k[order], pos[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
@@ -169,19 +167,30 @@ class _Sender:
             count = np.minimum(2, before + size).astype(np.int8)
         put, one = at[fresh], first[fresh]
         self.h[put], self.g[put], self.sent[put], self.k[put], self.pos[put] = h[one], g[one], count[fresh], k[one], pos[one]
-        yield self._packed(h[send], g[send], k[send], pos[send], None)
-        k, pos = k[~send], pos[~send]
-        order = np.lexsort((pos, k))
-        key, found = _blobs(k[order], pos[order])
-        spread = vectext.mixed(key.to_numpy().view(np.uint64))
-        yield self._packed(spread, _half(spread), key.to_numpy(), np.full(len(key), -1, np.int32), found)
+        more = g[send].astype(np.uint64) << np.uint64(32) if self.last else np.uint64(0)
+        yield _packed(h[send], more | pos[send].astype(np.uint64), k[send], None)
+        # In the order given, so that a document's places are together.
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        kept = back[~send[back]]
+        key, found = _blobs(k[kept], pos[kept])
+        key = key.to_numpy()
+        yield _packed(vectext.mixed(key.view(np.uint64)), np.zeros(len(key), np.uint64), key, found)
+
+
+def _by_window(h: np.ndarray, g: np.ndarray, k: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The order by (h, g, k, pos)."""
+    if (k[1:] >= k[:-1]).all():
+        order = np.argsort(h, kind="stable")
+        one, other = order[1:], order[:-1]
+        if not ((h[one] == h[other]) & (g[one] != g[other])).any():
+            return order
+    return np.lexsort((pos, k, g, h))
+
 
-    def _packed(self, h, g, k, pos, found: pa.Array | None) -> pa.RecordBatch:
-        n = len(h)
-        kind = np.full(n, 0 if found is None else 1, np.int8)
-        keys = [pa.array(h.view(np.int64)), pa.array(g.view(np.int32))][: 1 + self.last]
-        found = pa.nulls(n, pa.binary()) if found is None else found
-        return pa.RecordBatch.from_arrays([*keys, pa.array(kind), pa.array(k), pa.array(pos), found], names=_names(self.last))
+def _packed(h: np.ndarray, x: np.ndarray, k: np.ndarray, found: pa.Array | None) -> pa.RecordBatch:
+    found = pa.nulls(len(h), pa.binary()) if found is None else found
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(x.view(np.int64)), pa.array(k), found], names=_NAMES)
 
 
 def _first_level(how: RepeatWindows):
@@ -233,16 +242,17 @@ def _compared(last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the rows of the last hash so far that may still turn out to repeat
         first = None  # the last hash and its first place
-        kinds = _names(last).index("kind")
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kind = batch.column(kinds).to_numpy()
-            whole = batch.filter(pa.array(kind == 1))
+            known = batch.column(3).is_valid()
+            whole = batch.filter(known)
             if whole.num_rows:
-                yield pa.RecordBatch.from_arrays([whole.column(kinds + 1), whole.column(kinds + 3)], names=["k", "found"])
-            part = kind == 0
-            h, g, k, pos = (batch.column(i).to_numpy()[part] for i in (0, kinds - 1, kinds + 1, kinds + 2))
+                yield pa.RecordBatch.from_arrays([whole.column(2), whole.column(3)], names=["k", "found"])
+            part = ~known.to_numpy(zero_copy_only=False)
+            h, x, k = (batch.column(i).to_numpy()[part] for i in range(3))
+            x = x.view(np.uint64)
+            g, pos = x >> np.uint64(32), (x & _LOW).astype(np.int32)
             if last:
                 if not len(h):
                     continue
@@ -275,7 +285,7 @@ def _compared(last: bool):
 
 def _by_document(rows: DataFrame, last: bool) -> DataFrame:
     """A level's outcome as (k, found): a list of position blobs for each document."""
-    dealt = rows.repartition("h").sortWithinPartitions(*_names(last)[:-1])
+    dealt = rows.repartition("h").sortWithinPartitions("h", F.shiftrightunsigned("x", 32), "k", "x")
     found = dealt.mapInArrow(_compared(last), "k long, found binary")
     return found.groupBy("k").agg(F.collect_list("found").alias("found"))
 
@@ -285,7 +295,7 @@ def repeated_windows(texts: DataFrame, how: RepeatWindows) -> DataFrame:
 
     The levels end where nothing repeats any more.
     """
-    found = settled(_by_document(texts.mapInArrow(_first_level(how), _schema(False)), False))
+    found = settled(_by_document(texts.mapInArrow(_first_level(how), _ROWS), False))
     for length in how.lengths:
         # The exchange of the level before is done with.
         sweep(texts.sparkSession)
@@ -293,7 +303,7 @@ def repeated_windows(texts: DataFrame, how: RepeatWindows) -> DataFrame:
             break
         last = length == how.window
         alive = texts.join(found, "k").select("k", "text", "found")
-        found = _by_document(alive.mapInArrow(_next_level(how, length), _schema(last)), last)
+        found = _by_document(alive.mapInArrow(_next_level(how, length), _ROWS), last)
         found = found if last else settled(found)
     return found
 
