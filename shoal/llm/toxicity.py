@@ -26,7 +26,9 @@ from shoal.llm.spread import settled
 class ToxicityTraining:
     """``rows`` bounds the sample of labelled rows, ``features`` what is kept of 2^bits buckets.
 
-    ``toxic_weight`` is what a toxic row counts for, since few rows are."""
+    ``toxic_weight`` is what a toxic row counts for, since few rows are. ``rounds`` and
+    ``precise`` (the largest part of the gradient) end the regression.
+    """
 
     rows: int = 30_000
     features: int = 4_000
@@ -35,7 +37,12 @@ class ToxicityTraining:
     smoothing: float = 1.0
     penalty: float = 3.0
     toxic_weight: float = 3.0
-    rounds: int = 300
+    rounds: int = 100
+    precise: float = 1e-4
+
+    def __post_init__(self):
+        if not 0 < self.features < 1 << 16:
+            raise ValueError("features must be from 1 to 65535")
 
 
 @dataclass(frozen=True)
@@ -76,8 +83,10 @@ def held_out(doc_id: F.Column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, how: ToxicityTraining | None = None) -> ToxicityModel:
     """Learns from ``labels`` (doc_id, toxic) joined to ``docs`` (doc_id, text), held-out rows aside.
 
-    Null labels and ids are left out; a null text counts as empty. Without labels of both
-    kinds the model has no features and its bias is the smoothed share of toxic rows.
+    Null labels and ids are left out; a null text counts as empty, a long one whole. A row that
+    is repeated in either table, or labelled in several ways, counts each time. Without labels
+    of both kinds, or with an empty table, the model has no features and its bias is the
+    smoothed log ratio of toxic to other rows.
     """
     how = how or ToxicityTraining()
     sample = settled(_sample(docs, labels, how))
@@ -119,41 +128,83 @@ def fit(docs: DataFrame, labels: DataFrame, how: ToxicityTraining | None = None)
         for batch in batches:
             for b in text_blocks(batch, 1):
                 row, bucket = _found(b.column(1).to_pylist(), how.sizes, how.bits, wanted)
-                at = np.searchsorted(features, bucket).astype(np.int32)
-                ends = pa.py_buffer((np.searchsorted(row, np.arange(b.num_rows + 1)) * 4).astype(np.int32))
+                at = np.searchsorted(features, bucket).astype(np.uint16)
+                ends = pa.py_buffer((np.searchsorted(row, np.arange(b.num_rows + 1)) * 2).astype(np.int32))
                 blobs = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends, pa.py_buffer(at.tobytes())])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), blobs], names=["doc_id", "toxic", "found"])
 
     rows = sample.mapInArrow(kept, "doc_id long, toxic int, found binary").orderBy("doc_id", "toxic", "found").collect()
     y = np.array([r["toxic"] for r in rows], np.float64)
-    parts = [np.frombuffer(bytes(r["found"]), np.int32) for r in rows]
+    parts = [np.frombuffer(r["found"], np.uint16) for r in rows]
     weights, bias = _regression(parts, y, ratio, prior, how)
     keep = weights != 0
     return ToxicityModel(how.sizes, how.bits, features[keep], (weights * ratio)[keep].astype(np.float32), bias)
 
 
 def _regression(parts: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, prior: float, how: ToxicityTraining):
-    """Logistic regression on presence times ratio, L2-regularised, by Adam over all rows."""
+    """Logistic regression on presence times ratio, L2-regularised (the bias aside).
+
+    The loss is convex; it is minimised by L-BFGS over all rows.
+    """
     row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     column = np.concatenate(parts).astype(np.int64)
+    value, n = ratio[column], len(y)
     cost = np.where(y == 1, how.toxic_weight, 1.0)
-    w, bias = np.zeros(len(ratio)), prior
-    mean, square = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
-    for step in range(1, how.rounds + 1):
-        z = bias + np.bincount(row, (w * ratio)[column], len(y))
-        off = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        off *= cost
-        gradient = np.bincount(column, off[row], len(ratio)) * ratio + how.penalty * w
-        gradient = np.append(gradient, off.sum()) / len(y)
-        mean = 0.9 * mean + 0.1 * gradient
-        square = 0.99 * square + 0.01 * gradient**2
-        move = 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9) / (1 + step / 100)
-        w, bias = w - move[:-1], bias - move[-1]
-    return w, float(bias)
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, bias = x[:-1], x[-1]
+        z = bias + np.bincount(row, w[column] * value, n)
+        off = cost * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+        gradient = np.append(np.bincount(column, off[row] * value, len(ratio)) + how.penalty * w, off.sum())
+        total = (cost * (np.logaddexp(0, z) - y * z)).sum() + how.penalty * (w @ w) / 2
+        return total / n, gradient / n
+
+    x = minimised(loss, np.append(np.zeros(len(ratio)), prior), how.rounds, how.precise)
+    return x[:-1], float(x[-1])
+
+
+def minimised(loss, x: np.ndarray, rounds: int, precise: float, memory: int = 10) -> np.ndarray:
+    """L-BFGS: the curvature comes from the last ``memory`` steps; steps halve until they pay."""
+    value, gradient = loss(x)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        if np.abs(gradient).max() <= precise:
+            break
+        move, weights = gradient.copy(), []
+        for s, g, r in reversed(steps):
+            a = r * (s @ move)
+            weights.append(a)
+            move -= a * g
+        if steps:
+            s, g, r = steps[-1]
+            move *= 1 / (r * (g @ g))
+        for (s, g, r), a in zip(steps, reversed(weights), strict=True):
+            move += s * (a - r * (g @ move))
+        slope = gradient @ move
+        if slope <= 0:
+            move, slope, steps = gradient.copy(), gradient @ gradient, []
+        length = 1.0
+        while True:
+            new = x - length * move
+            new_value, new_gradient = loss(new)
+            if new_value <= value - 1e-4 * length * slope:
+                break
+            length /= 2
+            if length < 1e-12:
+                return x
+        s, g = new - x, new_gradient - gradient
+        if s @ g > 1e-14:
+            steps = [*steps, (s, g, 1 / (s @ g))][-memory:]
+        x, value, gradient = new, new_value, new_gradient
+    return x
 
 
 def scored(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, score, predicted. A null text scores as an empty one."""
+    """Per row of ``docs``: doc_id, held_out, score, predicted.
+
+    A text is scored whole, however long; a null one as an empty one. Rows are scored as they
+    come, repeated ones and those without an id too. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights))
     sizes, bits, bias = model.sizes, model.bits, model.bias
 
