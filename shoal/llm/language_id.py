@@ -5,7 +5,8 @@ n-grams (tempered, since neighbouring n-grams are not independent), the likeliho
 declared markup language and of the address suffix, and the prior of the host, which is
 smoothed towards its domain's and that towards all records'. Likelihoods and priors are soft
 counts of the text-only posteriors, summed by grouped aggregation; each record's own count
-is taken out of its host's and domain's, lest it vouch for itself.
+is taken out of its host's and domain's, lest it vouch for itself. Soft counts are whole
+numbers of UNITs, so that sums don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -24,14 +25,17 @@ from shoal.llm.chartext import Characters, text_blocks
 from shoal.llm.spread import settled
 
 UNDETERMINED = "und"
+#: What soft counts are whole multiples of.
+UNIT = 2.0**-24
 
 
 @dataclass(frozen=True)
 class LanguageTraining:
-    """``rows`` bounds the labelled sample (the rows with the least hash of their id)."""
+    """``rows`` bounds the labelled sample (the rows with the least hash of their id), and so the
+    number of languages; ``languages`` keeps the most frequent of them only, if given."""
 
     rows: int = 20_000
-    languages: int = 64
+    languages: int | None = None
     sizes: tuple[int, ...] = (1, 2, 3)
     bits: int = 16
     smoothing: float = 0.5
@@ -56,9 +60,10 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, how: LanguageTraining | None = None, id_col="doc_id", text_col="text", label_col="lang") -> LanguageModel:
-    """Counts n-grams of a bounded sample of rows with a label; the ``languages`` most frequent count.
+    """Counts n-grams of a bounded sample of rows with a label; every label found is a language.
 
-    Null ids and labels are left out. Without labelled rows there are no languages, and every
+    Null ids and labels are left out; null texts are empty; rows that repeat an id and a label
+    count each. Without labelled rows, as in an empty table, there are no languages, and every
     record is undetermined.
     """
     how = how or LanguageTraining()
@@ -99,7 +104,7 @@ def fit(docs: DataFrame, how: LanguageTraining | None = None, id_col="doc_id", t
 
 def text_evidence(records: DataFrame, model: LanguageModel, fusion: Fusion, text_col: str = "text") -> DataFrame:
     """Replaces the text by ``evidence`` (a log likelihood for each language), ``soft`` (the
-    posterior from it alone; zeros without letters) and ``letters``."""
+    posterior from it alone in UNITs; zeros without letters) and ``letters``."""
     shared = records.sparkSession.sparkContext.broadcast(model.table)
     sizes, bits, count = model.sizes, model.bits, len(model.languages)
     rest = [c for c in records.columns if c != text_col]
@@ -121,16 +126,16 @@ def text_evidence(records: DataFrame, model: LanguageModel, fusion: Fusion, text
                 total = (total - total.max(axis=1, keepdims=True, initial=-np.inf)) * scale[:, None] if count else total
                 soft = _normal(total) * (c.letters > 0)[:, None]
                 others = [b.column(i) for i in range(b.num_columns) if i != place]
-                arrays = [*others, _lists(total), _lists(soft), pa.array(c.letters.astype(np.int64))]
+                arrays = [*others, _lists(total), _lists(np.rint(soft / UNIT).astype(np.int64)), pa.array(c.letters.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "evidence", "soft", "letters"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema if f.name != text_col)
-    return records.mapInArrow(run, f"{schema}, evidence array<double>, soft array<double>, letters long")
+    return records.mapInArrow(run, f"{schema}, evidence array<double>, soft array<long>, letters long")
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
     ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1]))
-    return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(rows, np.float64).ravel()))
+    return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(rows).ravel()))
 
 
 def _normal(logs: np.ndarray) -> np.ndarray:
@@ -175,9 +180,9 @@ def fused(records: DataFrame, model: LanguageModel, fusion: Fusion | None = None
 
     def sums(key: str | None) -> DataFrame:
         some = read.where(F.col(key).isNotNull()).groupBy(key) if key else read.groupBy()
-        return some.agg(F.array(*[F.coalesce(F.sum(F.col("soft")[i]), F.lit(0.0)) for i in range(n)]).alias(f"{key}_sum"))
+        return some.agg(F.array(*[F.coalesce(F.sum(F.col("soft")[i]), F.lit(0)) for i in range(n)]).alias(f"{key}_sum"))
 
-    total = np.array(sums(None).first()[0])
+    total = np.array(sums(None).first()[0]) * UNIT
     rows = read
     for key in ("host", "domain", "declared", "suffix"):
         # A record without the field looks for a key of its own, which no group has.
@@ -194,7 +199,8 @@ def fused(records: DataFrame, model: LanguageModel, fusion: Fusion | None = None
                 continue
             letters = b.column(len(fields)).to_numpy()
             evidence, soft, *given = (_rows(c, n) for c in b.columns[len(fields) + 1 :])
-            final = fuse(evidence, soft, *given, total, fusion)
+            soft = soft * UNIT
+            final = fuse(evidence, soft, *(x * UNIT for x in given), total, fusion)
             top = final.max(axis=1)
             ok = (letters > 0) & (top >= fusion.least)
             lang = languages[np.where(ok, final.argmax(axis=1), n)]
@@ -221,7 +227,11 @@ _HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
 
 
 def page_records(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
-    """Web pages to records: visible text, the markup's language, the host's suffix, host and domain."""
+    """Web pages to records: visible text, the markup's language, the host's suffix, host and domain.
+
+    A null page is an empty text; what a null or odd address or page doesn't tell is null. Pages
+    are read whole; repeated rows stay. An empty table gives no rows.
+    """
 
     def visible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
