@@ -130,14 +130,16 @@ def _place(block: int, n: int, key: np.ndarray, upto: int) -> bool:
 
 
 def shard_table(plan: pd.DataFrame, mixture: Mixture) -> pd.DataFrame:
-    """Slot counts drawn shard by shard: (src, shard, first slot, number of slots)."""
+    """Slot counts drawn shard by shard: (src, shard, first slot, number of slots).
+
+    Shards differ by one slot at most."""
     left = plan["slots"].to_numpy(np.int64).copy()
     rng = np.random.default_rng(mixture.seed)
-    each = -(-int(left.sum()) // mixture.shards)
+    total = int(left.sum())
     taken, out = np.zeros(len(left), np.int64), []
     for shard in range(mixture.shards):
         draw = np.zeros(len(left), np.int64)
-        want = min(each, int(left.sum()))
+        want = total * (shard + 1) // mixture.shards - total * shard // mixture.shards
         while want:
             room = left - draw
             more = np.minimum(rng.multinomial(want, room / room.sum()), room)
@@ -169,8 +171,8 @@ def word_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
 @dataclass(frozen=True)
 class Mixed:
     """documents: doc_id, source, size, text_hash, src, start, source_size, target.
-    slots: src, shard, slot, turn, block, take. parts: src, start, turn, low, high (the words
-    low to high of the document that starts there, taken in that turn)."""
+    slots: src, shard, slot, turn, block, take. parts: src, start, turn, shard, slot, low, high
+    (the words low to high of the document that starts there, taken for that slot)."""
 
     documents: DataFrame
     slots: DataFrame
@@ -235,22 +237,43 @@ def mix(sizes: DataFrame, mixture: Mixture) -> Mixed:
         .withColumn("high", F.least("high", "take"))
         .where("high > low")
         .withColumn("base", F.col("block") * block - F.col("start"))
-        .select("src", "start", "turn", (F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high"))
+        .select("src", "start", "turn", "shard", "slot", (F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high"))
     )
     return Mixed(documents, slots, parts)
 
 
 def taken_words(docs: DataFrame, mixture: Mixture | None = None, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
-    """Per document row: doc_id, source, size, source_size, target, taken."""
+    """Per document row: doc_id, source, size, source_size, target, taken, shards, first_shard.
+
+    The last two are the number of output shards that take words of it, and the first of them
+    (null if none does). Every row is a document of its own, repeated ones and those without an
+    id too; null texts have no words. An empty table gives no rows.
+    """
     mixed = mix(settled(word_sizes(docs, id_col, text_col, source_col)), mixture or Mixture())
-    taken = mixed.parts.groupBy("src", "start").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
+    # A few parts a document and shard; summed by both first, no set is gathered.
+    words = F.sum(F.col("high") - F.col("low")).alias("taken")
+    by_shard = mixed.parts.groupBy("src", "start", "shard").agg(words)
+    taken = by_shard.groupBy("src", "start").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("shards"), F.min("shard").alias("first_shard"))
     names = ["doc_id", "source", "size", "source_size", "target"]
+    zero = F.lit(0).cast("long")
     full = mixed.documents.where("size > 0").join(taken, ["src", "start"], "left")
-    full = full.select(*names, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    none = mixed.documents.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken"))
+    full = full.select(*names, *[F.coalesce(c, zero).alias(c) for c in ("taken", "shards")], "first_shard")
+    none = mixed.documents.where("size = 0").select(*names, zero.alias("taken"), zero.alias("shards"), F.lit(None).cast("long").alias("first_shard"))
     return full.unionByName(none)
 
 
+def mixed_blocks(mixed: Mixed, mixture: Mixture) -> DataFrame:
+    """The mix as written out: (shard, place, src, turn, block, take, pieces).
+
+    ``place`` is gapless from 0 in a shard, in an order that mixes the sources; ``pieces`` are
+    the runs of words that fill the block: (start of the document in its source, low, high).
+    """
+    pieces = mixed.parts.groupBy("src", "shard", "slot").agg(F.sort_array(F.collect_list(F.struct("start", "low", "high"))).alias("pieces"))
+    blocks = mixed.slots.where("take > 0").join(pieces, ["src", "shard", "slot"])
+    mixing = blocks.withColumn("_order", F.xxhash64("src", "slot", F.lit(mixture.seed)))
+    return ranked(mixing, ["shard"], ["_order", "src", "slot"], "place").drop("_order", "slot")
+
+
 def _ties(rows: DataFrame, names: list[str], by: list[str]) -> DataFrame:
     """``rows`` (``names`` and the keys ``by``) with ``_shoal_tie``: their places in their keys, from 0.
 

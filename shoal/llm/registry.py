@@ -72,7 +72,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoal.llm.mixing import taken_words
 
-    return taken_words(rows_of(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = taken_words(rows_of(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards", "first_shard")
 
 
 def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
