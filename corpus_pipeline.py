@@ -15,9 +15,14 @@ from shoal.session import reachable
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no letters, or no language likely enough) go."""
+    """Documents whose language can't be told (no letters, or no language likely enough) go.
+
+    Where no document has a label there is nothing to tell languages by: those with letters stay.
+    """
     reachable(spark)
     model = language_id.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     # A row's id, source and text decide alone, so rows alike in them share a decision.
     text_hash = text_key(F.col("text"))
     rows = docs.withColumn("_shoal_row", F.struct("doc_id", text_hash.alias("h")))
