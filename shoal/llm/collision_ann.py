@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 
 from shoal.llm.vectors import answers, best_each, nearest_copies, searched, usable
 
+#: Vectors in a block, about.
+BLOCK = 16_384
+
 
 @dataclass(frozen=True)
 class CollisionHashing:
@@ -224,5 +227,5 @@ def nearest(vectors: DataFrame, every: int, top: int, how: CollisionHashing | No
     base = nearest_copies(rows, top + 1)
     asked = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
     queries = asked.groupBy("v").agg(F.min("query_id").alias("q")).select("q", "v")
-    found = searched(base, queries, top + 1, lambda q, v: q @ v.T, indexed(top + 1, how), pa.float64(), slack=1e-9)
+    found = searched(base, queries, top + 1, lambda q, v: q @ v.T, indexed(top + 1, how), pa.float64(), 1e-9, BLOCK)
     return answers(found, queries, asked, top)

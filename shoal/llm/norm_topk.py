@@ -133,5 +133,5 @@ def top_products(vectors: DataFrame, every: int, top: int, scale: float = 256.0,
     base = nearest_copies(rows, top + 1)
     asked = rows.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
     queries = asked.groupBy("v").agg(F.min("query_id").alias("q"))
-    found = searched(base, queries, top + 1, _products, bucketed(top + 1), pa.int64(), rows=BLOCK)
+    found = searched(base, queries, top + 1, _products, bucketed(top + 1), pa.int64(), 0.0, BLOCK)
     return answers(found, queries, asked, top)

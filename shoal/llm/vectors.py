@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from shoal.llm.spread import settled
 
-#: Vectors in a block, about, and their bytes at most.
-BLOCK_ROWS, BLOCK_BYTES = 16_384, 1 << 24
+#: Bytes of the vectors in a block at most, about.
+BLOCK_BYTES = 1 << 24
 #: Queries that one task answers, about, where a block has more.
 STREAM = 65_536
 #: Queries a task is worth having for.
@@ -116,14 +116,14 @@ def searched(
     products: Callable[[np.ndarray, np.ndarray], np.ndarray],
     build: Build,
     score_type: pa.DataType,
-    slack: float = 0.0,
-    rows: int = BLOCK_ROWS,
+    slack: float,
+    rows: int,
 ) -> DataFrame:
     """(q, vec_id, score): each query's best ``top`` of every block that it meets, or more.
 
     ``base`` has (vec_id, v), ``queries`` (q, v): distinct query vectors. Only vectors of the
     same dimension meet. ``products`` gives a matrix of scores, of which ``slack`` (relative)
-    is rounding. On the driver are the length ranges and the seeds, both bounded.
+    is rounding; blocks have ``rows`` vectors, about. On the driver are the length ranges and the seeds, both bounded.
     """
     spark = base.sparkSession
     log = log_length(F.col("v"))

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shoal.llm import vectors as shared
 from shoal.llm import chat_format, collision_ann, language_id, mixing, norm_topk, registry, sequence_packing, shard_packing, substring_dedup, superminhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k string, node string, size string"
@@ -330,6 +331,32 @@ def test_exact_top(spark):
     assert dict(found) == {q: x for q, x in want.items() if x}
 
 
+@pytest.mark.parametrize("columns", [1, 3])
+def test_tops_over_many_blocks(spark, monkeypatch, columns):
+    """Blocks of few rows, lengths of all sizes, several tasks a block."""
+    monkeypatch.setattr(norm_topk, "BLOCK", 24)
+    monkeypatch.setattr(collision_ann, "BLOCK", 200)
+    monkeypatch.setattr(shared, "STREAM", 10 if columns > 1 else 1000)
+    monkeypatch.setattr(shared, "SEED_OTHERS", 30)
+    monkeypatch.setattr(shared, "SEED_LONGEST", 10)
+    rng = np.random.default_rng(12)
+    rows = [(i, (rng.normal(size=16) * rng.lognormal(0, 0.8)).tolist()) for i in range(900)]
+    rows += [(900 + i, rows[i][1]) for i in range(40)] + [(2000, [0.0] * 16), (2020, rng.normal(size=3).tolist()), (2021, rng.normal(size=3).tolist())]
+    df = spark.createDataFrame([(*r, 1, "c", "c") for r in rows], VECTORS).repartition(3)
+    want = nearest_by_hand(rows, 20, 6, lambda x: math.floor(256 * x), True)
+    found = defaultdict(list)
+    for r in norm_topk.top_products(df, 20, 6).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert dict(found) == {q: x for q, x in want.items() if x}
+    want = nearest_by_hand(rows, 20, 6, lambda x: x, False)
+    near = defaultdict(set)
+    for r in collision_ann.nearest(df, 20, 6).collect():
+        near[r["query_id"]].add(r["vec_id"])
+    hits = sum(len({i for i, _ in want[q]} & near[q]) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    assert {q: len(x) for q, x in near.items()} == {q: len(x) for q, x in want.items() if x}
+
+
 def test_exact_products_beyond_doubles():
     big = np.array([[2**40, 3], [-(2**40), 1]])
     assert norm_topk._products(big, big).tolist() == [[2**63 - 1, -(2**63)], [-(2**63), 2**63 - 1]]
