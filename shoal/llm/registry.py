@@ -39,7 +39,7 @@ def op3_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shoal.llm.substring_dedup import deduplicated
 
-    return deduplicated(rows_of(spark, sf_dir, "documents")).drop("kept_text")
+    return deduplicated(rows_of(spark, sf_dir, "documents"), with_text=False)
 
 
 def op5_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

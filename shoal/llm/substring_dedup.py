@@ -76,8 +76,8 @@ class _Block:
     def __init__(self, batch: pa.RecordBatch, how: RepeatWindows):
         self.how = how
         self.k = batch.column(0).to_numpy()
-        data, offsets = vectext.utf8(batch.column(1))
-        starts, ends, self.bounds = vectext.word_spans(data, offsets)
+        data, self.offsets = vectext.utf8(batch.column(1))
+        starts, ends, self.bounds = vectext.word_spans(data, self.offsets)
         self.total = len(starts)
         self._words = data, starts, ends
         self.row = np.repeat(np.arange(len(self.k)), np.diff(self.bounds))
@@ -318,8 +318,27 @@ def _covered(b: _Block, found: pa.Array, window: int) -> np.ndarray:
     return np.cumsum(steps)[: b.total] > 0
 
 
-def deduplicated(docs: DataFrame, how: RepeatWindows | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text.
+def _cutter(b: _Block, gone: np.ndarray):
+    """A function that gives row i's text without the words ``gone`` and the white space after each."""
+    data, starts, _ = b._words
+    at = np.flatnonzero(gone)
+    upto = np.append(starts[1:], len(data))[at]
+    edges = np.zeros(len(data) + 1, np.int32)
+    edges[starts[at]] += 1
+    edges[np.minimum(upto, b.offsets[b.row[at] + 1])] -= 1
+    keep = np.cumsum(edges)[:-1] == 0
+
+    def text(i: int) -> str:
+        mine = slice(b.offsets[i], b.offsets[i + 1])
+        return data[mine][keep[mine]].tobytes().decode()
+
+    return text
+
+
+def deduplicated(
+    docs: DataFrame, how: RepeatWindows | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True
+) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text (if asked for).
 
     A word goes if any window over it starts earlier too (smaller doc_id, or same document
     and earlier start), judged on the input. ``kept_text`` is the text without those words
@@ -339,6 +358,7 @@ def deduplicated(docs: DataFrame, how: RepeatWindows | None = None, id_col: str
             gone = _covered(b, batch.column(2), how.window)
             sums = np.concatenate(([0], np.cumsum(gone)))
             removed = sums[b.bounds[1:]] - sums[b.bounds[:-1]]
+            cut = _cutter(b, gone) if with_text else lambda i: None
             digests, kept = [], []
             for i, lost in enumerate(removed.tolist()):
                 text = batch.column(1)[i].as_py()
@@ -347,13 +367,13 @@ def deduplicated(docs: DataFrame, how: RepeatWindows | None = None, id_col: str
                 if lost:
                     stay = ~gone[b.bounds[i] : b.bounds[i + 1]]
                     words = list(compress(words, stay.tolist()))
-                    text = _cut(raw, stay)
+                    text = cut(i)
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 kept.append(text)
             arrays = [batch.column(0), pa.array(np.diff(b.bounds)), pa.array(removed), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(kept, pa.string())], names=["k", *names])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(kept, pa.string())][: 1 + len(names)], names=["k", *names])
 
-    names = ["n_words", "n_removed", "kept_sha256", "kept_text"]
+    names = ["n_words", "n_removed", "kept_sha256", "kept_text"][: 3 + with_text]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     by, again = _told_apart(rows, "doc_id", "text")
     if again is not None:
@@ -362,7 +382,7 @@ def deduplicated(docs: DataFrame, how: RepeatWindows | None = None, id_col: str
     keyed = _numbered(rows.withColumns(by), by, "k")
     texts = keyed.select("k", "text")
     joined = texts.join(repeated_windows(texts, how), "k", "left").select("k", "text", "found")
-    out = joined.mapInArrow(run, "k long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = joined.mapInArrow(run, "k long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     if len(by) == 1:
         # The number is the id, but for a null one.
         null = F.col("k") == (F.lit(LAST) if rows.where("doc_id is null").limit(1).count() else F.lit(None))
@@ -374,23 +394,8 @@ def deduplicated(docs: DataFrame, how: RepeatWindows | None = None, id_col: str
     copies = named.join(again, same, "left").select("k", "doc_id", F.coalesce("rows", F.lit(1).cast("long")).alias("rows"))
     out = out.join(copies, "k").withColumn("_copy", F.explode(F.expr("sequence(1L, rows)")))
     whole = (F.col("_copy") > 1) & (F.col("n_words") >= how.window)
-    return out.select(
-        "doc_id",
-        "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
-    )
-
-
-def _cut(raw: bytes, stay: np.ndarray) -> str:
-    data = np.frombuffer(raw, np.uint8)
-    starts, _, _ = vectext.word_spans(data, np.array([0, len(data)]))
-    keep = np.ones(len(data), bool)
-    edges = np.append(starts, len(data))
-    for i in np.flatnonzero(~stay).tolist():
-        keep[edges[i] : edges[i + 1]] = False
-    return data[keep].tobytes().decode()
+    none = {"n_removed": F.col("n_words"), "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "kept_text": F.lit("")}
+    return out.select("doc_id", "n_words", *[F.when(whole, none[n]).otherwise(F.col(n)).alias(n) for n in names[1:]])
 
 
 def _told_apart(rows: DataFrame, id_col: str, text_col: str) -> tuple[dict, DataFrame | None]:
@@ -451,10 +456,8 @@ def without_repeats(docs: DataFrame, how: RepeatWindows | None = None, id_col: s
             gone = _covered(b, batch.column(flags), how.window)
             sums = np.concatenate(([0], np.cumsum(gone)))
             removed, n = sums[b.bounds[1:]] - sums[b.bounds[:-1]], np.diff(b.bounds)
-            kept = [
-                _cut((texts[i].as_py() or "").encode(), ~gone[b.bounds[i] : b.bounds[i + 1]]) if lost else texts[i].as_py()
-                for i, lost in enumerate(removed.tolist())
-            ]
+            cut = _cutter(b, gone)
+            kept = [cut(i) if lost else texts[i].as_py() for i, lost in enumerate(removed.tolist())]
             columns = list(batch.columns[:flags])
             columns[at] = pa.array(kept, pa.string())
             out = pa.RecordBatch.from_arrays(columns, names=names)
