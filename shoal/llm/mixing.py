@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import vectext
-from shoal.llm.spread import ranked, row_hash, running_start, settled, text_key
+from shoal.llm.spread import FILE_DOCS, few, ranked, row_hash, running_start, settled, text_key
 
 BLOCK_WORDS = 256
 SHARDS = 64
@@ -172,11 +172,13 @@ def word_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
 class Mixed:
     """documents: doc_id, source, size, text_hash, src, start, source_size, target.
     slots: src, shard, slot, turn, block, take. parts: src, start, turn, shard, slot, low, high
-    (the words low to high of the document that starts there, taken for that slot)."""
+    (the words low to high of the document that starts there, taken for that slot). count: the
+    number of documents."""
 
     documents: DataFrame
     slots: DataFrame
     parts: DataFrame
+    count: int
 
 
 def mix(sizes: DataFrame, mixture: Mixture) -> Mixed:
@@ -198,7 +200,8 @@ def mix(sizes: DataFrame, mixture: Mixture) -> Mixed:
     table = spark.createDataFrame(rows, named)
     table = F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
     known = sizes.withColumn("key", key).join(table, "key").drop("key")
-    documents = settled(running_start(known, ["src"], ["doc_id", "text_hash"], "size", "start", sum(r["rows"] for r in found)))
+    count = sum(r["rows"] for r in found)
+    documents = settled(few(running_start(known, ["src"], ["doc_id", "text_hash"], "size", "start", count), count))
 
     by_src = plan.set_index("src")
     shards = shard_table(plan, mixture)
@@ -239,7 +242,7 @@ def mix(sizes: DataFrame, mixture: Mixture) -> Mixed:
         .withColumn("base", F.col("block") * block - F.col("start"))
         .select("src", "start", "turn", "shard", "slot", (F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high"))
     )
-    return Mixed(documents, slots, parts)
+    return Mixed(documents, slots, parts, count)
 
 
 def taken_words(docs: DataFrame, mixture: Mixture | None = None, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
@@ -313,7 +316,7 @@ def mixed_documents(docs: DataFrame, mixture: Mixture | None = None, id_col="doc
             "_shoal_hash": text_key(F.col(text_col)),
         }
     )
-    again = settled(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*by))
+    again = settled(few(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*by), mixed.count))
     if not again.isEmpty():
         plan = ranked(keys.join(again, by, "left_semi"), by, ["start"], "_shoal_tie")
         keys = keys.join(again, by, "left_anti").withColumn("_shoal_tie", F.lit(0).cast("long")).unionByName(plan)
@@ -344,7 +347,7 @@ def mixed_documents(docs: DataFrame, mixture: Mixture | None = None, id_col="doc
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = keyed.join(taken, by).select(*names, "_shoal_spans")
+    joined = few(keyed.join(taken, by).select(*names, "_shoal_spans"), mixed.count, FILE_DOCS)
     out = joined.mapInArrow(run, docs.schema)
     if "n_chars" in names and text_col != "n_chars":
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.byte_bpe import byte_bpe
-from shoal.llm.spread import ranked, settled
+from shoal.llm.spread import few, ranked, settled
 
 SEQ_LEN = 2048
 END_ID = 0
@@ -140,7 +140,8 @@ def best_fit(pieces: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
     runs, _ = plan_slots(counts, seq_len)
     schema = "length long, first_rank long, end_rank long, first_sequence long, each long, used long"
     plan = spark.createDataFrame(runs, schema)
-    places = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", sum(counts.values()))
+    total = sum(counts.values())
+    places = few(ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", total), total)
     held = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
     nth = F.col("rank") - F.col("first_rank")
     return (

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from shoal.session import reachable, settled, sweep
 
-__all__ = ["key_order", "numbered", "one_of_each", "ranked", "row_hash", "rows_of", "running_start", "settled", "sweep", "text_key"]
+__all__ = ["FILE_DOCS", "few", "key_order", "numbered", "one_of_each", "ranked", "row_hash", "rows_of", "running_start", "settled", "sweep", "text_key"]
 
+#: Rows of numbers, and documents, that are worth a file.
+FILE_ROWS, FILE_DOCS = 20_000, 5_000
 #: Slices of a key at least, and rows in a slice at most, about, if one key has all.
 SLICES, SLICE_ROWS = 128, 1_000_000
 
@@ -34,6 +36,16 @@ def key_order(id_col: str) -> tuple[Column, Column]:
     return key.isNull(), F.coalesce(key, F.lit(0).cast("long"))
 
 
+def few(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """``df``, which has about ``rows`` rows, in no more partitions than they are worth.
+
+    A small table else goes to as many files as an exchange has partitions, where adaptive
+    execution doesn't merge them; for a large one nothing changes. Documents keep all cores busy.
+    """
+    least = df.sparkSession.sparkContext.defaultParallelism if each == FILE_DOCS else 1
+    return df.coalesce(max(least, -(-rows // each)))
+
+
 def slices(rows: int) -> int:
     return max(SLICES, -(-rows // SLICE_ROWS))
 

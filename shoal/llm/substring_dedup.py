@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import vectext
-from shoal.llm.spread import key_order, numbered, one_of_each, settled, sweep, text_key
+from shoal.llm.spread import FILE_DOCS, few, key_order, numbered, one_of_each, settled, sweep, text_key
 
 LAST = 2**63 - 1
 #: Windows that a task remembers having sent.
@@ -290,12 +290,12 @@ def _by_document(rows: DataFrame, last: bool) -> DataFrame:
     return found.groupBy("k").agg(F.collect_list("found").alias("found"))
 
 
-def repeated_windows(texts: DataFrame, how: RepeatWindows) -> DataFrame:
-    """(k, found) for (k, text), k unique: the first words of windows that also start earlier.
+def repeated_windows(texts: DataFrame, how: RepeatWindows, rows: int) -> DataFrame:
+    """(k, found) for so many rows (k, text), k unique: the first words of windows that also start earlier.
 
     The levels end where nothing repeats any more.
     """
-    found = settled(_by_document(texts.mapInArrow(_first_level(how), _ROWS), False))
+    found = settled(few(_by_document(texts.mapInArrow(_first_level(how), _ROWS), False), rows, FILE_DOCS))
     for length in how.lengths:
         # The exchange of the level before is done with.
         sweep(texts.sparkSession)
@@ -304,7 +304,7 @@ def repeated_windows(texts: DataFrame, how: RepeatWindows) -> DataFrame:
         last = length == how.window
         alive = texts.join(found, "k").select("k", "text", "found")
         found = _by_document(alive.mapInArrow(_next_level(how, length), _ROWS), last)
-        found = found if last else settled(found)
+        found = found if last else settled(few(found, rows, FILE_DOCS))
     return found
 
 
@@ -375,13 +375,14 @@ def deduplicated(
 
     names = ["n_words", "n_removed", "kept_sha256", "kept_text"][: 3 + with_text]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    by, again = _told_apart(rows, "doc_id", "text")
+    by, again, count = _told_apart(rows, "doc_id", "text")
     if again is not None:
         one = rows.withColumns(by).join(again.drop("rows"), list(by), "left_semi").dropDuplicates(list(by))
         rows = rows.withColumns(by).join(again, list(by), "left_anti").unionByName(one).select("doc_id", "text")
     keyed = _numbered(rows.withColumns(by), by, "k")
     texts = keyed.select("k", "text")
-    joined = texts.join(repeated_windows(texts, how), "k", "left").select("k", "text", "found")
+    joined = texts.join(repeated_windows(texts, how, count), "k", "left").select("k", "text", "found")
+    joined = few(joined, count, FILE_DOCS)
     out = joined.mapInArrow(run, "k long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     if len(by) == 1:
         # The number is the id, but for a null one.
@@ -398,20 +399,21 @@ def deduplicated(
     return out.select("doc_id", "n_words", *[F.when(whole, none[n]).otherwise(F.col(n)).alias(n) for n in names[1:]])
 
 
-def _told_apart(rows: DataFrame, id_col: str, text_col: str) -> tuple[dict, DataFrame | None]:
+def _told_apart(rows: DataFrame, id_col: str, text_col: str) -> tuple[dict, DataFrame | None, int]:
     """Columns that tell rows apart, in the order of documents: by id, then by the text's hash.
 
     One number if no two rows share an id. Also those of rows alike in id and text, with how
-    many they are ("rows"), if there are any.
+    many they are ("rows"), if there are any; and the number of all rows.
     """
     absent, order = key_order(id_col)
     by = {"_shoal_absent": absent, "_shoal_k": order, "_shoal_h": text_key(F.col(text_col))}
     texts = rows.select(*[c.alias(n) for n, c in by.items()]).groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
-    shared = texts.groupBy(*list(by)[:2]).agg(F.count(F.lit(1)).alias("texts"), F.max("rows").alias("rows"))
-    texts_of_id, alike, null, largest = shared.agg(F.max("texts"), F.max("rows"), F.max("_shoal_absent"), F.max("_shoal_k")).first()
+    shared = texts.groupBy(*list(by)[:2]).agg(F.count(F.lit(1)).alias("texts"), F.max("rows").alias("rows"), F.sum("rows").alias("n"))
+    most = [F.max(c) for c in ("texts", "rows", "_shoal_absent", "_shoal_k")]
+    texts_of_id, alike, null, largest, count = shared.agg(*most, F.coalesce(F.sum("n"), F.lit(0))).first()
     if (texts_of_id or 0) <= 1 and (alike or 0) <= 1 and not (null and largest == LAST):
-        return {"_shoal_k": F.when(absent, F.lit(LAST).cast("long")).otherwise(order)}, None
-    return by, settled(texts.where("rows > 1")) if alike > 1 else None
+        return {"_shoal_k": F.when(absent, F.lit(LAST).cast("long")).otherwise(order)}, None, count
+    return by, settled(few(texts.where("rows > 1"), count)) if alike > 1 else None, count
 
 
 def _numbered(rows: DataFrame, by: dict, name: str) -> DataFrame:
@@ -434,7 +436,7 @@ def without_repeats(docs: DataFrame, how: RepeatWindows | None = None, id_col: s
     """
     how = how or RepeatWindows()
     names = docs.columns
-    by, again = _told_apart(docs, id_col, text_col)
+    by, again, count = _told_apart(docs, id_col, text_col)
     keyed = docs.withColumns(by)
     if again is not None:
         # Those too short for a window stay.
@@ -443,7 +445,7 @@ def without_repeats(docs: DataFrame, how: RepeatWindows | None = None, id_col: s
         keyed = one_of_each(keyed, long, list(by))
     keyed = _numbered(keyed, by, "_shoal_k")
     texts = keyed.select(F.col("_shoal_k").alias("k"), F.col(text_col).cast("string").alias("text"))
-    found = repeated_windows(texts, how).withColumnsRenamed({"k": "_shoal_k", "found": "_shoal_found"})
+    found = repeated_windows(texts, how, count).withColumnsRenamed({"k": "_shoal_k", "found": "_shoal_found"})
     joined = keyed.join(found, "_shoal_k", "left")
     columns = [*names, "_shoal_found"]
     at, flags = names.index(text_col), len(names)
@@ -463,7 +465,7 @@ def without_repeats(docs: DataFrame, how: RepeatWindows | None = None, id_col: s
             out = pa.RecordBatch.from_arrays(columns, names=names)
             yield out.filter(pa.array((removed == 0) | (removed < n)))
 
-    out = joined.select(*columns).mapInArrow(run, docs.schema)
+    out = few(joined.select(*columns), count, FILE_DOCS).mapInArrow(run, docs.schema)
     if "n_chars" in names and text_col != "n_chars":
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

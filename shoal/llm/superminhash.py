@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import vectext
-from shoal.llm.spread import key_order, one_of_each, settled, text_key
+from shoal.llm.spread import FILE_DOCS, few, key_order, one_of_each, settled, text_key
 from shoal.operators.components import connected_components, union_find
 
 _STEP = 40  # bits of the fraction in a slot's value
@@ -303,7 +303,8 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates | None = None, id_col:
     empty set, is linked with nothing and kept. An empty table gives no rows.
     """
     shown = lambda key, absent: F.when(~F.col(absent), F.col(key))
-    return _classified(docs, how or NearDuplicates(), id_col, text_col).select(
+    found, _ = _classified(docs, how or NearDuplicates(), id_col, text_col)
+    return found.select(
         shown("k", "absent").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         shown("least.k", "least.absent").alias("component_id"),
@@ -314,21 +315,22 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates | None = None, id_col:
 def without_near_duplicates(docs: DataFrame, how: NearDuplicates | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the kept row of each component, columns as they are."""
     names, key = docs.columns, ["_shoal_absent", "_shoal_k", "_shoal_h"]
-    found = _classified(docs, how or NearDuplicates(), id_col, text_col).where("n > 0")
+    found, count = _classified(docs, how or NearDuplicates(), id_col, text_col)
+    found = found.where("n > 0")
     stays = F.col("r") == F.col("least.r")
     # Rows alike in id and text are in the same component.
     by = [F.col(c).alias(k) for c, k in zip(("absent", "k", "h"), key, strict=True)]
     told = found.groupBy(*by).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("m"))
-    told = settled(told.where("not stays or m > 1"))
+    told = settled(few(told.where("not stays or m > 1"), count))
     absent, order = key_order(id_col)
     keyed = docs.withColumns({key[0]: absent, key[1]: order, key[2]: text_key(F.col(text_col))})
     left = keyed.join(told.where("not stays").select(*key), key, "left_anti").select(*keyed.columns)
     again = told.where("stays")
-    return (left if again.isEmpty() else one_of_each(left, again, key)).select(*names)
+    return few(left if again.isEmpty() else one_of_each(left, again, key), count, FILE_DOCS).select(*names)
 
 
-def _distinct_nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` with one node for each set, and each node's first row (node, at).
+def _distinct_nodes(rows: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (so many) with one node for each set, and each node's first row (node, at).
 
     Where sets share a fingerprint but not the other, they get nodes of their own: equal sets
     are thus told by 128 bits.
@@ -336,7 +338,7 @@ def _distinct_nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     for _ in range(8):
         least = F.min(F.struct("absent", "k", "h", "r")).alias("at")
         by = rows.where("n > 0").groupBy("node").agg(least, F.min("check").alias("low"), F.max("check").alias("high"))
-        firsts = settled(by)
+        firsts = settled(few(by, count))
         odd = firsts.where("low <> high")
         if odd.isEmpty():
             return rows, firsts.select("node", "at")
@@ -345,23 +347,26 @@ def _distinct_nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     raise RuntimeError("fingerprints did not settle")
 
 
-def _classified(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
+def _classified(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """Per row of ``docs``: r (its number), absent and k (its id), h (its text's hash), n, and
-    ``least``, those of its component's first row."""
+    ``least``, those of its component's first row. Also the number of rows."""
     absent, order = key_order(id_col)
     text = F.col(text_col).cast("string")
     texts = docs.select(absent.alias("absent"), order.alias("k"), text_key(text).alias("h"), text.alias("text"))
     # Settled at once: a row keeps its number.
     rows = texts.select(F.monotonically_increasing_id().alias("r"), *texts.columns)
-    rows, firsts = _distinct_nodes(settled(described(rows, how)))
+    rows = settled(described(rows, how))
+    count = rows.count()
+    rows, firsts = _distinct_nodes(rows, count)
+    brief = lambda df: settled(few(df, count))
 
     full = rows.where("n > 0")
     nodes = full.join(firsts.select("node", "at.r"), ["node", "r"])
     slots = nodes.select("node", F.explode("bands").alias("band"))
     shared = slots.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
-    members = settled(slots.join(shared.where("low <> high"), "band").select("band", "size", "low", "node"))
+    members = settled(few(slots.join(shared.where("low <> high"), "band").select("band", "size", "low", "node"), how.bands * count // 4))
     wanted = members.select("node").distinct()
-    known = settled(nodes.join(wanted, "node").select("node", "absent", "k", "h", "n", "tags"))
+    known = brief(nodes.join(wanted, "node").select("node", "absent", "k", "h", "n", "tags"))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in vectext.blocks(batches, 1):
@@ -373,15 +378,15 @@ def _classified(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str
     # Rows alike in id and text have the same set; one is kept.
     mine = ["absent", "k", "h"]
     sets = texts.join(known.select(*mine, "node"), mine).select("node", "text").mapInArrow(gathered, "node long, elements binary")
-    sets = settled(sets.dropDuplicates(["node"]))
+    sets = settled(few(sets.dropDuplicates(["node"]), count, FILE_DOCS))
 
     tagged = known.select("node", "n", "tags")
     buckets = members.where(F.col("size") <= BUCKET_MEMBERS).join(tagged, "node").select("band", "node", "n", "tags")
     buckets = buckets.repartition("band").sortWithinPartitions("band", "node")
     likely = buckets.mapInArrow(_likely(how), _PAIRS).distinct()
     large = members.where(F.col("size") > BUCKET_MEMBERS).select(F.col("node").alias("a"), F.col("low").alias("c"))
-    families = connected_components(likely.union(large.distinct()), "a", "c", settled, ALONE)
-    families = settled(families.withColumnRenamed("component", "family").join(known.select("node", "n"), "node"))
+    families = connected_components(likely.union(large.distinct()), "a", "c", brief, ALONE)
+    families = brief(families.withColumnRenamed("component", "family").join(known.select("node", "n"), "node"))
 
     blocks_of = lambda members, elements: F.ceil(F.greatest(members / FAMILY_BLOCK, elements * 8 / FAMILY_BYTES)).cast("long")
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")).where("size > 1")
@@ -398,9 +403,9 @@ def _classified(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str
         return rows.mapInArrow(_compared(how, inside), _PAIRS)
 
     links = settled(compared(own.union(pivot), True))
-    labels = connected_components(links, "a", "c", settled, ALONE)
+    labels = connected_components(links, "a", "c", brief, ALONE)
     where = families.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    where = settled(where.select("family", "node", "n", "component"))
+    where = brief(where.select("family", "node", "n", "component"))
     by = where.groupBy("family", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
     split = by.groupBy("family").agg(
         F.max_by(F.struct("component", "m", "n"), F.struct("m", "component")).alias("main"), F.sum("m").alias("m"), F.sum("n").alias("n")
@@ -421,13 +426,13 @@ def _classified(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str
         others.select("family", "line", "column", F.lit(1).alias("side"), "node", "component")
     )
     more = compared(meet, False)
-    final = connected_components(links.union(more), "a", "c", settled, ALONE)
+    final = connected_components(links.union(more), "a", "c", brief, ALONE)
 
-    smallest = settled(firsts.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    smallest = brief(firsts.join(final, "node", "left").withColumn("component", F.coalesce("component", "node")))
     # Computed by itself, so that the join below can be split where a component is large.
-    lowest = settled(smallest.groupBy("component").agg(F.min("at").alias("least")))
+    lowest = brief(smallest.groupBy("component").agg(F.min("at").alias("least")))
     classes = smallest.join(lowest, "component").select("node", "least")
     columns = ["r", "absent", "k", "h", "n"]
     linked = full.join(classes, "node").select(*columns, "least")
     alone = rows.where("n = 0").select(*columns, F.struct("absent", "k", "h", "r").alias("least"))
-    return linked.union(alone)
+    return linked.union(alone), count

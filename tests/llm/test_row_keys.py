@@ -156,7 +156,7 @@ def test_a_sender_sends_few_rows_of_a_window():
 
 def test_levels_end_where_nothing_repeats(spark, words):
     docs = spark.createDataFrame([(i, words(50)) for i in range(8)], "k long, text string")
-    assert substring_dedup.repeated_windows(docs, substring_dedup.RepeatWindows()).count() == 0
+    assert substring_dedup.repeated_windows(docs, substring_dedup.RepeatWindows(), 8).count() == 0
 
 
 def test_each_component_keeps_one_row(spark, words):
