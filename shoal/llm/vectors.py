@@ -55,11 +55,17 @@ def nearest_copies(vectors: DataFrame, keep: int) -> DataFrame:
     return vectors.withColumn("_copy", F.row_number().over(first)).where(F.col("_copy") <= keep).drop("_copy")
 
 
-def log_length(vector: Column) -> Column:
-    """The log of the length, null for a vector of zeros; no square overflows."""
-    most = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
-    scaled = F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x.cast("double") / most) * (x.cast("double") / most))
-    return F.when(most > 0, F.ln(most) + F.ln(scaled) / 2)
+def with_log_length(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the log of the length of ``v`` as ``name``, null for a vector of zeros.
+
+    Only where the squares' sum leaves the range of doubles are they scaled, element by element.
+    """
+    most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    plain = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    scaled = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x.cast("double") / most) * (x.cast("double") / most))
+    far = F.when(most > 0, F.ln(most) + F.ln(scaled) / 2)
+    log = F.when(F.col("_sum").between(1e-200, 1e300), F.ln("_sum") / 2).otherwise(far)
+    return rows.withColumn("_sum", plain).withColumn(name, log).drop("_sum")
 
 
 def log_lengths(rows: np.ndarray) -> np.ndarray:
@@ -126,9 +132,8 @@ def searched(
     is rounding; blocks have ``rows`` vectors, about. On the driver are the length ranges and the seeds, both bounded.
     """
     spark = base.sparkSession
-    log = log_length(F.col("v"))
-    number = F.coalesce(F.ceil(log / math.log(SPREAD)).cast("int"), F.lit(_ZERO))
-    base, queries = settled(base.withColumn("log", log).withColumn("range", number)), settled(queries)
+    number = F.coalesce(F.ceil(F.col("log") / math.log(SPREAD)).cast("int"), F.lit(_ZERO))
+    base, queries = settled(with_log_length(base, "log")).withColumn("range", number), settled(queries)
     dimension = base.agg(F.max(F.size("v"))).first()[0] or 1
     rows = max(16, min(rows, BLOCK_BYTES // (8 * dimension)))
     by_range = base.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.max("log").alias("log")).collect()

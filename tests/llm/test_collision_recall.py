@@ -113,3 +113,12 @@ def test_layout_sends_queries_only_to_blocks_long_enough():
     assert plan.ends[-1] == sum(n for _, n in {(first, n) for _, first, n in plan.table})
     reach = plan.reach(np.array([-np.inf, -0.14, 0.01, 0.3, 0.46]))
     assert reach[0] == reach[1] == plan.ends[-1] and list(reach) == sorted(reach, reverse=True) and reach[-1] == 0 and reach[3] >= 1
+
+
+def test_lengths_of_any_size(spark):
+    rows = [[3.0, 4.0], [3e200, 4e200], [3e-200, 4e-200], [0.0, 0.0], [-1e308, 1e308]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, v array<double>")
+    found = [r["log"] for r in vectors.with_log_length(df, "log").orderBy("i").collect()]
+    want = vectors.log_lengths(np.array(rows)).tolist()
+    assert found[3] is None and want[3] == -np.inf
+    assert np.allclose([found[i] for i in (0, 1, 2, 4)], [want[i] for i in (0, 1, 2, 4)], rtol=1e-12)
