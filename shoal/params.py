@@ -100,7 +100,7 @@ def read_job(path: str, spark: SparkSession | None = None) -> dict[str, str]:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
             raise FileNotFoundError(f"no such job file: {path}")
-        return parse_job(spark.read.option("wholetext", True).text(path).first()[0])
+        return parse_job(spark.read.text(path, wholetext=True).first()[0])
     if os.path.isfile(path):
         with open(path, encoding="utf-8") as f:
             return parse_job(f.read())
