@@ -333,7 +333,7 @@ for _suffix, _w in ALL.items():
 
     @_query(f"core_points{_suffix}", _w.sql("SELECT id FROM cores", _w.pts, _w.near, _w.cores))
     def core_points(spark, sf_dir, w=_w):
-        return neighbors.neighbor_counts(w.points(spark, sf_dir), w.dims, w.eps).where(F.col("neighbors") >= w.min_pts).select("id")
+        return cluster.core_points(w.points(spark, sf_dir), w.dims, w.params)
 
 
 @_query(
