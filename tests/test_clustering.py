@@ -291,3 +291,15 @@ def test_core_points_of_narrow_data_are_counted_by_blocks(spark, monkeypatch):
     huge = [(1e200 * (i % 3),) + (0.5 * (i % 5),) * 19 for i in range(20)]
     block = by_blocks.block_pairs(*neighbors._sides(frame(spark, huge), frame(spark, huge), 20), 20, 1.0, 2)
     assert {(r["a_id"], r["b_id"]) for r in block.collect()} == alike(huge, 1.0, 20)
+
+
+def test_pairs_of_narrow_data_are_found_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_POINTS", 16)
+    monkeypatch.setattr(neighbors, "MEMBERS", 2)
+    vectors = narrow(n=40) + narrow(n=5) * 7
+    points = frame(spark, vectors)
+    pairs = neighbors.pair_distance(points, 32, 1.25)
+    assert "MapInArrow" in planned(pairs)
+    found = {(r["id"], r["neighbor"]): r["distance"] for r in pairs.collect()}
+    assert found.keys() == {(i, j) for i, j in alike(vectors, 1.25, 32) if i < j}
+    assert all(abs(d - math.dist(vectors[i], vectors[j])) < 1e-8 for (i, j), d in found.items())
