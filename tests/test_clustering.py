@@ -312,3 +312,14 @@ def test_pairs_of_points_at_the_same_place(spark, monkeypatch, broadcasts):
     assert planned(found).count("explode(") >= 3
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == alike(vectors, 1.1, 2)
+
+
+def test_blocks_meet_only_inside_their_box(spark):
+    vectors = narrow(n=40)
+    boxed = frame(spark, vectors).withColumn("pid", (F.col("id") % 3).cast("int"))
+    a, b = neighbors._sides(boxed, boxed.withColumn("weight", F.lit(2)), 32)
+    expected = {(i, j) for i, j in alike(vectors, 1.25, 32) if i % 3 == j % 3}
+    met = by_blocks.block_pairs(a, b, 32, 1.25, 2, ("pid",)).select("a_id", "b_id", "a_pid", "b_pid").collect()
+    assert {(r["a_id"], r["b_id"]) for r in met} == expected and all(r["a_pid"] == r["b_pid"] for r in met)
+    sums = by_blocks.block_sums(a, b, 32, 1.25, 2, ("pid",)).groupBy("a_id").agg(F.sum("weight").alias("n")).collect()
+    assert {r["a_id"]: r["n"] for r in sums} == {i: 2 * sum(x == i for x, _ in expected) for i in {x for x, _ in expected}}
