@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.chartext import Characters, text_blocks
-from shoal.llm.spread import settled
+from shoal.llm.spread import in_arrow, settled
 
 UNDETERMINED = "und"
 #: What soft counts are whole multiples of.
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, how: LanguageTraining | None = None, id_col="doc_id", t
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], names=["lang", "bucket", "n"])
 
-    sums = sample.mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = in_arrow(sample, counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # At most languages x 2^bits rows.
     found = sums.toPandas()
     by = found.groupby("lang")["n"].sum().sort_values(ascending=False)
@@ -130,7 +130,7 @@ def text_evidence(records: DataFrame, model: LanguageModel, fusion: Fusion, text
                 yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "evidence", "soft", "letters"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema if f.name != text_col)
-    return records.mapInArrow(run, f"{schema}, evidence array<double>, soft array<long>, letters long")
+    return in_arrow(records, run, f"{schema}, evidence array<double>, soft array<long>, letters long")
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -212,7 +212,7 @@ def fused(records: DataFrame, model: LanguageModel, fusion: Fusion | None = None
     kind = records.schema["id"].dataType.simpleString()
     schema = f"id {kind}, lang string, probability double, text_lang string, accepted boolean, "
     schema += "declared string, suffix string, host string, domain string"
-    return rows.select(*fields, "letters", "evidence", "soft", *groups).mapInArrow(run, schema)
+    return in_arrow(rows.select(*fields, "letters", "evidence", "soft", *groups), run, schema)
 
 
 def _rows(lists: pa.Array, n: int) -> np.ndarray:
@@ -251,7 +251,7 @@ def page_records(pages: DataFrame, id_col="page_id", url_col="url", html_col="ht
         blank(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)).alias("domain"),
         F.col(html_col).cast("string").alias("text"),
     )
-    return rows.mapInArrow(visible, "id long, declared string, suffix string, host string, domain string, text string")
+    return in_arrow(rows, visible, "id long, declared string, suffix string, host string, domain string, text string")
 
 
 def document_records(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import vectext
-from shoal.llm.spread import ranked, row_hash, running_start, settled, text_key
+from shoal.llm.spread import in_arrow, in_pandas, ranked, row_hash, running_start, settled, text_key
 
 BLOCK_WORDS = 256
 SHARDS = 64
@@ -165,7 +165,7 @@ def word_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
         F.col(text_col).alias("text"),
         text_key(F.col(text_col)).alias("text_hash"),
     )
-    return texts.mapInArrow(counted, "doc_id long, source string, size long, text_hash binary")
+    return in_arrow(texts, counted, "doc_id long, source string, size long, text_hash binary")
 
 
 @dataclass(frozen=True)
@@ -224,7 +224,7 @@ def mix(sizes: DataFrame, mixture: Mixture) -> Mixed:
             )
 
     named = "src long, shard long, slot long, turn long, block long, take long"
-    slots = slots.select("src", "shard", "slot", "source_size", "blocks", "slots", "cut").mapInPandas(placed, named)
+    slots = in_pandas(slots.select("src", "shard", "slot", "source_size", "blocks", "slots", "cut"), placed, named)
     pieces = (
         documents.where("size > 0")
         .select("src", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
@@ -345,7 +345,7 @@ def mixed_documents(docs: DataFrame, mixture: Mixture | None = None, id_col="doc
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     joined = keyed.join(taken, by).select(*names, "_shoal_spans")
-    out = joined.mapInArrow(run, docs.schema)
+    out = in_arrow(joined, run, docs.schema)
     if "n_chars" in names and text_col != "n_chars":
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm.byte_bpe import byte_bpe
-from shoal.llm.spread import ranked, settled
+from shoal.llm.spread import in_arrow, ranked, settled
 
 SEQ_LEN = 2048
 END_ID = 0
@@ -75,7 +75,7 @@ def token_pieces(
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(tokenized, schema)
+    return in_arrow(texts, tokenized, schema)
 
 
 def plan_slots(histogram: dict[int, int], seq_len: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:

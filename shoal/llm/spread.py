@@ -7,12 +7,17 @@ slices' totals (a row each) give every slice its start.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoal.session import reachable, settled, sweep
 
-__all__ = ["key_order", "numbered", "one_of_each", "ranked", "row_hash", "rows_of", "running_start", "settled", "sweep", "text_key"]
+__all__ = ["in_arrow", "in_pandas", "key_order", "numbered", "one_of_each", "ranked", "row_hash", "rows_of", "running_start", "settled", "sweep", "text_key"]
 
 #: Slices of a key at least, and rows in a slice at most, about, if one key has all.
 SLICES, SLICE_ROWS = 128, 1_000_000
@@ -22,6 +27,46 @@ def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """glibc's call that hands free memory back; other C libraries have none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return None
+
+
+def give_back() -> None:
+    """Hands memory that is free, but kept by the allocators, back to the system."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+def _giving_back(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` by workers that hold no more than they need once a task is over.
+
+    Python workers are used again and wait beside the executor until then, more of them than
+    it has cores: a stage may have several of them a task.
+    """
+    return df.mapInArrow(_giving_back(f), schema)
+
+
+def in_pandas(df: DataFrame, f: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """``df.mapInPandas``, likewise."""
+    return df.mapInPandas(_giving_back(f), schema)
+
+
 def text_key(text: Column) -> Column:
     """128 bits that tell texts apart; null has one byte of its own."""
     text = text.cast("string")

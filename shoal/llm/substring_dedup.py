@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import vectext
-from shoal.llm.spread import key_order, numbered, one_of_each, settled, sweep, text_key
+from shoal.llm.spread import in_arrow, key_order, numbered, one_of_each, settled, sweep, text_key
 
 LAST = 2**63 - 1
 #: Windows that a task remembers having sent.
@@ -286,7 +286,7 @@ def _compared(last: bool):
 def _by_document(rows: DataFrame, last: bool) -> DataFrame:
     """A level's outcome as (k, found): a list of position blobs for each document."""
     dealt = rows.repartition("h").sortWithinPartitions("h", F.shiftrightunsigned("x", 32), "k", "x")
-    found = dealt.mapInArrow(_compared(last), "k long, found binary")
+    found = in_arrow(dealt, _compared(last), "k long, found binary")
     return found.groupBy("k").agg(F.collect_list("found").alias("found"))
 
 
@@ -295,7 +295,7 @@ def repeated_windows(texts: DataFrame, how: RepeatWindows) -> DataFrame:
 
     The levels end where nothing repeats any more.
     """
-    found = settled(_by_document(texts.mapInArrow(_first_level(how), _ROWS), False))
+    found = settled(_by_document(in_arrow(texts, _first_level(how), _ROWS), False))
     for length in how.lengths:
         # The exchange of the level before is done with.
         sweep(texts.sparkSession)
@@ -303,7 +303,7 @@ def repeated_windows(texts: DataFrame, how: RepeatWindows) -> DataFrame:
             break
         last = length == how.window
         alive = texts.join(found, "k").select("k", "text", "found")
-        found = _by_document(alive.mapInArrow(_next_level(how, length), _ROWS), last)
+        found = _by_document(in_arrow(alive, _next_level(how, length), _ROWS), last)
         found = found if last else settled(found)
     return found
 
@@ -382,7 +382,7 @@ def deduplicated(
     keyed = _numbered(rows.withColumns(by), by, "k")
     texts = keyed.select("k", "text")
     joined = texts.join(repeated_windows(texts, how), "k", "left").select("k", "text", "found")
-    out = joined.mapInArrow(run, "k long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    out = in_arrow(joined, run, "k long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     if len(by) == 1:
         # The number is the id, but for a null one.
         null = F.col("k") == (F.lit(LAST) if rows.where("doc_id is null").limit(1).count() else F.lit(None))
@@ -463,7 +463,7 @@ def without_repeats(docs: DataFrame, how: RepeatWindows | None = None, id_col: s
             out = pa.RecordBatch.from_arrays(columns, names=names)
             yield out.filter(pa.array((removed == 0) | (removed < n)))
 
-    out = joined.select(*columns).mapInArrow(run, docs.schema)
+    out = in_arrow(joined.select(*columns), run, docs.schema)
     if "n_chars" in names and text_col != "n_chars":
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*names)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoal.llm import vectext
-from shoal.llm.spread import key_order, one_of_each, settled, text_key
+from shoal.llm.spread import in_arrow, key_order, one_of_each, settled, text_key
 from shoal.operators.components import connected_components, union_find
 
 _STEP = 40  # bits of the fraction in a slot's value
@@ -161,7 +161,7 @@ def described(texts: DataFrame, how: NearDuplicates) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "n", "node", "check", "tags", "bands"])
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text")
-    return texts.mapInArrow(run, f"{kept}, n long, node long, check long, tags binary, bands array<long>")
+    return in_arrow(texts, run, f"{kept}, n long, node long, check long, tags binary, bands array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -372,13 +372,13 @@ def _classified(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str
 
     # Rows alike in id and text have the same set; one is kept.
     mine = ["absent", "k", "h"]
-    sets = texts.join(known.select(*mine, "node"), mine).select("node", "text").mapInArrow(gathered, "node long, elements binary")
+    sets = in_arrow(texts.join(known.select(*mine, "node"), mine).select("node", "text"), gathered, "node long, elements binary")
     sets = settled(sets.dropDuplicates(["node"]))
 
     tagged = known.select("node", "n", "tags")
     buckets = members.where(F.col("size") <= BUCKET_MEMBERS).join(tagged, "node").select("band", "node", "n", "tags")
     buckets = buckets.repartition("band").sortWithinPartitions("band", "node")
-    likely = buckets.mapInArrow(_likely(how), _PAIRS).distinct()
+    likely = in_arrow(buckets, _likely(how), _PAIRS).distinct()
     large = members.where(F.col("size") > BUCKET_MEMBERS).select(F.col("node").alias("a"), F.col("low").alias("c"))
     families = connected_components(likely.union(large.distinct()), "a", "c", settled, ALONE)
     families = settled(families.withColumnRenamed("component", "family").join(known.select("node", "n"), "node"))
@@ -395,7 +395,7 @@ def _classified(docs: DataFrame, how: NearDuplicates, id_col: str, text_col: str
     def compared(rows: DataFrame, inside: bool) -> DataFrame:
         rows = rows.join(sets, "node").select("family", "line", "column", "side", "node", "component", "elements")
         rows = rows.repartition("family", "line", "column").sortWithinPartitions("family", "line", "column", "side")
-        return rows.mapInArrow(_compared(how, inside), _PAIRS)
+        return in_arrow(rows, _compared(how, inside), _PAIRS)
 
     links = settled(compared(own.union(pivot), True))
     labels = connected_components(links, "a", "c", settled, ALONE)

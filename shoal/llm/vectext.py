@@ -13,8 +13,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at a time; temporary arrays take some twenty times as much.
-BLOCK = 1 << 20
+#: Bytes of text handled at a time; temporary arrays take up to eighty times as much.
+BLOCK = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
