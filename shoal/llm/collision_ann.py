@@ -5,7 +5,7 @@ A query's bucket is not a fixed cell but a window centred on its own value. Two
 collide if one lies in the other's window; a vector that collides in at least a given number
 of functions becomes a candidate and is verified by its exact score. Virtual rehashing widens
 the windows step by step: the arrays stay as they are, and only the entries that a step adds
-on both sides of a window are counted. It ends once the windows are so wide that a vector
+on both sides of a window are counted (a step that adds a large part of all is counted anew). It ends once the windows are so wide that a vector
 nearer than the answers so far would have collided often enough.
 
 Largest inner products become nearest neighbours by one more component that lifts all
@@ -86,6 +86,10 @@ def parts_of(lengths: np.ndarray, spread: float, least: int) -> list[slice]:
     return out
 
 
+#: A step that adds more than this part of all entries is counted on the vectors' ranks, those
+#: of so many functions at a time.
+WIDE, SWEPT = 0.125, 16
+
 #: What sets the functions' sorted arrays apart in one long array; projections stay far below.
 _APART = 64.0
 
@@ -104,6 +108,12 @@ class SortedProjections:
         order = np.argsort(values, axis=0, kind="stable").T
         self.vector = order.ravel()
         self.value = (np.take_along_axis(values, order.T, axis=0).T + self.offsets[:, None]).ravel()
+        self.first = n * np.arange(how.functions)
+        self.rank = np.empty(order.shape, np.uint16 if n < 1 << 16 else np.uint32)
+        np.put_along_axis(self.rank, order, np.arange(n, dtype=self.rank.dtype)[None, :], axis=1)
+        # Used again by every query: fresh memory costs more than what is done in it.
+        self._entries = np.empty(int(WIDE * order.size), order.dtype)
+        self._past, self._inside = np.empty_like(self.rank[:SWEPT]), np.empty((SWEPT, n), bool)
 
     def centre(self, unit: np.ndarray) -> np.ndarray:
         return unit @ self.lines + self.offsets
@@ -111,6 +121,29 @@ class SortedProjections:
     def places(self, values: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.value, values)
 
+    def widened(self, counts: np.ndarray, low: np.ndarray, first: np.ndarray, last: np.ndarray, high: np.ndarray) -> int:
+        """Adds to ``counts`` what the windows first:last gain as low:high; how many entries that is.
+
+        Few entries are walked. Of many, it takes less to look at all ranks in one sweep for
+        those in the windows.
+        """
+        added = int((first - low).sum() + (high - last).sum())
+        if added <= len(self._entries):
+            entries = [self.vector[a:z] for a, z in zip(low.tolist(), first.tolist(), strict=True)]
+            entries += [self.vector[a:z] for a, z in zip(last.tolist(), high.tolist(), strict=True)]
+            counts += np.bincount(np.concatenate(entries, out=self._entries[:added]), minlength=self.n)
+        else:
+            kind = self.rank.dtype
+            start, size = (low - self.first).astype(kind)[:, None], (high - low).astype(kind)[:, None]
+            counts[:] = 0
+            for i in range(0, len(size), SWEPT):
+                to = slice(i, i + SWEPT)
+                # Unsigned: what lies before the start is past the end.
+                past = np.subtract(self.rank[to], start[to], out=self._past[: len(size[to])])
+                inside = np.less(past, size[to], out=self._inside[: len(past)])
+                counts += np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+        return added
+
 
 class CollisionIndex:
     """A block's vectors, indexed part by part. ``touched`` array entries were counted and
@@ -124,6 +157,7 @@ class CollisionIndex:
         self.parts = parts_of(self.lengths, how.spread, how.floor * top)
         small = how.floor * top
         self.index = [SortedProjections(self.vectors[p], self.lengths[p.start], how) if p.stop - p.start > small else None for p in self.parts]
+        self._rows = np.empty_like(self.vectors)
         self.touched = self.verified = self.asked = 0
 
     def __call__(self, queries: np.ndarray, bounds: np.ndarray):
@@ -160,11 +194,7 @@ class CollisionIndex:
         while True:
             wider = index.places(np.concatenate((centre - half, centre + half)))
             low, high = wider[: how.functions], wider[how.functions :]
-            entries = [index.vector[a:z] for a, z in zip(low.tolist(), first.tolist(), strict=True)]
-            entries += [index.vector[a:z] for a, z in zip(last.tolist(), high.tolist(), strict=True)]
-            added = np.concatenate(entries)
-            self.touched += len(added)
-            counts += np.bincount(added, minlength=index.n)
+            self.touched += index.widened(counts, low, first, last, high)
             new = (counts >= how.threshold) & ~done
             done |= new
             self._verify(query, part.start + np.flatnonzero(new), best)
@@ -182,7 +212,8 @@ class CollisionIndex:
     def _verify(self, query: np.ndarray, places: np.ndarray, best: Best) -> None:
         if len(places):
             self.verified += len(places)
-            best.add(places, self.vectors[places] @ query)
+            rows = np.take(self.vectors, places, axis=0, out=self._rows[: len(places)], mode="clip")
+            best.add(places, rows @ query)
 
 
 class Best:

@@ -1,5 +1,7 @@
 """Recall and work of the two vector searches, where they have to prune."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -60,6 +62,46 @@ def test_no_array_entry_is_counted_twice():
     assert near.touched < 0.7 * index.touched
 
 
+@pytest.mark.parametrize("width", [0.01, 0.3])
+def test_steps_narrow_and_wide_count_the_entries_in_the_window(width):
+    rows = unit(2000)
+    index = collision_ann.SortedProjections(rows, 1.0, collision_ann.CollisionHashing(functions=90, threshold=60))
+    counts, centre = np.zeros(2000, np.int64), index.centre(rows[7])
+    first = last = index.places(centre)
+    total = 0
+    for half in (width, 1.5 * width, 4 * width):
+        low, high = index.places(centre - half), index.places(centre + half)
+        total += index.widened(counts, low, first, last, high)
+        first, last = low, high
+        inside = (np.abs(index.value - np.repeat(centre, 2000)) <= half).reshape(90, 2000)
+        assert counts.tolist() == np.bincount(index.vector[inside.ravel()], minlength=2000).tolist()
+    assert total == counts.sum()
+
+
+def test_counting_takes_less_time_than_walking_all_entries():
+    """Half of all entries at once: one sweep over small ranks, not a walk."""
+    rows = unit(12_000)
+    index = collision_ann.SortedProjections(rows, 1.0, collision_ann.CollisionHashing())
+    low, middle, high = (index.first + x for x in (3000, 6000, 9000))
+    counts = np.zeros(12_000, np.int64)
+
+    def walked():
+        entries = [index.vector[a:z] for a, z in zip(low.tolist(), high.tolist(), strict=True)]
+        return np.bincount(np.concatenate(entries), minlength=12_000)
+
+    def seconds(f):
+        took = []
+        for _ in range(9):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    quick, slow = seconds(lambda: index.widened(counts, low, middle, middle, high)), seconds(walked)
+    assert counts.tolist() == walked().tolist()
+    assert quick < 0.8 * slow
+
+
 def test_the_windows_find_what_the_seeds_do_not_hold():
     rows = alike(6000)
     recall, index = searched_block(rows, seeds=40, every=100)
